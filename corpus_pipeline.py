@@ -1,16 +1,88 @@
-"""Corpus pipeline: the stages that turn raw documents into token ids."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, source mix, token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but
+the last return the columns of documents. A stage's result is written as Parquet and read again as
+the next one's `docs`. No stage is expressed in SQL; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspark.llm import bpe, jaccard, langid, lines, mixing
+from lexspark.llm.common import small, table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language cannot be told (null or no letter). A null `lang` is filled
+    with the prediction, a given one stays. The model is fitted on the labelled documents that are
+    not held out; where none has a label, nothing can be told and only letters count."""
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    found = langid.identify(docs, model)
+    if not model.languages:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    kept = found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines of 8 words or more that are within 2 edits of an earlier one. A document of which no
+    word is left goes, unless it had none to begin with."""
+    cut = lines.drop_duplicate_lines(docs, tau=2, min_words=8)
+    cut = cut.where((F.size("gone_lines") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, stays of each group linked by 80 % of its 5-word
+    shingles."""
+    groups = jaccard.near_duplicates(docs, k=5, percent=80)
+    groups = written(groups, "groups")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__doc"))
+    first = written(first.agg((F.count("*") > 1).alias("__again")), "first")
+    kept = docs.join(small(first, 64), docs["doc_id"].eqNullSafe(F.col("__doc")))
+    once = kept.where("not __again").select(*docs.columns)
+    if not first.where("__again").limit(1).count():
+        return once
+    return once.unionByName(kept.where("__again").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all sources by weights 5, 2, 1: a document's taken words, a row for each pass."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to it."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    ids = ids.withColumn("sha256", F.sha2("text", 256)).drop("text")
+    back = bpe.decode(ids, ranks)
+    return back.select(
+        "doc_id",
+        "lang",
+        "source",
+        "token_ids",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("token_ids", token_ids),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexspark.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

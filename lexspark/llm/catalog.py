@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, jaccard, lines
+from lexspark.llm import bpe, chat, jaccard, langid, lines, media, mixing, quality, urls, wrappers
 from lexspark.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The conversation that the contract of op4 adds.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents by source, weights 5, 2, 1 in turn, at most 3 passes over a source."""
+    taken = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3.0)
+    words = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n"] * p["times"])
+    return taken.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", words.alias("taken"), "source")
+
+
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +41,57 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one of control strings (-1); digests what is read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page by rules, else by the trust and distrust of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures every document and keeps it unless it or its host fails."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as interleaved pages whose pictures hold their bytes; features of the stored bytes."""
+    pages, payloads = media.document_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held = media.facts(media.store(payloads))
+    return media.resolve(media.parse(pages), held, "doc_id").select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        F.col("pos").cast("long").alias("media_pos"),
+        "caption",
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 90 % of their 3-word shingles."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 8 words within 2 edits of an earlier one, by document, and what is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,9 +106,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_byte_bpe": op3_byte_bpe,
-    "op8_ngram_jaccard": op8_ngram_jaccard,
-    "op10_line_dedup": op10_line_dedup,
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_html_wrappers,
+        op3_byte_bpe,
+        op4_chat_formatting,
+        op5_url_filter,
+        op6_quality_rules,
+        op7_media_columns,
+        op8_ngram_jaccard,
+        op9_language_id,
+        op10_line_dedup,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    # Not SQL here: the multinomial mix, wrapper inference, BPE, template rendering, PageRank to a
+    # fixed point, PNG bytes, and the other similarity joins; tests hold them against brute force.
+    "op6_quality_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, source, text, coalesce({_WORDS}, []) AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (
+  SELECT r, i, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) > 5),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+rep AS (
+  SELECT r, sum(least(coalesce(nxt - i, 5), 5)) AS n_repeat_words
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols,
+         coalesce(len(l) - len(list_distinct(l)), 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS bad FROM b GROUP BY source),
+o AS (SELECT sum(bad) / sum(n) AS mean, sum(n) AS docs, count(*) AS hosts FROM h),
+s AS (SELECT any_value(mean) AS mean, sum(n * pow(bad / n - mean, 2)) / any_value(docs)
+             - any_value(hosts) * any_value(mean) * (1 - any_value(mean)) / any_value(docs) AS beyond FROM h, o),
+p AS (SELECT mean, greatest(2.0, least(1000.0, CASE WHEN beyond > 0 THEN mean * (1 - mean) / beyond - 1 ELSE 1000.0 END)) AS k FROM s),
+v AS (SELECT source, (bad + k * mean) / (n + k) > 0.5 AS host_failed FROM h, p)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_failed AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+""",
+}
