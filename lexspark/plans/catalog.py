@@ -1,10 +1,508 @@
-"""Queries over the driver's tables and their DuckDB equivalents."""
+"""Queries over the driver's tables and their DuckDB equivalents, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lexspark.functions import text as X
+from lexspark.functions.sizes import bounded
+from lexspark.operators import chunking, evaluation, glyphs, indexing, loading, parsing, qa, search, validation
+from lexspark.plans import base
+from lexspark.plans.base import EVAL_SQL, LEGS_SQL, SQL, TRUTH_SQL, bm25_sql, fused_sql
+from lexspark.sources import files
+from lexspark.sources.files import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Index
+
+
+@query(SQL + " SELECT chunk_id, lexeme, tf, doc_len FROM terms")
+def term_index(spark, d):
+    return indexing.chunk_terms(base.chunks(spark, d).select("chunk_id", "content"))
+
+
+@query(SQL + " SELECT DISTINCT chunk_id, doc_len FROM terms")
+def doc_lengths(spark, d):
+    return indexing.doc_lengths(term_index(spark, d))
+
+
+@query(SQL + " SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark, d):
+    rows = base.chunks(spark, d)
+    return base.index(rows)[1].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(SQL + " SELECT n_docs::BIGINT AS recorded, n_docs::BIGINT AS actual, (SELECT count(DISTINCT chunk_id) FROM terms) AS indexed, false AS stale FROM stats")
+def index_staleness(spark, d):
+    rows = base.chunks(spark, d)
+    terms, stats = base.index(rows)
+    return indexing.staleness(stats, rows, terms)
+
+
+# Search
+
+
+def _lexical(spark, d, **options):
+    rows = base.chunks(spark, d)
+    return search.lexical_search(rows, *base.index(rows), base.questions(spark, d), **options)
+
+
+_TOP = """ SELECT qid, chunk_id, score, rank FROM (
+  SELECT qid, chunk_id, s.score, row_number() OVER (PARTITION BY qid ORDER BY s.score DESC, chunk_id) AS rank
+  FROM {0} s JOIN chunks USING (chunk_id) {1}) WHERE rank <= 25"""
+
+
+@query(SQL + bm25_sql() + _TOP.format("bm", "WHERE NOT repealed"))
+def bm25_topk_batch(spark, d):
+    return _lexical(spark, d)
+
+
+@query(SQL + bm25_sql(b=0.0) + _TOP.format("bm", "WHERE NOT repealed"))
+def bm25_b0(spark, d):
+    return _lexical(spark, d, b=0.0)
+
+
+@query(SQL + bm25_sql() + _TOP.format("bm", ""))
+def bm25_with_repealed(spark, d):
+    return _lexical(spark, d, include_repealed=True)
+
+
+#: Fixed value: the question of the single search.
+QUESTION = "in the and thing of was her"
+
+
+@query(SQL.replace("SELECT item_id AS qid, text AS question FROM benchmark", f"SELECT 0 AS qid, '{QUESTION}' AS question") + bm25_sql() + _TOP.format("bm", "WHERE NOT repealed"))
+def bm25_topk(spark, d):
+    rows = base.chunks(spark, d)
+    asked = spark.createDataFrame([(0, QUESTION)], "qid int, question string")
+    return search.lexical_search(rows, *base.index(rows), asked)
+
+
+@query(SQL + ", s AS (SELECT qid, chunk_id, sum(tf)::DOUBLE AS score FROM terms JOIN asked USING (lexeme) GROUP BY ALL)" + _TOP.format("s", "WHERE NOT repealed"))
+def tf_rank_topk(spark, d):
+    return _lexical(spark, d, ranking="tf")
+
+
+def _dense(spark, d, **options):
+    return search.dense_search(base.chunks(spark, d, embedded=True), base.vectors(spark, d), **options)
+
+
+@query(LEGS_SQL + " SELECT qid, chunk_id, score, rank FROM den")
+def dense_topk_batch(spark, d):
+    return _dense(spark, d)
+
+
+@query(LEGS_SQL + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged".join([fused_sql("rrf", 0.5)[len(LEGS_SQL) :], ""]))
+def fusion_rrf(spark, d):
+    return search.merge(_lexical(spark, d), _dense(spark, d), 10, "rrf", 0.5)
+
+
+@query(fused_sql("weighted", 0.5) + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged")
+def fusion_weighted(spark, d):
+    return search.merge(_lexical(spark, d), _dense(spark, d), 10, "weighted", 0.5)
+
+
+@query(fused_sql("weighted", 0.8) + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged")
+def hybrid_topk(spark, d):
+    rows = base.chunks(spark, d, embedded=True)
+    return search.search(rows, *base.index(rows), base.questions(spark, d), base.vectors(spark, d))
+
+
+@query(fused_sql("weighted", 0.8) + " SELECT qid, rank, m.score, chunk_id, act, article, md5(content) AS content_md5, repealed FROM merged m JOIN chunks USING (chunk_id)")
+def search_hits(spark, d):
+    shown = search.hits(hybrid_topk(spark, d), base.chunks(spark, d))
+    return shown.select("qid", "rank", "score", "chunk_id", "act", "article", F.md5("content").alias("content_md5"), "repealed")
+
+
+@query(SQL + " SELECT chunk_id, act, article, md5(content) AS content_md5 FROM chunks WHERE article IN ('7', '25', '151')")
+def citation_lookup(spark, d):
+    return search.by_citation(base.chunks(spark, d), ["7", "25", "151"]).select("chunk_id", "act", "article", F.md5("content").alias("content_md5"))
+
+
+@query(SQL + " SELECT chunk_id, article FROM chunks WHERE levenshtein(article, '151') <= 1")
+def fuzzy_citation(spark, d):
+    return indexing.fuzzy_lookup(base.chunks(spark, d), "151").select("chunk_id", "article")
+
+
+# Evaluation
+
+
+def _per_question(spark, d):
+    rows = base.chunks(spark, d)
+    found = search.collapse_to_articles(hybrid_topk(spark, d), rows)
+    return evaluation.per_question(base.truth(spark, d), found)
+
+
+@query(EVAL_SQL + " SELECT qid, act, article, rank FROM articles")
+def article_collapse(spark, d):
+    return search.collapse_to_articles(hybrid_topk(spark, d), base.chunks(spark, d))
+
+
+@query(SQL + TRUTH_SQL + " SELECT DISTINCT qid, act, article FROM truth")
+def gold_truth(spark, d):
+    return base.truth(spark, d)
+
+
+@query(EVAL_SQL + """ SELECT count(*) AS n_questions, round(avg(recall_3), 6) AS recall_at_3, round(avg(recall_5), 6) AS recall_at_5,
+  round(avg(recall_10), 6) AS recall_at_10, round(avg((recall_3 > 0)::INT), 6) AS hit_rate_3, round(avg((recall_5 > 0)::INT), 6) AS hit_rate_5,
+  round(avg((recall_10 > 0)::INT), 6) AS hit_rate_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(pool), 6) AS pool_recall FROM per""")
+def retrieval_scores(spark, d):
+    return evaluation.scores(_per_question(spark, d))
+
+
+@query(EVAL_SQL + " SELECT qid FROM per WHERE recall_5 = 0")
+def missed_at_5(spark, d):
+    return evaluation.missed(_per_question(spark, d))
+
+
+@query(EVAL_SQL.replace("WHERE NOT repealed) WHERE rank <= 25", "WHERE NOT repealed)").replace("FROM cos) WHERE rank <= 25", "FROM cos)").replace("FROM fused) WHERE rank <= 10", "FROM fused)")
+       + " SELECT round(avg(pool), 6) AS pool_recall FROM per")
+def pool_recall(spark, d):
+    rows = base.chunks(spark, d, embedded=True)
+    terms, stats = base.index(rows)
+    every = 1 << 30
+    legs = search.fuse(
+        search.lexical_search(rows, terms, stats, base.questions(spark, d), every), search.dense_search(rows, base.vectors(spark, d), every)
+    )
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    found = search.collapse_to_articles(legs.withColumn("rank", F.row_number().over(order)), rows)
+    per = evaluation.per_question(base.truth(spark, d), found)
+    return per.agg(F.round(F.avg("pool"), 6).alias("pool_recall"))
+
+
+_HISTORY = "SELECT event_type AS layer, dayofyear(ts) AS run_seq, avg(value) AS value FROM events GROUP BY ALL"
+
+
+def _history(spark, d):
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("layer"), F.dayofyear("ts").alias("run_seq"))
+    return rows.agg(F.avg("value").alias("value"))
+
+
+@query(f"""WITH h AS ({_HISTORY}), r AS (SELECT *, lag(value) OVER (PARTITION BY layer ORDER BY run_seq) AS previous,
+  row_number() OVER (PARTITION BY layer ORDER BY run_seq DESC) AS back FROM h)
+SELECT layer, round(value, 6) AS value, round(previous, 6) AS previous, coalesce(value - previous < -0.03 - 1e-9, false) AS regressed,
+  NOT coalesce(value - previous < -0.03 - 1e-9, false) AS passed FROM r WHERE back = 1""")
+def gate(spark, d):
+    values = _history(spark, d).withColumn("metric", F.lit("value"))
+    return evaluation.gate(values).select("layer", F.round("value", 6).alias("value"), F.round("previous", 6).alias("previous"), "regressed", "passed")
+
+
+@query(f"WITH h AS ({_HISTORY}) SELECT layer, max(run_seq) AS run_seq, round(max_by(value, run_seq), 6) AS value FROM h GROUP BY layer")
+def latest_per_layer(spark, d):
+    return evaluation.latest_for_layer(_history(spark, d)).select("layer", "run_seq", F.round("value", 6).alias("value"))
+
+
+#: Prices by model for the query; the third role has none.
+PRICES = (("user", 1.0, 5.0), ("assistant", 3.0, 15.0))
+
+
+@query("""WITH c AS (SELECT role AS model, floor(length(text) / 3.0)::BIGINT AS n FROM conversations),
+p AS (SELECT * FROM (VALUES ('user', 1.0, 5.0), ('assistant', 3.0, 15.0)) AS t(model, rin, rout))
+SELECT c.model, count(*) AS calls, sum(n)::BIGINT AS input_tokens, sum(n)::BIGINT AS output_tokens,
+  round((sum(n) * coalesce(any_value(rin), 3.0) + sum(n) * coalesce(any_value(rout), 15.0)) / 1000000, 6)::DOUBLE AS cost_usd
+FROM c LEFT JOIN p USING (model) GROUP BY c.model""")
+def usage_cost(spark, d):
+    n = X.token_estimate(F.col("text"))
+    calls = table(spark, d, "conversations").select(F.col("role").alias("model"), n.alias("input_tokens"), n.alias("output_tokens"))
+    return evaluation.usage(calls, spark.createDataFrame(list(PRICES), "model string, rate_in double, rate_out double"))
+
+
+@query("SELECT count(*) AS calls, sum(floor(length(text) / 3.0))::BIGINT AS input_tokens, round((sum(floor(length(text) / 3.0)) * 3.0 + count(*) * 450 * 15.0) / 1000000, 6)::DOUBLE AS cost_usd, (sum(floor(length(text) / 3.0)) * 3.0 + count(*) * 450 * 15.0) / 1000000 <= 5.0 AS within FROM documents")
+def cost_estimate(spark, d):
+    return evaluation.estimate(table(spark, d, "documents"), 3.0, 15.0, 450)
+
+
+@query("""WITH f AS (SELECT lang AS kind, coalesce(l.quality = 0, false) AS planted, regexp_matches(text, '[#*$%&|<>]') AS flagged FROM documents d LEFT JOIN labels l USING (doc_id)),
+s AS (SELECT kind, count(*) FILTER (planted AND flagged) AS tp, count(*) FILTER (NOT planted AND flagged) AS fp, count(*) FILTER (planted AND NOT flagged) AS fn FROM f GROUP BY kind),
+r AS (SELECT kind, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM s)
+SELECT kind, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1 FROM r""")
+def audit_scores(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    rows = table(spark, d, "documents").join(labels, "doc_id", "left")
+    rows = rows.select(F.col("lang").alias("kind"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("planted"), F.col("text").rlike(r"[#*$%&|<>]").alias("flagged"))
+    out = evaluation.audit_scores(rows)
+    return out.select("kind", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# Text
+
+
+@query(r"""SELECT doc_id, 'Art. ' || doc_id || '¹²' AS display, doc_id || '^12' AS canonical, doc_id || '^' || length(source) AS dashed FROM documents""")
+def normalise_article(spark, d):
+    i = F.col("doc_id").cast("string")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("art. "), i, F.lit("¹²")).alias("a"), F.concat(F.lit("Art."), i, F.lit("("), F.length("source").cast("string"), F.lit(")")).alias("b"))
+    canonical = X.normalise_article(F.col("a"))
+    return rows.select("doc_id", X.to_display(canonical).alias("display"), canonical.alias("canonical"), X.normalise_article(F.col("b")).alias("dashed"))
+
+
+@query("""SELECT chunk_id, 'Art. ' || chunk_id || ' § 21' AS citation, md5(trim(source || ' ' || lang || ' ' || text)) AS search_md5,
+  md5('passage: ' || source || ' > ' || lang || chr(10) || text) AS input_md5, floor(length(text) / 3.0)::BIGINT AS tokens FROM (SELECT doc_id AS chunk_id, * FROM documents)""")
+def chunk_texts(spark, d):
+    rows = base.chunks(spark, d)
+    path, content = F.col("title_path"), F.col("content")
+    return rows.select(
+        "chunk_id",
+        X.citation(F.col("article_display"), F.lit("2^1")).alias("citation"),
+        F.md5(X.search_text(path, content)).alias("search_md5"),
+        F.md5(X.embedding_input(path, content)).alias("input_md5"),
+        X.token_estimate(content).alias("tokens"),
+    )
+
+
+_LINES = """SELECT d.doc_id::VARCHAR AS act, lang, i AS segment, regexp_replace(translate(ls[i], '[]<>', ''), '^\\s+|\\s+$', '', 'g') AS text
+FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(1, len(ls) + 1)) AS t(i)"""
+
+
+@query(f"SELECT act, segment, segment::VARCHAR AS article, 'DZIAŁ I — ' || lang AS path, md5(text) AS text_md5 FROM ({_LINES})")
+def segment_articles(spark, d):
+    now, _ = parsing.articles(base.statutes(spark, d))
+    return now.select("act", "segment", "article", F.array_join("title_path", " > ").alias("path"), F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT act, count(*) AS articles, 0::BIGINT AS repealed, 0::BIGINT AS superscripted, count(*) FILTER (text <> '') AS paragraphs, '1' AS first, max(segment)::VARCHAR AS last FROM ({_LINES}) GROUP BY act")
+def parse_shape(spark, d):
+    return validation.shape(parsing.articles(base.statutes(spark, d))[0])
+
+
+@query(f"SELECT act, segment, 'little text' AS problem FROM ({_LINES}) WHERE length(text) < 20")
+def hollow_articles(spark, d):
+    return validation.hollow(parsing.articles(base.statutes(spark, d))[0]).select("act", "segment", F.lit("little text").alias("problem"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\.\s+', '. § 3. ', 'g'), '§ 3\. ') AS p FROM documents)
+SELECT doc_id, CASE WHEN len(p) > 1 THEN '3' ELSE '' END AS marker, i - 1 AS pos, md5(x) AS text_md5 FROM (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, x FROM (
+    SELECT doc_id, p, k, regexp_replace(p[k], '^\s+|\s+$', '', 'g') AS x FROM b, unnest(range(CASE WHEN len(p) > 1 THEN 2 ELSE 1 END, len(p) + 1)) AS t(k)) WHERE x <> '')""")
+def paragraph_split(spark, d):
+    body = F.regexp_replace("text", r"\.\s+", ". § 3. ")
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(parsing.paragraphs(body)).alias("pos", "p"))
+    return rows.select("doc_id", "p.marker", F.col("pos").cast("long").alias("pos"), F.md5("p.text").alias("text_md5"))
+
+
+# Chunks
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, i, len(list_filter(regexp_split_to_array(ls[i], '\s+'), lambda x: x <> '')) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
+g AS (SELECT doc_id, i, n, 0::BIGINT AS grp, n::BIGINT AS used FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.n, CASE WHEN g.used > 0 AND g.used + l.n > 60 THEN g.grp + 1 ELSE g.grp END,
+    CASE WHEN g.used > 0 AND g.used + l.n > 60 THEN l.n ELSE g.used + l.n END FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1)
+SELECT doc_id, grp AS part_index, count(*) AS n_pieces, sum(n)::BIGINT AS n_tokens FROM g GROUP BY doc_id, grp""")
+def greedy_pack(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return chunking.packed_rows(rows.withColumn("n", X.n_words(F.col("line"))), "doc_id", "at", "n", 60)
+
+
+def _document_chunks(spark, d):
+    body = F.regexp_replace("text", r"\n", " § 3. ")
+    rows = table(spark, d, "documents").select(
+        F.col("source").alias("act"), F.col("doc_id").cast("string").alias("article"), F.concat(F.lit("Art. "), F.col("doc_id").cast("string")).alias("article_display"),
+        F.array("lang").alias("title_path"), parsing.paragraphs(body).alias("paragraphs"), F.lit(1).alias("page_start"), F.lit(False).alias("repealed"), F.lit("").alias("repeal_kind"), "text",
+    )
+    return chunking.chunks(rows)
+
+
+@query()
+def chunk_documents(spark, d):
+    rows = _document_chunks(spark, d)
+    return rows.select("act", "article", "paragraph", "part_index", "n_tokens", F.md5("content").alias("content_md5"))
+
+
+@query()
+def chunks_over_limit(spark, d):
+    return chunking.over_limit(_document_chunks(spark, d)).select("act", "article", "part_index", "n_tokens")
+
+
+@query("SELECT role, turn, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS part_index FROM conversations")
+def part_index(spark, d):
+    return chunking.renumbered(table(spark, d, "conversations").select("role", "turn", "conv_id"), ["conv_id"], ["turn"])
+
+
+# Checks
+
+
+@query(SQL + " SELECT act, md5(content) AS content_md5, count(*) AS n FROM chunks GROUP BY ALL HAVING count(*) > 1")
+def dup_ids(spark, d):
+    return validation.duplicate_ids(base.chunks(spark, d).select("act", F.md5("content").alias("content_md5")), "act", "content_md5")
+
+
+@query("SELECT * FROM (SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, value FROM events) WHERE value < previous")
+def order_check(spark, d):
+    return validation.out_of_order(table(spark, d, "events"), "user_id", "event_id", F.col("value"))
+
+
+@query(SQL + " SELECT chunk_id FROM chunks WHERE NOT repealed AND length(content) < 20")
+def hollow(spark, d):
+    return validation.hollow(base.chunks(spark, d), "content").select("chunk_id")
+
+
+@query(SQL + " SELECT chunk_id FROM chunks WHERE repealed AND length(content) > 120")
+def substantial(spark, d):
+    return validation.substantial(base.chunks(spark, d), "content").select("chunk_id")
+
+
+@query()
+def swallowed(spark, d):
+    return validation.swallowed(base.chunks(spark, d), "content").select("chunk_id", "heading")
+
+
+@query("SELECT source AS act, count(*) AS n, 10 AS low, 49 AS high FROM documents GROUP BY source HAVING count(*) NOT BETWEEN 10 AND 49")
+def outside_band(spark, d):
+    acts = [r.source for r in table(spark, d, "documents").select("source").distinct().limit(1000).collect()]
+    rows = base.chunks(spark, d)
+    return validation.outside_band(rows, {a: (10, 49) for a in acts})
+
+
+@query(SQL + " SELECT chunk_id FROM embedded WHERE embedding IS NOT NULL AND len(embedding) <> 64".replace("embedded", "(SELECT c.chunk_id, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id)"))
+def wrong_width(spark, d):
+    return validation.wrong_width(base.chunks(spark, d, embedded=True), 64).select("chunk_id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing")
+def unpaired(spark, d):
+    return validation.unpaired(table(spark, d, "documents").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+def _gold(spark, d):
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("qid"), F.lit("src0").alias("act"), F.col("text").alias("question"), F.array(F.col("item_id").cast("string"), F.lit("0")).alias("ground_truth_articles"),
+        F.lit("").alias("notes"), F.lit("").alias("source_url"), F.substring("text", 1, 1).alias("topic"),
+    )
+
+
+@query(SQL + """, gold AS (SELECT item_id::VARCHAR AS qid, 'src0' AS act, unnest([item_id::VARCHAR, '0']) AS article FROM benchmark)
+SELECT 'not in the corpus' AS problem, qid, article FROM gold WHERE (act, article) NOT IN (SELECT (act, article) FROM chunks)
+UNION ALL SELECT 'repealed without a note', qid, article FROM gold JOIN chunks USING (act, article) WHERE repealed""")
+def gold_missing(spark, d):
+    return validation.gold_problems(_gold(spark, d), base.chunks(spark, d))
+
+
+@query("SELECT text[1] AS topic, count(*) AS n, 0::BIGINT AS single, count(*) AS multi, count(*) AS unsourced, count(*) < 2 AS thin FROM benchmark GROUP BY 1")
+def gold_report(spark, d):
+    return validation.gold_report(_gold(spark, d))
+
+
+@query(SQL + " SELECT DISTINCT act, article, repealed FROM chunks")
+def known_articles(spark, d):
+    return validation.known_articles(base.chunks(spark, d))
+
+
+# Loading
+
+
+@query("""WITH top AS (SELECT max(doc_id) AS m FROM labels),
+new AS (SELECT m + row_number() OVER (ORDER BY doc_id) AS id, doc_id, n_chars AS value FROM documents, top WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT * FROM new UNION ALL SELECT l.doc_id, l.doc_id, coalesce(d.n_chars, l.quality) FROM labels l LEFT JOIN documents d USING (doc_id)""")
+def upsert_merge(spark, d):
+    target = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "doc_id", F.col("quality").cast("long").alias("value"))
+    return loading.upsert(target, table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("value")), ["doc_id"])
+
+
+_PRUNED = "(SELECT lang, doc_id FROM documents) t {0} JOIN (SELECT d.lang, l.doc_id FROM labels l JOIN documents d USING (doc_id)) USING (lang, doc_id)"
+
+
+@query(f"SELECT lang, doc_id FROM {_PRUNED.format('ANTI')}")
+def prune_stale(spark, d):
+    target = table(spark, d, "documents").select("lang", "doc_id")
+    given = target.join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    return loading.stale(target, given, ["lang", "doc_id"], "lang").select("lang", "doc_id")
+
+
+@query(f"SELECT lang, doc_id FROM {_PRUNED.format('SEMI')}")
+def pruned_table(spark, d):
+    target = table(spark, d, "documents").select("lang", "doc_id")
+    given = target.join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    return loading.prune(target, given, ["lang", "doc_id"], "lang").select("lang", "doc_id")
+
+
+@query(SQL.replace("embedded AS", "e0 AS") + " SELECT count(*) AS chunks, count(DISTINCT article) AS articles, count(*) FILTER (embedding IS NULL) AS unembedded, count(*) FILTER (repealed) AS repealed FROM e0")
+def load_stats(spark, d):
+    return loading.load_stats(base.chunks(spark, d, embedded=True))
+
+
+@query("""SELECT sha256('[' || string_agg('{"eli":"DU/' || n_nationkey || '","sha256":"' || sha256(n_name) || '","slug":"' || n_name || '","variant":null}', ',' ORDER BY n_name) || ']') AS digest FROM nation""")
+def manifest_digest(spark, d):
+    acts = table(spark, d, "nation").select(
+        F.col("n_name").alias("slug"), F.concat(F.lit("DU/"), F.col("n_nationkey").cast("string")).alias("eli"), F.lit(None).cast("string").alias("variant"), F.sha2("n_name", 256).alias("sha256")
+    )
+    return files.manifest_digest(acts)
+
+
+@query("""SELECT n_name AS slug, CASE WHEN n_regionkey IS NULL THEN 'missing' WHEN n_regionkey = 0 THEN 'pinned' WHEN r_name = n_name THEN 'matches' ELSE 'mismatch' END AS status
+FROM nation LEFT JOIN region ON r_regionkey = n_regionkey""")
+def verify_or_pin(spark, d):
+    nation = table(spark, d, "nation")
+    acts = nation.select(F.col("n_name").alias("slug"), F.col("n_regionkey").alias("file_name"), F.when(F.col("n_regionkey") != 0, F.sha2("n_name", 256)).alias("sha256"))
+    found = table(spark, d, "region").select(F.col("r_regionkey").alias("file_name"), F.sha2("r_name", 256).alias("digest"))
+    return files.verify_or_pin(acts, found).select("slug", "status")
+
+
+# Answers
+
+
+def _shown(spark, d):
+    found = search.hits(hybrid_topk(spark, d), base.chunks(spark, d))
+    return found.join(bounded(base.questions(spark, d), 4096), "qid")
+
+
+_TERMS = r"list_distinct(regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+)', 1))"
+_GRADED = fused_sql("weighted", 0.8) + f""",
+graded AS (SELECT m.qid, m.rank, act, article, len(list_intersect({_TERMS.format("content")}, {_TERMS.format("question")})) >= 3 AS relevant
+  FROM merged m JOIN chunks USING (chunk_id) JOIN questions USING (qid)),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM graded WHERE relevant) WHERE place <= 6)"""
+
+
+@query(_GRADED + " SELECT q.qid, coalesce(n, 0) AS n_graded, CASE WHEN n > 0 THEN 'answer' ELSE 'refuse' END AS route FROM questions q LEFT JOIN (SELECT qid, count(*) AS n FROM kept GROUP BY qid) USING (qid)")
+def qa_route(spark, d):
+    return qa.route(base.questions(spark, d), qa.grade(_shown(spark, d)))
+
+
+@query(_GRADED + " SELECT qid, rank, act, article FROM graded WHERE NOT relevant")
+def qa_rejected(spark, d):
+    return qa.rejected(qa.grade(_shown(spark, d))).drop("reason")
+
+
+@query(_GRADED + TRUTH_SQL + " SELECT DISTINCT t.qid, t.act, t.article, k.qid IS NOT NULL AS supported FROM truth t LEFT JOIN kept k USING (qid, act, article)")
+def verify_citations(spark, d):
+    return qa.verify_citations(base.truth(spark, d), qa.kept(qa.grade(_shown(spark, d))))
+
+
+@query()
+def ask(spark, d):
+    found = search.hits(hybrid_topk(spark, d), base.chunks(spark, d))
+    out = qa.ask(qa.understand(base.questions(spark, d)), found)
+    return out.select("qid", "refused", "refusal_reason", "considered", F.size("grounded_in").alias("n_grounded"), F.size("citations").alias("n_citations"), F.md5("answer").alias("answer_md5"))
+
+
+# Glyphs
+
+_GLYPH_LINES = r"""SELECT doc_id AS page, i - 1 AS line, trim(regexp_replace(regexp_replace(ls[i], '([0-9]+)', '^\1', 'g'), '\s+', ' ', 'g')) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)"""
+
+
+@query(f"SELECT page, line, md5(text) AS text_md5 FROM ({_GLYPH_LINES}) WHERE text <> ''")
+def glyph_lines(spark, d):
+    rows = base.glyphs(spark, d)
+    return glyphs.lines(rows, glyphs.body_size(rows)).select("page", "line", F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT page, md5(string_agg(text, chr(10) ORDER BY line)) AS text_md5 FROM ({_GLYPH_LINES}) WHERE text <> '' GROUP BY page")
+def glyph_pages(spark, d):
+    return glyphs.extract(base.glyphs(spark, d), 1 << 30).select(F.col("number").alias("page"), F.md5("text").alias("text_md5"))
