@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, jaccard, langid, lines, mixing
-from lexspark.llm.common import small, table, written
+from lexspark.llm.common import ship, small, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,26 +58,26 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to it."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    ids = ids.withColumn("sha256", F.sha2("text", 256)).drop("text")
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return back.select(
         "doc_id",
         "lang",
         "source",
         "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"),
+        (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"),
     )
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("source_mix", source_mix),
-    ("token_ids", token_ids),
-]
+def _shipped(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _shipped(f)) for f in (language_id, line_dedup, near_duplicates, source_mix, token_ids)]
 
 ORACLE_SQL = None
 

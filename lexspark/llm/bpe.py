@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Entries of a worker's memo of pre-tokens; when full it starts anew.
-MEMO = 800_000
+from lexspark.llm.common import held
+
+#: Entries of each generation of a worker's memo of pre-tokens.
+MEMO = 400_000
 #: Pieces of at most so many bytes keep a bucket as one integer, a bit for each position.
 SHORT = 256
 #: Longer pre-tokens are encoded each time they occur.
@@ -133,50 +137,60 @@ class Encoder:
     def _short(self, piece: bytes, n: int) -> tuple[int, ...]:
         """The same with the queue inlined: two levels of 256-bit words, buckets as position bits."""
         rank_of = self.ranks.get
-        after, pair = list(range(1, n + 1)), [-1] * n
-        before = list(range(-1, n - 1))
+        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         top, words, buckets = 0, {}, {}
-        fresh = [(r, i) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
-        while True:
-            for rank, i in fresh:
-                pair[i] = rank
-                bits = buckets.get(rank, 0)
-                buckets[rank] = bits | 1 << i
-                if not bits:
-                    word = rank >> 8
-                    top |= 1 << word
-                    words[word] = words.get(word, 0) | 1 << (rank & 255)
-            while top:
-                word = (top & -top).bit_length() - 1
-                bits = words[word]
-                rank = word << 8 | (bits & -bits).bit_length() - 1
-                held = buckets[rank]
-                low = held & -held
-                held ^= low
+        for i in range(n - 1):
+            rank = rank_of(piece[i : i + 2])
+            if rank is None:
+                continue
+            pair[i] = rank
+            if rank in buckets:
+                buckets[rank] |= 1 << i
+                continue
+            buckets[rank] = 1 << i
+            word = rank >> 8
+            top |= 1 << word
+            words[word] = words.get(word, 0) | 1 << (rank & 255)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            held = buckets[rank]
+            i = (held & -held).bit_length() - 1
+            held &= held - 1
+            if held:
                 buckets[rank] = held
-                if not held:
-                    bits &= bits - 1
-                    words[word] = bits
-                    if not bits:
-                        top &= top - 1
-                i = low.bit_length() - 1
-                if pair[i] == rank:
-                    break
             else:
-                break
+                del buckets[rank]
+                bits &= bits - 1
+                words[word] = bits
+                if not bits:
+                    top &= top - 1
+            if pair[i] != rank:
+                continue
             gone = after[i]
             end = after[i] = after[gone]
             pair[gone] = pair[i] = -1
-            fresh = []
+            changed = ()
             if end < n:
                 before[end] = i
-                if (r := rank_of(piece[i : after[end]])) is not None:
-                    fresh.append((r, i))
+                changed = ((i, after[end]),)
             left = before[i]
             if left >= 0:
                 pair[left] = -1
-                if (r := rank_of(piece[left:end])) is not None:
-                    fresh.append((r, left))
+                changed += ((left, end),)
+            for at, stop in changed:
+                rank = rank_of(piece[at:stop])
+                if rank is None:
+                    continue
+                pair[at] = rank
+                if rank in buckets:
+                    buckets[rank] |= 1 << at
+                    continue
+                buckets[rank] = 1 << at
+                word = rank >> 8
+                top |= 1 << word
+                words[word] = words.get(word, 0) | 1 << (rank & 255)
         ids, i = [], 0
         while i < n:
             end = after[i]
@@ -186,66 +200,126 @@ class Encoder:
 
 
 class Memo(dict):
-    """Ids by pre-token, at most MEMO of them."""
+    """Ids by pre-token, as packed 32-bit integers, in two generations of at most MEMO: a full one
+    becomes the old one, from which what is asked for again comes back."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.piece(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.encoder.piece(piece.encode())
+            ids = struct.pack(f"<{len(found)}i", *found)
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str | None], list[int]]:
-    """Text to ids. Each match of `pattern` is encoded separately; null is the empty text."""
-    import regex
-
-    memo, findall = Memo(Encoder(ranks)), regex.compile(pattern).findall
-    return lambda text: list(chain.from_iterable(map(memo.__getitem__, findall(text)))) if text else []
-
-
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[], Callable]) -> DataFrame:
-    """`df` with column `name` (replaced if there) from `source`, by a function built once a worker."""
-    fields = [f for f in df.schema.fields if f.name != name]
-    at, arrow = df.columns.index(source), pa.list_(pa.int32()) if isinstance(kind, T.ArrayType) else pa.binary()
-    kept = [i for i, f in enumerate(df.schema.fields) if f.name != name]
+def latin_pattern(pattern: str) -> str | None:
+    """`pattern` for the standard library's matcher, right for texts of U+0000 to U+00FF only: there the
+    classes that it names are these short lists. None where it uses what that matcher lacks."""
+    letters, numbers, spaces = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]")
+    out = out.replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+    return None if "\\p" in out else out
+
+
+class Codec:
+    """Encodes texts to packed ids and decodes ids to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
+
+        self.memo = Memo(Encoder(ranks))
+        self.every = regex.compile(pattern).findall
+        latin = latin_pattern(pattern)
+        self.latin = re.compile(latin).findall if latin else self.every
+        self.wide = re.compile("[^\x00-\xff]").search
+        size = max(ranks.values(), default=-1) + 1
+        tokens = [b""] * size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def packed(self, text: str | None) -> bytes:
+        """Each match of the pattern is encoded separately; null is the empty text."""
+        if not text:
+            return b""
+        find = self.latin if text.isascii() or not self.wide(text) else self.every
+        return b"".join(map(self.memo.__getitem__, find(text)))
+
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        n = self.length[ids]
+        end = np.cumsum(n)
+        if not len(end):
+            return b""
+        return self.flat[np.repeat(self.start[ids] - end + n, n) + np.arange(end[-1])].tobytes()
+
+
+def _columns(df: DataFrame, source: str, more: list[T.StructField], make: Callable) -> DataFrame:
+    """`df` with columns `more` (replaced if there) that `make` gets from batches of `source`."""
+    new = {f.name for f in more}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name not in new]
+    fields = [df.schema.fields[i] for i in kept] + more
+    names, at = [f.name for f in fields], df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
-        names = [f.name for f in fields] + [name]
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):  # bounds what Python holds of long texts at once
-                part = batch.slice(start, 512)
-                made = pa.array([of(x) for x in part.column(at).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + [made], names=names)
+            for start in range(0, batch.num_rows, 256):  # bounds what Python holds of long texts at once
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *make(part.column(at))], names=names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+def _list_array(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """`df` with array<int> column `ids`: the ids of the whole text, no special tokens.
+def encode(
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None
+) -> DataFrame:
+    """`df` with array<int> column `ids`: the ids of the whole text, no special tokens. With `decoded`,
+    also that binary column: the bytes of these ids, decoded in the same pass.
 
     The driver reads the rank file (of bounded size: one line a token) and broadcasts it. No shuffle;
     one pass over the rows. Null and empty texts give an empty array; other columns pass through,
-    one called like `ids` is replaced.
+    one called like a new one is replaced.
     """
     ranks = _shared(df.sparkSession, ranks_path)
-    return _with_column(df, ids, T.ArrayType(T.IntegerType()), text, lambda: text_encoder(ranks.value, pattern))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    more += [T.StructField(decoded, T.BinaryType())] if decoded else []
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        codec = held(f"bpe {pattern}", ranks.value, lambda: Codec(ranks.value, pattern))
+        packed = [codec.packed(t) for t in texts.to_pylist()]
+        out = [_list_array(packed)]
+        if decoded:
+            out.append(pa.array([codec.bytes_of(np.frombuffer(p, "<i4")) for p in packed], pa.binary()))
+        return out
+
+    return _columns(df, text, more, make)
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """`df` with binary column `to`: the bytes of the ids. A null array decodes to no bytes."""
     ranks = _shared(df.sparkSession, ranks_path)
 
-    def make():
-        token = {rank: piece for piece, rank in ranks.value.items()}.__getitem__
-        return lambda x: b"".join(map(token, x or ()))
+    def make(lists: pa.Array) -> list[pa.Array]:
+        codec = held(f"bpe {pattern}", ranks.value, lambda: Codec(ranks.value, pattern))
+        return [pa.array([codec.bytes_of(np.array(x or [], np.int64)) for x in lists.to_pylist()], pa.binary())]
 
-    return _with_column(df, to, T.BinaryType(), ids, make)
+    return _columns(df, ids, [T.StructField(to, T.BinaryType())], make)
 
 
 def _shared(spark: SparkSession, path: str):

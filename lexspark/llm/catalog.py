@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, chat, jaccard, langid, lines, media, mixing, quality, urls, wrappers
-from lexspark.llm.common import table
+from lexspark.llm.common import ship, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The conversation that the contract of op4 adds.
@@ -32,8 +32,7 @@ def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids, and digests both. Null is the empty text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, RANKS).select(
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
@@ -105,8 +104,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _shipped(f)
     for f in (
         op1_mix_sources,
         op2_html_wrappers,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once a session, so that they need no copy of it."""
+    root = Path(__file__).parents[1]
+    name = f"{root.name}-{spark.sparkContext.applicationId}.zip"
+    if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    path = Path(tempfile.mkdtemp(prefix="lexspark-")) / name
+    with ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once to the shared folder and read again: lineage ends there, and a lost
     executor costs no recomputation. `discard` deletes what a session has written."""
@@ -59,6 +75,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: What a worker process has set up for the operator it last ran: name, source, object.
+_HELD: list = []
+
+
+def held(name: str, source: object, make: Callable[[], object]) -> object:
+    """make(), kept by the worker process for its later tasks. Only the last operator's is kept, so
+    that memos of several stages do not add up in one process."""
+    if not _HELD or _HELD[0] != name or _HELD[1] is not source:
+        _HELD.clear()
+        _HELD.extend((name, source, make()))
+    return _HELD[2]
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected `edges` (a, b); component is the smallest node reachable.
 
