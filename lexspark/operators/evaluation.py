@@ -6,9 +6,11 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from lexspark.sources import schemas
+
 REPORTED_K = (3, 5, 10)
 # Fixed values of the gate.
 TOLERANCE, EPSILON = 0.03, 1e-9
@@ -49,6 +51,19 @@ def missed(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.where(F.col(f"hit_{k}") == 0).select("qid")
 
 
+def history_row(spark, scored: Row, missed_at_5: Sequence[str], context: Mapping) -> DataFrame:
+    """One run as a history row (context, metrics): `scored` is a row of `scores`, `context` the run's
+    provenance (commit, time, models, configuration and manifest digests, cost, duration)."""
+    metrics = dict.fromkeys(schemas.struct(schemas.METRICS).names) | {
+        "layer": "retrieval",
+        "n_questions": scored.n_questions,
+        "recall_at_k": {n.rpartition("_")[2]: v for n, v in scored.asDict().items() if n.startswith("recall_at_")},
+        "mrr": scored.mrr,
+        "misses_at_5": list(missed_at_5),
+    }
+    return spark.createDataFrame([{"context": dict(context), "metrics": metrics}], schemas.history(with_seq=False))
+
+
 def tracked(history: DataFrame) -> DataFrame:
     """(run_seq, layer, metric, value) of history rows with `recall_at_k` and plain metrics in a map."""
     return history.select("run_seq", "layer", F.explode("metrics").alias("metric", "value"))

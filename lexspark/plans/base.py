@@ -117,7 +117,7 @@ cos AS (
 den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cos) WHERE rank <= 25)"""
 
 
-def fused_sql(fusion: str, alpha: float) -> str:
+def fused_sql(fusion: str, alpha: float, k: int = 10) -> str:
     if fusion == "rrf":
         lex, den = "1.0::DOUBLE / (60 + rank)", "1.0::DOUBLE / (60 + rank)"
     else:
@@ -131,7 +131,7 @@ fused AS (
          l.rank AS lexical_rank, d.rank AS dense_rank
   FROM l FULL JOIN d USING (qid, chunk_id)),
 merged AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10)"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= {k})"""
 
 
 _SPACED = r"' ' || array_to_string(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''), ' ') || ' '"
@@ -139,7 +139,7 @@ TRUTH_SQL = rf""",
 truth AS (
   SELECT b.item_id AS qid, d.source AS act, d.doc_id::VARCHAR AS article
   FROM (SELECT *, {_SPACED.format("text")} AS t FROM documents) d JOIN (SELECT *, {_SPACED.format("text")} AS t FROM benchmark) b ON contains(d.t, b.t))"""
-EVAL_SQL = rf"""{fused_sql("weighted", 0.8)}{TRUTH_SQL},
+EVAL_SQL = rf"""{fused_sql("weighted", 0.8, 50)}{TRUTH_SQL},
 articles AS (
   SELECT qid, act, article, row_number() OVER (PARTITION BY qid ORDER BY best, act, article) AS rank
   FROM (SELECT qid, act, article, min(rank) AS best FROM merged JOIN chunks USING (chunk_id) GROUP BY ALL)),

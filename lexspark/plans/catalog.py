@@ -144,15 +144,21 @@ def fuzzy_citation(spark, d):
 # Evaluation
 
 
+def _pool(spark, d):
+    """Both legs' candidates merged whole, then collapsed to articles."""
+    rows = base.chunks(spark, d, embedded=True)
+    lex = search.lexical_search(rows, *base.index(rows), base.questions(spark, d))
+    ranked = search.merge(lex, search.dense_search(rows, base.vectors(spark, d)), 2 * search.CANDIDATES)
+    return search.collapse_to_articles(ranked, rows)
+
+
 def _per_question(spark, d):
-    rows = base.chunks(spark, d)
-    found = search.collapse_to_articles(hybrid_topk(spark, d), rows)
-    return evaluation.per_question(base.truth(spark, d), found)
+    return evaluation.per_question(base.truth(spark, d), _pool(spark, d))
 
 
 @query(EVAL_SQL + " SELECT qid, act, article, rank FROM articles")
 def article_collapse(spark, d):
-    return search.collapse_to_articles(hybrid_topk(spark, d), base.chunks(spark, d))
+    return _pool(spark, d)
 
 
 @query(SQL + TRUTH_SQL + " SELECT DISTINCT qid, act, article FROM truth")
@@ -172,19 +178,10 @@ def missed_at_5(spark, d):
     return evaluation.missed(_per_question(spark, d))
 
 
-@query(EVAL_SQL.replace("WHERE NOT repealed) WHERE rank <= 25", "WHERE NOT repealed)").replace("FROM cos) WHERE rank <= 25", "FROM cos)").replace("FROM fused) WHERE rank <= 10", "FROM fused)")
-       + " SELECT round(avg(pool), 6) AS pool_recall FROM per")
+@query(EVAL_SQL + " SELECT qid, n_truth, round(pool, 6) AS pool, round(pool - recall_5, 6) AS headroom FROM per")
 def pool_recall(spark, d):
-    rows = base.chunks(spark, d, embedded=True)
-    terms, stats = base.index(rows)
-    every = 1 << 30
-    legs = search.fuse(
-        search.lexical_search(rows, terms, stats, base.questions(spark, d), every), search.dense_search(rows, base.vectors(spark, d), every)
-    )
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    found = search.collapse_to_articles(legs.withColumn("rank", F.row_number().over(order)), rows)
-    per = evaluation.per_question(base.truth(spark, d), found)
-    return per.agg(F.round(F.avg("pool"), 6).alias("pool_recall"))
+    per = _per_question(spark, d)
+    return per.select("qid", "n_truth", F.round("pool", 6).alias("pool"), F.round(F.col("pool") - F.col("recall_5"), 6).alias("headroom"))
 
 
 _HISTORY = "SELECT event_type AS layer, dayofyear(ts) AS run_seq, avg(value) AS value FROM events GROUP BY ALL"
