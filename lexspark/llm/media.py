@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm.common import written
+
 ROW = 192
 PAD = 32
-SALTS = 16
+#: A digest is hot with more than one in so many of all references; its keys are then spread over so many.
+HOT_SHARE, SALTS = 2_000, 64
 #: zlib level of the stored samples; a fixed value, since it shapes the stored bytes.
 LEVEL = 1
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -208,14 +211,21 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, to: str = "items")
     """The columns of `sequences` beside `to`, with pos, caption, digest and the columns of `media`, for
     every media reference; null where the store has no such digest.
 
-    References are many to a digest and may crowd on one, so both sides are salted: a reference picks
-    one of SALTS rows that each digest has. `media` should be light (see `facts`), so that payloads
-    cross the shuffle once, on their way into the store.
+    References are many to a digest and may crowd on one. Digests with more than a HOT_SHARE of all
+    references, of which there are few by that definition, are spread over SALTS keys on both
+    sides. `media` should be light (see `facts`), so that payloads cross the shuffle once, on their
+    way into the store.
     """
     rest = [c for c in sequences.columns if c != to]
     one = sequences.select(*rest, F.explode(to).alias("__item")).where("__item.kind = 'media'")
-    refs = one.select(*rest, "__item.pos", "__item.caption", "__item.digest").withColumn("__salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)))
-    rows = media.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    refs = written(one.select(*rest, "__item.pos", "__item.caption", "__item.digest"), "refs")
+    many = refs.count() // HOT_SHARE
+    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where((F.col("n") > many) & F.col("digest").isNotNull())
+    hot = F.broadcast(written(hot.select("digest", F.lit(SALTS).alias("__salts")), "hot"))  # at most HOT_SHARE rows
+    salts = F.coalesce("__salts", F.lit(1))
+    refs = refs.join(hot, "digest", "left").withColumn("__salt", F.pmod(F.xxhash64(key, "pos"), salts)).drop("__salts")
+    rows = media.join(hot, "digest", "left")
+    rows = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("__salts")
     return refs.join(rows, ["digest", "__salt"], "left").drop("__salt")
 
 
