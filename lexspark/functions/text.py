@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,11 @@ SENTENCE_END = r"(?<=[.;:])\s+"
 CHARS_PER_TOKEN = 3.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once, also where body uses it inside of lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def terms(text: Column, stop: Sequence[str] = ()) -> Column:
     """Lower-cased runs of letters and digits, in order, without stop words; empty for null."""
     found = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1), F.array().cast("array<string>"))

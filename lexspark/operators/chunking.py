@@ -29,18 +29,17 @@ def pack(sizes: Column, budget: Column) -> Column:
 
 def grouped(pieces: Column, count: Counter, budget: Column) -> Column:
     """Array of arrays: `pieces` (structs with text) packed by `count`."""
-    groups = pack(F.transform(pieces, lambda p: count(p["text"]).cast("long")), budget)
-    return F.transform(
-        F.array_distinct(groups),
-        lambda g: F.filter(pieces, lambda p, i: F.get(groups, i) == g),
-    )
+    sizes = F.transform(pieces, lambda p: count(p["text"]).cast("long"))
+    of = lambda groups: F.transform(F.array_distinct(groups), lambda g: F.filter(pieces, lambda p, i: F.get(groups, i) == g))
+    return X.let(pack(sizes, budget), of)
 
 
 def split_oversized(text: Column, count: Counter, budget: Column) -> Column:
     """Array of texts: `text` if it fits, else its sentences (parted after . ; or :) packed in order; a
     sentence over the budget stays whole."""
     sentences = F.transform(F.split(text, X.SENTENCE_END), lambda s: F.struct(s.alias("text")))
-    joined = F.transform(grouped(sentences, count, budget), lambda g: F.array_join(F.transform(g, lambda s: s["text"]), " "))
+    groups = X.let(sentences, lambda pieces: grouped(pieces, count, budget))
+    joined = F.transform(groups, lambda g: F.array_join(F.transform(g, lambda s: s["text"]), " "))
     return F.when(count(text) <= budget, F.array(text)).otherwise(joined)
 
 
@@ -61,17 +60,22 @@ def chunks(articles: DataFrame, count: Counter = X.n_words, budget: int = TOKEN_
     header = lambda m: X.citation(F.col("article_display"), m)
     overhead = count(X.embedding_input(F.col("title_path"), F.concat(header(widest), F.lit("."))))
     rows = rows.withColumn("left", F.greatest(F.lit(budget) - overhead, F.lit(LEAST_BUDGET)).cast("long"))
-    whole = _joined(F.col("pieces"))
-    single = F.size("pieces") == 1
-    one = F.array(struct(F.when(single, F.get("pieces", F.lit(0))["marker"]).otherwise(F.lit("")), F.when(single, F.get("pieces", F.lit(0))["text"]).otherwise(whole)))
+    left = F.col("left")
 
     def parts(group: Column) -> Column:
-        alone = F.transform(split_oversized(group[0]["text"], count, F.col("left")), lambda t: struct(group[0]["marker"], t))
+        alone = F.transform(split_oversized(group[0]["text"], count, left), lambda t: struct(group[0]["marker"], t))
         return F.when(F.size(group) == 1, alone).otherwise(F.array(struct(F.lit(""), _joined(group))))
 
-    many = F.flatten(F.transform(grouped(F.col("pieces"), count, F.col("left")), parts))
+    def cut(pieces: Column, whole: Column) -> Column:
+        single = F.size(pieces) == 1
+        first = F.get(pieces, F.lit(0))
+        one = F.array(struct(F.when(single, first["marker"]).otherwise(F.lit("")), F.when(single, first["text"]).otherwise(whole)))
+        many = F.flatten(F.transform(grouped(pieces, count, left), parts))
+        return F.when(count(whole) <= left, one).otherwise(many)
+
     empty = F.array(struct(F.lit(""), F.col("text")))
-    body = F.when(F.size("pieces") == 0, empty).when(count(whole) <= F.col("left"), one).otherwise(many)
+    made = X.let(F.col("pieces"), lambda pieces: X.let(_joined(pieces), lambda whole: cut(pieces, whole)))
+    body = F.when(F.size("pieces") == 0, empty).otherwise(made)
     rows = rows.select("*", F.posexplode(body).alias("part_index", "part"))
     content = F.trim(F.concat(header(F.col("part.marker")), F.lit(". "), F.col("part.text")))
     return rows.select(

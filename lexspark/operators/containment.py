@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.sizes import bounded
+from lexspark.functions.text import let
 
 ANCHOR = 4
 
@@ -28,9 +29,12 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     rows = docs.select(F.col(doc).alias("doc"), _words(F.col(text)).alias("dw"))
 
     def windows(n: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("dw") - n + 1)
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("dw", i, F.lit(n)), " "), F.lit(n)))
-        return rows.select("doc", F.explode(F.when(F.size("dw") >= n, F.array_distinct(hashes))).alias("anchor"))
+        def hashes(words: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+            each = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(n)))
+            return F.when(F.size(words) >= n, F.array_distinct(each))
+
+        return rows.select("doc", F.explode(let(F.col("dw"), hashes)).alias("anchor"))
 
     every = reduce(DataFrame.union, map(windows, sizes))
     met = every.join(bounded(asked.select("item", "anchor"), 64), "anchor").select("doc", "item")

@@ -71,15 +71,19 @@ def segments(pages: DataFrame) -> DataFrame:
 def paragraphs(body: Column) -> Column:
     """Array of (marker, text, repealed): the body cut at its § markers. Without a marker the body is
     one unmarked paragraph; text before the first marker and empty paragraphs are dropped."""
-    parts = F.split(F.regexp_replace(body, X.MARKER, f"{_CUT}$1{_CUT}"), _CUT)
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2)),
-        lambda i: F.struct(F.get(parts, i).alias("marker"), X.strip(F.get(parts, i + 1)).alias("text")),
-    )
     none = F.array(F.struct(F.lit("").alias("marker"), X.strip(body).alias("text")))
-    found = F.filter(F.when(F.size(parts) >= 3, pairs).otherwise(none), lambda p: p["text"] != "")
+
+    def pairs(parts: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2)),
+            lambda i: F.struct(F.get(parts, i).alias("marker"), X.strip(F.get(parts, i + 1)).alias("text")),
+        )
+        return F.when(F.size(parts) >= 3, each).otherwise(none)
+
+    found = X.let(F.split(F.regexp_replace(body, X.MARKER, f"{_CUT}$1{_CUT}"), _CUT), pairs)
     return F.transform(
-        found, lambda p: F.struct(p["marker"].alias("marker"), p["text"].alias("text"), (X.repeal_kind(p["text"]) != "").alias("repealed"))
+        F.filter(found, lambda p: p["text"] != ""),
+        lambda p: F.struct(p["marker"].alias("marker"), p["text"].alias("text"), (X.repeal_kind(p["text"]) != "").alias("repealed")),
     )
 
 
