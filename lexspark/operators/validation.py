@@ -48,10 +48,12 @@ def statutory_order(articles: DataFrame) -> DataFrame:
     return out_of_order(articles, "act", "segment", X.sort_key(F.col("article")))
 
 
-def outside_band(articles: DataFrame, bands: Mapping[str, tuple[int, int]] = EXPECTED) -> DataFrame:
-    """Acts whose number of articles is out of the expected band."""
+def outside_band(
+    articles: DataFrame, bands: Mapping[str, tuple[int, int]] = EXPECTED, default: tuple[int, int] = ANY_COUNT
+) -> DataFrame:
+    """Acts whose number of articles is out of the expected band; `default` is that of other acts."""
     table = F.create_map(*[x for act, (low, high) in bands.items() for x in (F.lit(act), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))])
-    band = F.coalesce(table[F.col("act")], F.struct(F.lit(ANY_COUNT[0]).alias("low"), F.lit(ANY_COUNT[1]).alias("high")))
+    band = F.coalesce(table[F.col("act")], F.struct(F.lit(default[0]).alias("low"), F.lit(default[1]).alias("high")))
     counts = articles.groupBy("act").agg(F.count("*").alias("n")).withColumn("band", band)
     return counts.where(~F.col("n").between(F.col("band.low"), F.col("band.high"))).select("act", "n", "band.low", "band.high")
 
