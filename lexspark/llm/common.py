@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import shutil
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from io import BytesIO
 from pathlib import Path
 from zipfile import ZipFile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="lexspark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -38,27 +47,60 @@ def ship(spark: SparkSession) -> None:
     name = f"{root.name}-{spark.sparkContext.applicationId}.zip"
     if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
         return
-    path = Path(tempfile.mkdtemp(prefix="lexspark-")) / name
-    with ZipFile(path, "w") as z:
+    held = BytesIO()
+    with ZipFile(held, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
+    path = f"{shared_dir(spark)}/{name}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(held.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
+#: Folder within the session's, for what is written from here on.
+_SCOPE = ["operators"]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexspark-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once to the shared folder and read again: lineage ends there, and a lost
-    executor costs no recomputation. `discard` deletes what a session has written."""
+    executor costs no recomputation. `drop` deletes one such table, `discard` many."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{_SCOPE[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
 
+def drop(table: DataFrame) -> None:
+    """Deletes a written table that nothing will read again."""
+    _delete(table.sparkSession, table._written_at)
 
-def discard(spark: SparkSession) -> None:
-    """Deletes every table that this session's operators have written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexspark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def discard(spark: SparkSession, scope: str | None = None) -> None:
+    """Deletes every table that this session's operators have written, or those of one scope."""
+    _delete(spark, _session_dir(spark) + (f"/{scope}" if scope else ""))
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to that scope."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -83,11 +125,21 @@ def held(name: str, source: object, make: Callable[[], object]) -> object:
     """make(), kept by the worker process for its later tasks. Only the last operator's is kept, so
     that memos of several stages do not add up in one process."""
     if not _HELD or _HELD[0] != name or _HELD[1] is not source:
-        _HELD.clear()
+        release()
         _HELD.extend((name, source, make()))
     return _HELD[2]
 
 
+def release() -> None:
+    """Drops what the worker process holds for an operator before, and gives freed memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected `edges` (a, b); component is the smallest node reachable.
 

@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import held, release, written
 
 #: Longest n-gram for unseen words; ^ and $ mark the ends of the word.
 ORDER = 5
 #: What the fit is bounded by, for each language: labelled documents (about so many, chosen by hash),
 #: words kept, n-grams kept for each length.
-FIT_DOCS, FIT_WORDS, FIT_GRAMS = 3_000, 30_000, 8_000
+FIT_DOCS, FIT_WORDS, FIT_GRAMS = 3_000, 20_000, 5_000
 #: Vectors a worker keeps besides the model's own; beyond it they are computed anew.
-MEMO = 400_000
+MEMO = 200_000
 #: Weight of an unseen event in counts.
 SMOOTHING = 0.5
 UNDETERMINED = "und"
@@ -44,20 +44,22 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language; `tables[0]` holds the words, `tables[n]` the n-grams of length n."""
+    """Log frequencies by language: `tables[0]` has the rows of `values` by word, `tables[n]` those of the
+    n-grams of length n."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[dict[str, int]]
+    values: np.ndarray
 
     def vector(self, word: str) -> np.ndarray:
         found = self.tables[0].get(word)
         if found is not None:
-            return found
+            return self.values[found]
         for n in range(min(ORDER, len(word) + 2), 0, -1):
             table = self.tables[n]
-            known = [v for g in grams(word, n) if (v := table.get(g)) is not None]
+            known = [at for g in grams(word, n) if (at := table.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.values[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -90,17 +92,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [{} for _ in range(ORDER + 1)])
+        return model_of([], ())
     part = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, FIT_DOCS / sizes[name])))])
     sample = known.where(F.pmod("h", F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).select("lang", "text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found, total = letters(), Counter()
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, n in Counter(found(t)).items():
                     total[name, word] += n
-                if len(total) > 200_000:
+                if len(total) > 60_000:
                     yield _counts(total)
                     total = Counter()
         yield _counts(total)
@@ -110,21 +113,23 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     )
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            total = Counter()
-            for name, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for size in range(1, min(ORDER, len(word) + 2) + 1):
-                    for g in grams(word, size):
-                        total[name, size, g] += n
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in total], pa.string()),
-                    pa.array([k[1] for k in total], pa.int32()),
-                    pa.array([k[2] for k in total], pa.string()),
-                    pa.array(list(total.values()), pa.int64()),
-                ],
-                names=["lang", "size", "item", "n"],
-            )
+            for start in range(0, batch.num_rows, 1000):
+                total = Counter()
+                for name, word, n in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns), strict=True):
+                    for size in range(1, min(ORDER, len(word) + 2) + 1):
+                        for g in grams(word, size):
+                            total[name, size, g] += n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k[0] for k in total], pa.string()),
+                        pa.array([k[1] for k in total], pa.int32()),
+                        pa.array([k[2] for k in total], pa.string()),
+                        pa.array(list(total.values()), pa.int64()),
+                    ],
+                    names=["lang", "size", "item", "n"],
+                )
 
     pieces = words.mapInArrow(count_grams, "lang string, size int, item string, n long")
     pieces = pieces.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
@@ -151,19 +156,21 @@ def _counts(total: Counter) -> pa.RecordBatch:
 def model_of(languages: list[str], rows) -> Model:
     """A model from (lang, size, item, n, total of its lang and size); size 0 means words."""
     at = {name: i for i, name in enumerate(languages)}
-    counts: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
+    tables: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
     totals = np.zeros((ORDER + 1, len(languages)))
+    of, cells = [], []
     for name, size, item, n, total in rows:
-        table = counts[size]
-        if item not in table:
-            table[item] = np.zeros(len(languages))
-        table[item][at[name]] = n
+        row = tables[size].setdefault(item, len(of))
+        if row == len(of):
+            of.append(size)
+        cells.append((row, at[name], n))
         totals[size, at[name]] = total
-    for size, table in enumerate(counts):
-        below = np.log(totals[size] + SMOOTHING * (len(table) + 1))
-        for item, n in table.items():
-            table[item] = np.log(n + SMOOTHING) - below
-    return Model(languages, counts)
+    counts = np.zeros((len(of), len(languages)))
+    for row, column, n in cells:
+        counts[row, column] = n
+    below = np.log(totals + SMOOTHING * (np.array([len(t) for t in tables])[:, None] + 1))
+    values = np.log(counts + SMOOTHING) - below[np.array(of, np.int64)] if of else counts
+    return Model(languages, tables, values)
 
 
 def predictor(model: Model):
@@ -196,7 +203,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, names = rest.columns.index(text), rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = predictor(shared.value)
+        predict = held("langid", shared.value, lambda: predictor(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
