@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import BROADCAST_BYTES, written
+from lexspark.llm.common import BROADCAST_BYTES, release, written
 from lexspark.llm.urls import host_and_path
 
 #: Salts of a host while its wrappers are merged, and when pages meet wrappers in a shuffle.
@@ -229,11 +229,17 @@ def collapse(items: list) -> list:
     return out
 
 
-def is_boiler(label: str, in_main: bool) -> bool:
+def is_boiler(label: str, in_main: bool, holds_main: bool = False) -> bool:
+    """Whether an element is a menu, notice or the like, by its tag or the words of its class, id or role.
+    Words do not count against what holds the main element, such as a `page with-sidebar`."""
     name, _, rest = label.partition(" ")
     if name in _BOILER_TAGS or name == "header" and not in_main:
         return True
-    return bool(rest and _BOILER.search(rest))
+    return bool(rest and not holds_main and _BOILER.search(rest))
+
+
+def _holds_main(item: list) -> bool:
+    return item[0] != "#" and any(x[0].split(" ", 1)[0] in ("article", "main") or _holds_main(x) for x in item[3])
 
 
 def decide(wrapper: list, pages: int) -> list:
@@ -249,7 +255,7 @@ def decide(wrapper: list, pages: int) -> list:
             slots |= item[3][0] is None and not boiler
             return
         if item[0][0] != "(":
-            boiler = boiler or is_boiler(item[0], main)
+            boiler = boiler or is_boiler(item[0], main, _holds_main(item))
             main = main or not boiler and bool(_MAIN.search(item[0]))
             has_main |= main
         for x in item[3]:
@@ -265,7 +271,7 @@ def decide(wrapper: list, pages: int) -> list:
             return ["#", bool(not boiler and (main or not has_main) and not template and not linked)]
         group = item[0][0] == "("
         if not group:
-            boiler = boiler or is_boiler(item[0], main)
+            boiler = boiler or is_boiler(item[0], main, _holds_main(item))
             main = main or not boiler and bool(_MAIN.search(item[0]))
         return [item[0], [keep(x, boiler, main, turns or item[2]) for x in item[3]]]
 
@@ -322,6 +328,7 @@ def infer(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame
     """
 
     def from_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[str, tuple[list, int]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -387,14 +394,14 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", to: str = "t
     kept = [c for c in pages.columns if c not in (html, to)]
     rows = pages.select(*kept, F.col(html).alias("__html"), host.alias("__host"))
     bytes_there = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
-    side = wrappers.select(F.col("host").alias("__h"), "wrapper")
+    side = wrappers.select(F.col("host").alias("__h"), F.col("wrapper").alias("__wrapper"))
     if bytes_there <= broadcast_bytes:
         both = rows.join(F.broadcast(side), F.col("__host") == F.col("__h"), "left")
     else:
         salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS))
         side = side.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         both = rows.withColumn("__salt", salt).join(side, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__s")), "left")
-    both = both.select(*kept, "__html", "wrapper")
+    both = both.select(*kept, "__html", "__wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[bytes | None, list] = {}

@@ -79,6 +79,11 @@ def test_pages_without_an_article():
     assert text(bare, bare[1]) == "story 1\nmore 1"
 
 
+def test_layout_words_do_not_hide_the_article():
+    pages = ['<div class="page with-sidebar">' + page(f"T{i}", [f"a {i}"]) + "<div class='sidebar'>s</div></div>" for i in range(3)]
+    assert text(pages, pages[0]) == "T0\na 0"
+
+
 def test_merging_in_any_order_reads_alike():
     rng = random.Random(3)
     pages = [page(f"T{i}", [f"p{i}.{j}" for j in range(rng.randint(0, 5))], nav=rng.randint(1, 6), extra=rng.choice(["", "<ul><li>q</li></ul>", "<blockquote>z</blockquote>"])) for i in range(20)]
