@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import n_words, written
+from lexspark.llm.common import n_words, release, written
 
 #: Words of a block, output shards, and the hash buckets whose running sums are taken apart.
 BLOCK_WORDS = 64
@@ -122,6 +122,7 @@ def slots(spark, sources: Sequence[Source], shards: int, seed: int) -> DataFrame
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for shard, source, size, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 slot = np.arange(start, start + n, dtype=np.int64)
@@ -183,7 +184,8 @@ def mix(
     sizes = written(sizes, "sizes")
     sources = plan(sizes, weights, cap, block_words)
     uses = slots(df.sparkSession, sources, shards, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    rows = placed(sizes, sources)
+    uses = uses.hint("merge")  # Spark takes the plan's few rows for its size and would broadcast all blocks
+    rows = written(placed(sizes, sources), "placed")
     long = F.lit(block_words).cast("long")
     last = F.col("start") + F.col("size") - 1
     touched = rows.where("size > 0").select(
@@ -242,6 +244,7 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **op
     at, names = df.columns.index(text), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
