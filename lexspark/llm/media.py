@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import release, written
 
 ROW = 192
 PAD = 32
@@ -94,6 +94,7 @@ def store(payloads: DataFrame, digest: str = "digest", payload: str = "payload")
     Null payloads are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[str] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -216,7 +217,8 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, to: str = "items")
     sides. `media` should be light (see `facts`), so that payloads cross the shuffle once, on their
     way into the store.
     """
-    rest = [c for c in sequences.columns if c != to]
+    new = {to, "pos", "caption", *media.columns}
+    rest = [c for c in sequences.columns if c not in new]
     one = sequences.select(*rest, F.explode(to).alias("__item")).where("__item.kind = 'media'")
     refs = written(one.select(*rest, "__item.pos", "__item.caption", "__item.digest"), "refs")
     many = refs.count() // HOT_SHARE
