@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, jaccard, langid, lines, mixing
-from lexspark.llm.common import ship, small, table, written
+from lexspark.llm.common import discard, scope, ship, small, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return stage(spark, docs, sf_dir)
+        discard(spark, "stage")  # of the stage before, whose result has been written
+        with scope("stage"):
+            return stage(spark, docs, sf_dir)
 
     return run
 

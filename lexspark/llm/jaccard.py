@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import connected_components, small, written
+from lexspark.llm.common import connected_components, drop, held, release, small, written
 
 #: Members of a block, and the bytes of their sets, that a verifying task holds at once (twice).
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 BLOCK_BYTES = 16 << 20
 #: A worker's memo of word hashes; when full it starts anew.
-WORD_MEMO = 400_000
+WORD_MEMO = 300_000
 _U = np.uint64
 
 
@@ -110,33 +110,43 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, k: int, percent: int, keys: bool) -> DataFrame:
-    """`df`, whose last column is the text, with n, sid (hash of the set, null if empty) and rest (the
-    part keys, or the set) in the text's place."""
+    """`df`, whose last column is the text, with n, band, sid (hash of the set, null if empty) and rest
+    (the part keys, or the set) in the text's place. Of sets, a task gives each once, however many copies it
+    meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
+        memo, seen, lows = held("words", None, WordHash), set(), bands(percent)[0]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                n, sids, rest = [], [], []
-                for t in part.column(part.num_columns - 1).to_pylist():
+                rows, n, sids, rest = [], [], [], []
+                for row, t in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     s = shingle_set(t, k, memo)
+                    sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+                    if not keys:
+                        if sid in seen:
+                            continue
+                        seen.add(sid)
+                    rows.append(row)
                     n.append(len(s))
-                    sids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                    sids.append(sid)
                     rest.append(part_keys(s, percent).view(np.int64) if keys else s.tobytes())
+                if not rows:
+                    continue
                 if keys:
                     offsets = np.zeros(len(rest) + 1, np.int32)
                     np.cumsum([len(x) for x in rest], out=offsets[1:])
                     last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest)))
                 else:
                     last = pa.array(rest, pa.binary())
-                made = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(sids, pa.int64()), last]
+                band = np.searchsorted(lows, n, side="right") - 1
+                made = [*(c.take(pa.array(rows)) for c in part.columns[:-1]), pa.array(n, pa.int64()), pa.array(band), pa.array(sids, pa.int64()), last]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     kept = df.schema.fields[:-1]
-    names = [*(f.name for f in kept), "n", "sid", "rest"]
+    names = [*(f.name for f in kept), "n", "band", "sid", "rest"]
     kind = T.ArrayType(T.LongType()) if keys else T.BinaryType()
-    more = [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("rest", kind)]
+    more = [T.StructField(c, T.LongType()) for c in ("n", "band", "sid")] + [T.StructField("rest", kind)]
     return df.mapInArrow(run, T.StructType([*kept, *more]))
 
 
@@ -171,20 +181,15 @@ def spanning_links(members: list[tuple[int, int, np.ndarray]], percent: int) ->
 
 def _verified(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span the linked groups within each coarse component of `sets` (sid, set,
-    component). Large components are cut into blocks and every two blocks meet in a task of their
-    own, so that memory stays bounded and no pair is left out."""
-    blocks = sets.groupBy("component").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES), F.lit(1)
-        ).alias("nb")
-    )
-    of = F.pmod(F.xxhash64("sid", F.lit(5)), F.col("nb"))
+    component, band, nb): the members of a component that a band's join takes in are compared, since
+    others differ too much in size. Large groups are cut into nb blocks and every two blocks meet in
+    a task of their own, so that memory stays bounded and no pair is left out."""
     units = (
-        sets.join(blocks, "component")
-        .withColumn("own", of)
+        sets.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("nb")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
         .select(
             "component",
+            "band",
             F.least("own", "other").alias("i"),
             F.greatest("own", "other").alias("j"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
@@ -192,18 +197,21 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
             "set",
         )
     )
-    units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    units = units.repartition("component", "band", "i", "j").sortWithinPartitions("component", "band", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, found = None, [], []
+        release()
+        at, held, found, seen = None, [], [], set()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-            for component, i, j, side, sid, data in zip(*columns, strict=True):
-                if (component, i, j) != at:
+            for component, band, i, j, side, sid, data in zip(*columns, strict=True):
+                if (component, band, i, j) != at:
                     if len(held) > 1:
                         found += spanning_links(held, percent)
-                    at, held = (component, i, j), []
-                held.append((side, sid, np.frombuffer(data, np.uint64)))
+                    at, held, seen = (component, band, i, j), [], set()
+                if sid not in seen:
+                    seen.add(sid)
+                    held.append((side, sid, np.frombuffer(data, np.uint64)))
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
                 found = []
@@ -231,18 +239,27 @@ def near_duplicates(
     """
     base = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
     made = written(_sets(base, k, percent, keys=True), "parts")
+    head = written(made.select("doc", "at", "n", "band", "sid"), "head")
     parts = made.where(F.size("rest") > 0).select("sid", F.explode("rest").alias("part"))
     run = Window.partitionBy("part").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ties = parts.withColumn("first", F.min("sid").over(run)).where("sid <> first")
-    coarse = written(connected_components(ties.select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()), "coarse")
-    coarse = coarse.withColumnRenamed("node", "sid")
-    members = made.select("at", "sid").join(coarse, "sid", "left_semi").groupBy("sid").agg(F.min("at").alias("at"))
-    members = small(written(members.select("at").distinct(), "members"), 64)
-    sets = _sets(base.join(members, "at", "left_semi").select("text"), k, percent, keys=False)
-    sets = sets.select("sid", F.col("rest").alias("set")).join(coarse, "sid").dropDuplicates(["sid"])
-    groups = written(connected_components(_verified(written(sets, "sets"), percent)), "groups")
-
-    head = made.select("doc", "n", "sid")
+    ties = written(ties.select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), "ties")
+    drop(made)
+
+    coarse = connected_components(ties).withColumnRenamed("node", "sid")
+    sizes = head.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.min("at").alias("at"))
+    joins = F.explode(F.array("band", F.col("band") - 1)).alias("band")
+    members = written(sizes.join(coarse, "sid").select("sid", "at", "n", "component", joins), "members")
+    many, bytes_held = F.count("*"), F.sum("n") * 8
+    blocks = members.groupBy("component", "band").agg(many.alias("many"), F.greatest(F.ceil(many / BLOCK_ROWS), F.ceil(bytes_held / BLOCK_BYTES), F.lit(1)).alias("nb"))
+    members = members.join(blocks.where("many > 1"), ["component", "band"])
+    members = written(members.select("sid", "at", "component", "band", "nb"), "blocks")
+    wanted = small(members.select("at").distinct(), 64)
+    sets = _sets(base.join(wanted, "at", "left_semi").select("text"), k, percent, keys=False)
+    sets = sets.select("sid", F.col("rest").alias("set")).join(small(members.select("sid", "component", "band", "nb"), 112), "sid")
+    groups = written(connected_components(_verified(sets, percent)), "groups")
+
+    head = head.select("doc", "n", "sid")
     classes = head.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("low"))
     classes = classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
     classes = classes.withColumn("group", F.coalesce("component", "sid"))
