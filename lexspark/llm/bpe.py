@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lexspark.llm.common import held
 
 #: Entries of each generation of a worker's memo of pre-tokens.
-MEMO = 400_000
+MEMO = 250_000
 #: Pieces of at most so many bytes keep a bucket as one integer, a bit for each position.
 SHORT = 256
 #: Longer pre-tokens are encoded each time they occur.
