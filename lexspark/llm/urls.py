@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import small, written
+from lexspark.llm.common import drop, small, written
 
 #: The rules of the query, as verdict and rule.
 RULES = (
@@ -23,7 +23,9 @@ RULES = (
     ("block", "com/de/"),
 )
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Rounds after which values that still move are an error: links in a row, and some 85 more to settle.
+MOST_ROUNDS = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,12 +66,14 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) for all hosts of `seeds` (host, good, bad) and `edges` (src, dst, n).
 
     Each round is a join of ranks and edges and a sum by host, of both vectors at once, written to the
-    shared folder; it ends when no value moves by more than `tolerance` of the seeds' sum. Hosts that
-    link to nobody pass nothing on, which scales all ranks alike.
+    shared folder; it ends when no value of any host moves by more than `tolerance` of itself, so
+    never while a host is newly reached, and whatever the other seeds are. Values that still move after
+    MOST_ROUNDS are an error; `rounds`, if given, ends it early instead. Hosts that link to nobody
+    pass nothing on, which scales all ranks alike.
     """
     edges = written(edges, "edges")
     out = edges.groupBy("src").agg(F.sum("n").alias("from_src"))
@@ -80,26 +84,26 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     moves = written(moves.union(back), "moves")
     none = F.lit(0.0)
     every = seeds.select("host", "good", "bad").union(moves.select("host", none, none)).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    start = written(every, "seeds")
-    ranks = start.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
+    own = [((1 - damping) * F.col(seed)).alias(rank) for seed, rank in (("good", "trust"), ("bad", "distrust"))]
+    ranks = written(every.select("host", "good", "bad", *own), "ranks")
     if not moves.limit(1).count():
-        return ranks
-    scale = start.agg(F.sum(F.col("good") + F.col("bad")).alias("s")).first().s or 1.0
-    for _ in range(rounds):
+        return ranks.select("host", "trust", "distrust")
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         flow = moves.join(ranks, "host").groupBy(F.col("to").alias("host"))
         flow = flow.agg(F.sum(F.col("trust") * F.col("wt")).alias("t"), F.sum(F.col("distrust") * F.col("wd")).alias("d"))
-        new = start.join(flow, "host", "left").select(
-            "host",
-            ((1 - damping) * F.col("good") + damping * F.coalesce("t", none)).alias("trust"),
-            ((1 - damping) * F.col("bad") + damping * F.coalesce("d", none)).alias("distrust"),
-        )
-        new = written(new, "ranks")
-        was = ranks.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
-        moved = new.join(was, "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t")), F.abs(F.col("distrust") - F.col("d")))).alias("m")).first().m
+        trust = (1 - damping) * F.col("good") + damping * F.coalesce("t", none)
+        distrust = (1 - damping) * F.col("bad") + damping * F.coalesce("d", none)
+        moved = (F.abs(trust - F.col("trust")) > tolerance * trust) | (F.abs(distrust - F.col("distrust")) > tolerance * distrust)
+        new = ranks.join(flow, "host", "left")
+        new = written(new.select("host", "good", "bad", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")), "ranks")
+        drop(ranks)
         ranks = new
-        if (moved or 0.0) <= tolerance * scale:
+        if not new.where("moved").limit(1).count():
             break
-    return ranks
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust and distrust did not settle within {MOST_ROUNDS} rounds")
+    return ranks.select("host", "trust", "distrust")
 
 
 def judge(

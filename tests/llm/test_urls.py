@@ -66,3 +66,18 @@ def test_links_spread_trust_and_distrust(spark):
     assert U.judge(df.limit(0)).collect() == []
     trust = {r.host: (r.trust, r.distrust) for r in U.judge(df).collect()}
     assert trust["linked.net"][0] > 0 and trust["farm.net"][1] > 0 == trust["lone.net"][0]
+
+
+def test_every_host_settles_whatever_the_other_seeds(spark, monkeypatch):
+    names = [f"h{i}" for i in range(30)]
+    edges = [*((a, b, 1.0) for a, b in zip(names, names[1:], strict=False)), ("x", "y", 1.0), ("y", "x", 1.0)]
+    good, bad = {"h0": 1.0, "x": 2.0}, {"h29": 1.0, "y": 1.0}
+    want = ranks(good, bad, edges, 200)
+    links = spark.createDataFrame(edges, "src string, dst string, n double")
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in set(good) | set(bad)], "host string, good double, bad double")
+    lone = spark.range(1000).select(F.concat(F.lit("lone"), "id"), F.lit(1e5), F.lit(1e5))
+    got = {r.host: (r.trust, r.distrust) for r in U.propagate(seeds.union(lone), links).where("host not like 'lone%'").collect()}
+    assert got == want and got["h29"][0] == pytest.approx(0.15 * 0.85**29) and got["h0"][1] == pytest.approx(0.15 * 0.85**29)
+    monkeypatch.setattr(U, "MOST_ROUNDS", 5)
+    with pytest.raises(RuntimeError):
+        U.propagate(seeds, links)
