@@ -243,21 +243,20 @@ def _holds_main(item: list) -> bool:
 
 
 def decide(wrapper: list, pages: int) -> list:
-    """The wrapper for reading: [label, {label: item}, items] and, for texts, whether they are main
-    text. Main text stands in article or main elements where the wrapper has them, else anywhere
-    outside menus, notices and the like; texts mostly in links and template texts are not."""
+    """The wrapper for reading: [label, items, whether it is a main element] and, for texts, whether they
+    are kept and whether they stand in a main element. Kept are texts outside menus, notices and the
+    like; texts mostly in links and template texts are not. Of a page that has article or main
+    elements, only the texts in them are read."""
     slots = False
-    has_main = False
 
     def look(item: list, boiler: bool, main: bool) -> None:
-        nonlocal slots, has_main
+        nonlocal slots
         if item[0] == "#":
             slots |= item[3][0] is None and not boiler
             return
         if item[0][0] != "(":
             boiler = boiler or is_boiler(item[0], main, _holds_main(item))
             main = main or not boiler and bool(_MAIN.search(item[0]))
-            has_main |= main
         for x in item[3]:
             look(x, boiler, main)
 
@@ -268,19 +267,28 @@ def decide(wrapper: list, pages: int) -> list:
             constant, times, chars, links = item[3]
             template = slots and not turns and not item[2] and constant is not None and times >= pages >= TEMPLATE_PAGES
             linked = not main and links > MAX_LINKS * chars
-            return ["#", bool(not boiler and (main or not has_main) and not template and not linked)]
+            return ["#", bool(not boiler and not template and not linked), main]
         group = item[0][0] == "("
         if not group:
             boiler = boiler or is_boiler(item[0], main, _holds_main(item))
             main = main or not boiler and bool(_MAIN.search(item[0]))
-        return [item[0], [keep(x, boiler, main, turns or item[2]) for x in item[3]]]
+        return [item[0], [keep(x, boiler, main, turns or item[2]) for x in item[3]], main]
 
     return keep(wrapper, False, False, False)
 
 
 def read(plan: list, node: list, blocks: list[str]) -> None:
-    """Walks a page along the plan of its host's wrapper and gathers the main text's blocks."""
-    items, at = plan[1], [0]
+    """Walks a page along the plan of its host's wrapper and gathers the main text's blocks: those in
+    the page's main elements, all that are kept if the page has none."""
+    found: list[tuple[str, bool]] = []
+    has_main = _walk(plan, node, found)
+    blocks += [text for text, main in found if main or not has_main]
+
+
+def _walk(plan: list, node: list, found: list[tuple[str, bool]]) -> bool:
+    """Adds the kept texts, and whether they stand in a main element; returns whether there is such an
+    element. What the wrapper does not know counts as main."""
+    items, at, has_main = plan[1], [0], plan[2]
     for child in node[1]:
         label = "#" if isinstance(child, tuple) else child[0]
         item = _next(items, label, at)
@@ -288,11 +296,12 @@ def read(plan: list, node: list, blocks: list[str]) -> None:
             if item is None or item[1]:
                 text = " ".join(unescape(child[0]).split())
                 if text:
-                    blocks.append(text)
+                    found.append((text, item is None or item[2]))
         elif item is not None:
-            read(item, child, blocks)
+            has_main |= _walk(item, child, found)
         elif not is_boiler(label, False):
-            read([label, []], child, blocks)
+            has_main |= _walk([label, [], plan[2] or bool(_MAIN.search(label))], child, found)
+    return has_main
 
 
 def _next(items: list, label: str, at: list[int]) -> list | None:

@@ -79,6 +79,13 @@ def test_pages_without_an_article():
     assert text(bare, bare[1]) == "story 1\nmore 1"
 
 
+def test_a_host_with_and_without_articles():
+    bare = [f"<div class='menu'><a href='/'>home</a></div><div><p>story {i}</p><p>more {i}</p></div><footer>end</footer>" for i in range(6)]
+    pages = [*bare, page("T", ["in the article"])]
+    assert text([bare[1]], bare[1]) == "story 1\nmore 1"
+    assert [text(pages, p) for p in pages] == [*(f"story {i}\nmore {i}" for i in range(6)), "T\nin the article"]
+
+
 def test_layout_words_do_not_hide_the_article():
     pages = ['<div class="page with-sidebar">' + page(f"T{i}", [f"a {i}"]) + "<div class='sidebar'>s</div></div>" for i in range(3)]
     assert text(pages, pages[0]) == "T0\na 0"
