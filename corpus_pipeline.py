@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines of 8 words or more that are within 2 edits of an earlier one. A document of which no
-    word is left goes, unless it had none to begin with."""
-    cut = lines.drop_duplicate_lines(docs, tau=2, min_words=8)
+    """Cuts lines with a word that are within 2 edits of an earlier one. A document of which no word is
+    left goes, unless it had none to begin with."""
+    cut = lines.drop_duplicate_lines(docs, tau=2, min_words=1)
     cut = cut.where((F.size("gone_lines") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

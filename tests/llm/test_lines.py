@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline as C
+from lexspark.llm import catalog as Q
 from lexspark.llm import lines as L
 
 
@@ -86,3 +88,24 @@ def test_edit_kernel():
         assert L.within(a, b, tau) == (edits(a, b) <= tau)
         if edits(a, b) <= tau < min(len(a), len(b)):
             assert set(L.line_keys(a, tau, {})) & set(L.line_keys(b, tau, {}))
+
+
+def test_short_lines_in_the_query(spark, tmp_path):
+    rng = random.Random(5)
+    lines = ["", " ", "ab", "ac", "ab", "短い行", "短い行", "And therhean is the is esndha."] + ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(4))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    gone, seen = {r.doc_id: list(r.gone_lines) for r in Q.op10_line_dedup(spark, str(tmp_path)).collect()}, []
+    for key, text in rows:
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if line.split():
+                if any(x == line or (min(len(x), len(line)) > 2 and edits(x, line) <= 2) for x in seen):
+                    out.append(i)
+                seen.append(line)
+        assert gone[key] == out
+
+
+def test_short_lines_in_the_pipeline(spark, docs):
+    df = docs([(1, "短い行\nAnd so on."), (2, "短い行\nAnd so on.\nthe rest is here")])
+    assert sorted((r.doc_id, r.text) for r in C.line_dedup(spark, df, "").collect()) == [(1, "短い行\nAnd so on."), (2, "the rest is here")]
