@@ -92,9 +92,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a word within 2 edits of an earlier one, by document, and what is kept."""
+    """Lines with a word within 2 edits, or 5 % of their characters, of an earlier one, by document, and what
+    is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.drop_duplicate_lines(docs, tau=2, min_words=1).select(
+    return lines.drop_duplicate_lines(docs, tau=2, min_words=1, per=20).select(
         "doc_id",
         "n_lines",
         F.size("gone_lines").cast("long").alias("n_gone"),

@@ -109,3 +109,47 @@ def test_short_lines_in_the_query(spark, tmp_path):
 def test_short_lines_in_the_pipeline(spark, docs):
     df = docs([(1, "短い行\nAnd so on."), (2, "短い行\nAnd so on.\nthe rest is here")])
     assert sorted((r.doc_id, r.text) for r in C.line_dedup(spark, df, "").collect()) == [(1, "短い行\nAnd so on."), (2, "the rest is here")]
+
+
+def test_edits_grow_with_the_line_in_the_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_LINES", 4)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeé😀") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (8, 11, 12, 13, 14, 16, 20, 30, 45, 70)] + ["a b c " * 30]
+    rows = []
+    for i in range(70):
+        line = rng.choice(base)
+        for _ in range(rng.randint(0, 1 + len(line) // 60)):
+            at = rng.randint(0, len(line))
+            line = line[:at] + rng.choice(["", rng.choice(words), "q"]) + line[at + rng.randint(0, 4) :]
+        rows.append((i, line + "\n" + rng.choice(base)[: rng.randint(50, 90)]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    gone = {r.doc_id: list(r.gone_lines) for r in Q.op10_line_dedup(spark, str(tmp_path)).collect()}
+    seen, beyond = [], 0
+    for key, text in rows:
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            least = min((edits(x, line) / max(2, min(len(x), len(line)) // 20) for x in seen), default=9)
+            beyond += least <= 1 and all(edits(x, line) > 2 for x in seen)
+            if least <= 1:
+                out.append(i)
+            seen.append(line)
+        assert gone[key] == out, key
+    assert beyond > 5
+
+
+def test_gram_keys_and_reach():
+    rng = random.Random(4)
+    often = L.np.zeros(L.BUCKETS, "uint8")
+    for _ in range(300):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(60, 200)))
+        b = a
+        for _ in range(rng.randint(0, len(a) // 15)):
+            at = rng.randint(0, len(b))
+            b = b[:at] + rng.choice(["", "b", "c"]) + b[at + rng.randint(0, 1) :]
+        most = L.allowed(min(len(a), len(b)), 2, 20)
+        near = edits(a, b) <= most
+        assert L.within(a, b, most) == near
+        if near and min(len(a), len(b)) >= 60:
+            x, y = (set(L.gram_keys(L.gram_order(L.gram_hashes(s), often), L.allowed(len(s), 2, 20)).tolist()) for s in (a, b))
+            assert x & y
