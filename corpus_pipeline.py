@@ -36,13 +36,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, stays of each group linked by 80 % of its 5-word
-    shingles."""
-    groups = jaccard.near_duplicates(docs, k=5, percent=80)
-    groups = written(groups, "groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__doc"))
-    first = written(first.agg((F.count("*") > 1).alias("__again")), "first")
-    kept = docs.join(small(first, 64), docs["doc_id"].eqNullSafe(F.col("__doc")))
+    """One document, that of the smallest doc_id and then of the smallest hash of its text, stays of each
+    group linked by 80 % of its 5-word shingles, also where doc_ids are null or repeat."""
+    first = jaccard.kept_rows(docs, k=5, percent=80)
+    first = written(first.select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), (F.col("many") > 1).alias("__again")), "first")
+    kept = docs.join(small(first, 72), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__at")))
     once = kept.where("not __again").select(*docs.columns)
     if not first.where("__again").limit(1).count():
         return once

@@ -221,22 +221,9 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80
-) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of `df`.
-
-    Words are runs outside ASCII white space, A-Z lower-cased; a row's set holds its distinct k-word
-    shingles, the whole sequence if it has fewer words, nothing if it has none or the text is null.
-    Rows are linked when 100 * intersection >= percent * union; an empty set is linked with nothing.
-    component_id is the smallest key reachable by links (null keys count last; a row linked to
-    nothing has its own key). Rows may repeat, in whole or in their keys: each is returned. Other
-    columns are not read.
-
-    Equal sets become one member first, so copies cost one row each. The keys of the pigeonhole join
-    are sorted by key, and each member is tied to the first of its key: chains, not pairs. Components
-    of those ties are a superset of the true groups and are verified block against block.
-    """
+def _grouped(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """head (doc, at, n, band, sid), a row for each of `df`, and groups (node, component) of linked sids;
+    sids linked with no other are not in groups."""
     base = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
     made = written(_sets(base, k, percent, keys=True), "parts")
     head = written(made.select("doc", "at", "n", "band", "sid"), "head")
@@ -258,7 +245,26 @@ def near_duplicates(
     sets = _sets(base.join(wanted, "at", "left_semi").select("text"), k, percent, keys=False)
     sets = sets.select("sid", F.col("rest").alias("set")).join(small(members.select("sid", "component", "band", "nb"), 112), "sid")
     groups = written(connected_components(_verified(sets, percent)), "groups")
+    return head, groups
+
+
+def near_duplicates(
+    df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80
+) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of `df`.
+
+    Words are runs outside ASCII white space, A-Z lower-cased; a row's set holds its distinct k-word
+    shingles, the whole sequence if it has fewer words, nothing if it has none or the text is null.
+    Rows are linked when 100 * intersection >= percent * union; an empty set is linked with nothing.
+    component_id is the smallest key reachable by links (null keys count last; a row linked to
+    nothing has its own key). Rows may repeat, in whole or in their keys: each is returned. Other
+    columns are not read.
 
+    Equal sets become one member first, so copies cost one row each. The keys of the pigeonhole join
+    are sorted by key, and each member is tied to the first of its key: chains, not pairs. Components
+    of those ties are a superset of the true groups and are verified block against block.
+    """
+    head, groups = _grouped(df, key, text, k, percent)
     head = head.select("doc", "n", "sid")
     classes = head.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("low"))
     classes = classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
@@ -268,3 +274,16 @@ def near_duplicates(
     return head.join(named, "sid", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id")
     )
+
+
+def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc, at, many): of each group of `near_duplicates`, the key and the hash (xxhash64) of the text of
+    one row, that of the smallest key (null last), then of the smallest hash; `many` rows of `df` have
+    both. A text without words is a group with its equals of the same key."""
+    head, groups = _grouped(df, key, text, k, percent)
+    rows = head.groupBy("doc", "at", "sid").agg(F.count("*").alias("many"))
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "at", "many").alias("place")
+    classes = rows.where("sid is not null").groupBy("sid").agg(F.min(place).alias("place"))
+    classes = classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+    one = classes.groupBy(F.coalesce("component", "sid")).agg(F.min("place").alias("place"))
+    return one.select("place.doc", "place.at", "place.many").union(rows.where("sid is null").select("doc", "at", "many"))

@@ -64,3 +64,10 @@ def test_run_and_empty(spark, sf_dir, tmp_path, docs):
 def test_no_labels_no_rejection_of_letters(spark, docs):
     df = docs([(1, "words", None), (2, "12", None), (3, None, None)])
     assert [r.doc_id for r in C.language_id(spark, df, "").collect()] == [1]
+
+
+def test_one_of_each_group_where_ids_are_null_or_repeat(spark, docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = docs([(1, a), (1, b + " more"), (0, b), (0, b), (None, c), (None, c + " more"), (None, c + " and"), (5, ""), (5, ""), (None, None), (2, a + " x")])
+    got = sorted((r.doc_id if r.doc_id is not None else 9, (r.text or "")[:1]) for r in C.near_duplicates(spark, df, "").collect())
+    assert got == [(0, "b"), (1, "a"), (5, ""), (9, ""), (9, "c")]
