@@ -30,7 +30,7 @@ from lexspark.llm.urls import host_and_path
 SALTS = 16
 #: Hosts whose wrappers a task holds while it reads pages; then they are passed on.
 HELD_HOSTS = 2_000
-#: A text that is the same on all of at least so many pages, in a wrapper that has slots, is template.
+#: A text that is the same on all of at least so many pages, in a wrapper that has slots, is template (see `decide`).
 TEMPLATE_PAGES = 8
 #: Longest sequence of neighbours that is looked at as the unit of a repeated group.
 LONGEST_UNIT = 6
@@ -51,6 +51,7 @@ _CLOSES_P = frozenset(
 )
 _SIBLING_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div body nav aside main header footer form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILER_TAGS = frozenset("nav footer aside form button dialog head menu".split())
 _MAIN = re.compile(r"^(?:article|main)(?: |$)| (?:\S* )*(?:main|article|article-body|post-content|entry-content|main-content|post-body)(?: |$)")
 _BOILER = re.compile(
@@ -245,7 +246,8 @@ def _holds_main(item: list) -> bool:
 def decide(wrapper: list, pages: int) -> list:
     """The wrapper for reading: [label, items, whether it is a main element] and, for texts, whether they
     are kept and whether they stand in a main element. Kept are texts outside menus, notices and the
-    like; texts mostly in links and template texts are not. Of a page that has article or main
+    like; texts mostly in links and template texts are not. In a main element, only a text whose own words
+    are those of a notice, and no heading, can be template. Of a page that has article or main
     elements, only the texts in them are read."""
     slots = False
 
@@ -262,17 +264,19 @@ def decide(wrapper: list, pages: int) -> list:
 
     look(wrapper, False, False)
 
-    def keep(item: list, boiler: bool, main: bool, turns: bool):
+    def keep(item: list, boiler: bool, main: bool, turns: bool, heading: bool = False):
         if item[0] == "#":
             constant, times, chars, links = item[3]
             template = slots and not turns and not item[2] and constant is not None and times >= pages >= TEMPLATE_PAGES
+            template = template and (not main or not heading and bool(_BOILER.search(constant.lower())))
             linked = not main and links > MAX_LINKS * chars
             return ["#", bool(not boiler and not template and not linked), main]
         group = item[0][0] == "("
         if not group:
             boiler = boiler or is_boiler(item[0], main, _holds_main(item))
             main = main or not boiler and bool(_MAIN.search(item[0]))
-        return [item[0], [keep(x, boiler, main, turns or item[2]) for x in item[3]], main]
+            heading = heading or item[0].split(" ", 1)[0] in _HEADINGS
+        return [item[0], [keep(x, boiler, main, turns or item[2], heading) for x in item[3]], main]
 
     return keep(wrapper, False, False, False)
 

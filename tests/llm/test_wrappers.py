@@ -74,6 +74,11 @@ def test_template_text_needs_many_pages():
     assert text(same, same[0]) == "T\nall the same"
 
 
+def test_article_text_does_not_depend_on_the_number_of_near_copies():
+    pages = [page("Search and share", [f"a {i}"], extra="<div>One lone block</div>") for i in range(12)]
+    assert text(pages, pages[3]) == "Search and share\na 3\nOne lone block" == text(pages[:7], pages[3])
+
+
 def test_pages_without_an_article():
     bare = [f"<div class='menu'><a href='/'>home</a></div><div><p>story {i}</p><p>more {i}</p></div><div><a href='/x'>only {i}</a> <a href='/y'>links</a></div>" for i in range(3)]
     assert text(bare, bare[1]) == "story 1\nmore 1"
