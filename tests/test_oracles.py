@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives; the others run."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -13,7 +15,7 @@ def rows(df):
     def plain(v):
         if v is None or v is pd.NA or isinstance(v, float) and v != v:
             return None
-        return round(float(v), 6) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)]
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
