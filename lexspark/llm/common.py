@@ -24,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a small side may have, times its bytes a row, before it is joined by shuffle instead of broadcast.
 BROADCAST_BYTES = 24 << 20
+#: A join value is hot with over one in so many rows, and so many rows at least.
+HOT_SHARE, HOT_LEAST = 1000, 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one gets a local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one
+    gets a temporary folder; on a cluster its executors could not see it, which is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexspark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
@@ -103,6 +108,18 @@ def scope(name: str) -> Iterator[None]:
         _SCOPE.pop()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of what is run inside hold at most so many bytes, besides one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df`, marked for broadcast only if its counted rows fit the limit; else a plain join side."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
@@ -140,13 +157,27 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def skew_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """`many` joined with `one`, which has at most one row a value of `on`. Values of over 1 / HOT_SHARE of
+    `many`'s rows, of which there are under HOT_SHARE, meet their rows by broadcast, so that a hot value
+    does not crowd one task; all others by shuffle. `many` is read several times: write it before."""
+    counts = many.groupBy(on).agg(F.count("*").alias("n"))
+    least = max(many.count() // HOT_SHARE, HOT_LEAST)
+    hot = written(counts.where(F.col("n") > least).select(on), "hot")
+    if not hot.limit(1).count():
+        return many.join(one, on, how)
+    hot = F.broadcast(hot)
+    here = many.join(hot, on, "left_semi").join(F.broadcast(one.join(hot, on, "left_semi")), on, how)
+    return here.union(many.join(hot, on, "left_anti").join(one, on, how).select(*here.columns))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected `edges` (a, b); component is the smallest node reachable.
 
     Large-star and small-star steps alternate until the edge set stands still, each on a written
-    table, so no row group is gathered anywhere: minima are partial aggregates and the star joins
-    are plain equi-joins that adaptive execution splits where a hub is hot. Empty edges, loops and
-    repeats give nothing more; nodes without an edge do not appear.
+    table, of which the one before is deleted. No row group is gathered anywhere: minima are partial
+    aggregates, and where a hub is hot, its edges meet its minimum by broadcast (`skew_join`). Empty
+    edges, loops and repeats give nothing more; nodes without an edge do not appear.
     """
     now = written(
         edges.where(F.col("a") != F.col("b"))
@@ -154,21 +185,22 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = None
-    for _ in range(rounds):
+    mark, seen = None, _mark(now)
+    while mark != seen and seen[0]:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
+        large = skew_join(both, low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where(F.col("a") != F.col("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(low, "a")
+        star = large.join(low, "a")  # a holds its neighbours below it here, each a minimum: few
         star = star.select("a", F.col("m").alias("b")).union(star.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = written(star.where(F.col("a") != F.col("b")).distinct(), "star")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        mark = seen
-    else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
+        new = written(star.where(F.col("a") != F.col("b")).distinct(), "star")
+        drop(now)
+        drop(large)
+        now, mark, seen = new, seen, _mark(new)
     leaf = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaf.union(leaf.select(F.col("component").alias("node"), "component")).distinct()
+    return leaf.union(leaf.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
