@@ -120,9 +120,11 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, marked for broadcast only if its counted rows fit the limit; else a plain join side."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, marked for broadcast only if its rows fit the limit by the bytes of each, summed; else a plain
+    join side."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def words(text: Column) -> Column:

@@ -13,18 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexspark.llm.common import held, release, written
+from lexspark.llm.common import drop, held, release, small, written
 
 #: Longest n-gram for unseen words; ^ and $ mark the ends of the word.
 ORDER = 5
-#: What the fit is bounded by, for each language: labelled documents (about so many, chosen by hash),
-#: words kept, n-grams kept for each length.
-FIT_DOCS, FIT_WORDS, FIT_GRAMS = 3_000, 20_000, 5_000
-#: Vectors a worker keeps besides the model's own; beyond it they are computed anew.
-MEMO = 200_000
+#: What the fit is bounded by: labelled documents of a language (about so many, chosen by hash), their
+#: characters, and the characters of all languages together. All words and n-grams of these are learned.
+FIT_DOCS, FIT_CHARS, FIT_ALL_CHARS = 3_000, 8_000_000, 64_000_000
+#: Cells (words times languages) a worker keeps besides the model; beyond it they are computed anew.
+MEMO = 800_000
 #: Weight of an unseen event in counts.
 SMOOTHING = 0.5
 UNDETERMINED = "und"
@@ -42,25 +45,62 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def item_hash(item: str) -> int:
+    """64 bits that stand for a word or n-gram in the model."""
+    return xxhash.xxh3_64_intdigest(item.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 @dataclass
 class Model:
-    """Log frequencies by language: `tables[0]` has the rows of `values` by word, `tables[n]` those of the
-    n-grams of length n."""
+    """Log frequencies by language, sparse: of the words (0) and of the n-grams of each length, sorted hashes;
+    entries start[i] to start[i + 1] of an item have the languages that know it, and by how much its log
+    frequency there is above that of an unseen one, which is `base`."""
 
     languages: list[str]
-    tables: list[dict[str, int]]
-    values: np.ndarray
+    tables: list[np.ndarray]
+    start: list[np.ndarray]
+    of: list[np.ndarray]
+    above: list[np.ndarray]
+    base: np.ndarray
+
+    def known(self, size: int, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of `items` the table has, and the vectors of these."""
+        table = self.tables[size]
+        hashes = np.fromiter(map(item_hash, items), np.int64, len(items))
+        at = np.minimum(np.searchsorted(table, hashes), max(0, len(table) - 1))
+        here = table[at] == hashes if len(table) else np.zeros(len(items), bool)
+        at = at[here]
+        low, n = self.start[size][at], self.start[size][at + 1] - self.start[size][at]
+        rows = np.repeat(np.arange(len(at)), n)
+        entries = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        out = np.tile(self.base[size], (len(at), 1))
+        out[rows, self.of[size][entries]] += self.above[size][entries]
+        return here, out
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word; of an unseen one the mean of the longest known n-grams."""
+        out = np.zeros((len(words), len(self.languages)))
+        if not words:
+            return out
+        here, found = self.known(0, words)
+        out[here] = found
+        left = np.flatnonzero(~here)
+        for size in range(ORDER, 0, -1):
+            if not len(left):
+                break
+            pieces = [grams(words[i], size) for i in left]
+            number = np.repeat(np.arange(len(left)), [len(p) for p in pieces])
+            here, found = self.known(size, [g for p in pieces for g in p])
+            number = number[here]
+            n = np.bincount(number, minlength=len(left))
+            sums = np.zeros((len(left), len(self.languages)))
+            np.add.at(sums, number, found)
+            out[left[n > 0]] = sums[n > 0] / n[n > 0, None]
+            left = left[n == 0]
+        return out
 
     def vector(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return self.values[found]
-        for n in range(min(ORDER, len(word) + 2), 0, -1):
-            table = self.tables[n]
-            known = [at for g in grams(word, n) if (at := table.get(g)) is not None]
-            if known:
-                return self.values[known].mean(axis=0)
-        return np.zeros(len(self.languages))
+        return self.vectors([word])[0]
 
 
 class Vectors(dict):
@@ -68,40 +108,48 @@ class Vectors(dict):
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.vector(word)
-        return at
+        self.most = max(1, MEMO // max(1, len(model.languages)))
+        self.start_anew()
 
     def start_anew(self) -> None:
         self.clear()
         self.rows = np.zeros((1024, len(self.model.languages)))
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the words of a text that are not there. A full memo starts anew, with all of these."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > self.most and len(self):
+            self.start_anew()
+            new = list(dict.fromkeys(words))
+        size = len(self)
+        while size + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[size : size + len(new)] = self.model.vectors(new)
+        self.update(zip(new, range(size, size + len(new)), strict=True))
+
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from the labelled rows of `df`. Null languages and null texts teach nothing.
 
-    The rows are a hash sample of about FIT_DOCS a language, whole texts; counting is distributed, and
-    what reaches the driver is at most FIT_WORDS + ORDER * FIT_GRAMS entries a language.
+    The rows are a hash sample, whole texts: of each language about FIT_DOCS documents, fewer where these
+    have over FIT_CHARS characters (or the language's share of FIT_ALL_CHARS), but some 20 at least. Counting
+    is distributed; what reaches the driver are the counts of the sample's words and n-grams, each as 64
+    bits, so its size is bounded by the sample's.
     """
     known = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h")).where("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return model_of([], ())
-    part = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, FIT_DOCS / sizes[name])))])
-    sample = known.where(F.pmod("h", F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).select("lang", "text")
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")), "languages")
+    most = min(FIT_CHARS, FIT_ALL_CHARS / max(1, sizes.count()))
+    part = F.greatest(F.least(FIT_DOCS / F.col("docs"), most / F.greatest("chars", F.lit(1))), 20 / F.col("docs"))
+    parts = small(sizes.select(F.col("lang").alias("__lang"), (part * (1 << 20)).alias("part")), F.octet_length("__lang") + 64)
+    sample = known.join(parts, F.col("lang") == F.col("__lang")).where(F.pmod("h", F.lit(1 << 20)) < F.col("part")).select("lang", "text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         found, total = letters(), Counter()
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in Counter(found(t)).items():
+            for name, t in zip(*batch.columns, strict=True):
+                name = name.as_py()
+                for word, n in Counter(found(t.as_py())).items():
                     total[name, word] += n
                 if len(total) > 60_000:
                     yield _counts(total)
@@ -112,38 +160,29 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         sample.mapInArrow(count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "words"
     )
 
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 total = Counter()
                 for name, word, n in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns), strict=True):
+                    total[name, 0, word] += n
                     for size in range(1, min(ORDER, len(word) + 2) + 1):
                         for g in grams(word, size):
                             total[name, size, g] += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k[0] for k in total], pa.string()),
-                        pa.array([k[1] for k in total], pa.int32()),
-                        pa.array([k[2] for k in total], pa.string()),
-                        pa.array(list(total.values()), pa.int64()),
-                    ],
-                    names=["lang", "size", "item", "n"],
-                )
+                columns = [[k[0] for k in total], [k[1] for k in total], [item_hash(k[2]) for k in total], list(total.values())]
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "size", "item", "n"])
 
-    pieces = words.mapInArrow(count_grams, "lang string, size int, item string, n long")
-    pieces = pieces.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    every = words.where("n > 1").select("lang", F.lit(0).alias("size"), "item", "n").union(pieces.where("n > 1"))
-    first = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    sums = Window.partitionBy("lang", "size")
-    kept = (
-        every.withColumn("place", F.row_number().over(first))
-        .withColumn("total", F.sum("n").over(sums))
-        .where(F.col("place") <= F.when(F.col("size") == 0, FIT_WORDS).otherwise(FIT_GRAMS))
-        .select("lang", "size", "item", "n", "total")
-        .toArrow()
-    )
-    return model_of(languages, zip(*(kept.column(c).to_pylist() for c in ("lang", "size", "item", "n", "total")), strict=True))
+    pieces = words.mapInArrow(count_pieces, "lang string, size int, item long, n long")
+    found = pieces.groupBy("lang", "size", "item").agg(F.sum("n").alias("n")).toArrow()
+    drop(words)
+    names = pc.unique(found["lang"]).sort()
+    number = pc.index_in(found["lang"], names).to_numpy()
+    size, item, n = (found[c].to_numpy() for c in ("size", "item", "n"))
+    totals = np.zeros((ORDER + 1, len(names)))
+    np.add.at(totals, (size, number), n)
+    return _model(names.to_pylist(), number, size, item, n, totals)
 
 
 def _counts(total: Counter) -> pa.RecordBatch:
@@ -156,21 +195,26 @@ def _counts(total: Counter) -> pa.RecordBatch:
 def model_of(languages: list[str], rows) -> Model:
     """A model from (lang, size, item, n, total of its lang and size); size 0 means words."""
     at = {name: i for i, name in enumerate(languages)}
-    tables: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-    totals = np.zeros((ORDER + 1, len(languages)))
-    of, cells = [], []
-    for name, size, item, n, total in rows:
-        row = tables[size].setdefault(item, len(of))
-        if row == len(of):
-            of.append(size)
-        cells.append((row, at[name], n))
+    rows, totals = list(rows), np.zeros((ORDER + 1, len(languages)))
+    for name, size, _, _, total in rows:
         totals[size, at[name]] = total
-    counts = np.zeros((len(of), len(languages)))
-    for row, column, n in cells:
-        counts[row, column] = n
+    columns = ([at[r[0]] for r in rows], [r[1] for r in rows], [item_hash(r[2]) for r in rows], [r[3] for r in rows])
+    return _model(languages, *(np.array(c, np.int64) for c in columns), totals)
+
+
+def _model(languages: list[str], lang: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray, totals: np.ndarray) -> Model:
+    """A model from one entry for each language, size and item; totals by size and language."""
+    tables, start, of, above = [], [], [], []
+    for s in range(ORDER + 1):
+        here = np.flatnonzero(size == s)
+        here = here[np.argsort(item[here], kind="stable")]
+        table, first = np.unique(item[here], return_index=True)
+        tables.append(table)
+        start.append(np.append(first, len(here)).astype(np.int32))
+        of.append(lang[here].astype(np.uint16 if len(languages) < 1 << 16 else np.int32))
+        above.append((np.log(n[here] + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32))
     below = np.log(totals + SMOOTHING * (np.array([len(t) for t in tables])[:, None] + 1))
-    values = np.log(counts + SMOOTHING) - below[np.array(of, np.int64)] if of else counts
-    return Model(languages, tables, values)
+    return Model(languages, tables, start, of, above, np.log(SMOOTHING) - below)
 
 
 def predictor(model: Model):
@@ -181,8 +225,7 @@ def predictor(model: Model):
         words = find(text)
         if not words or not model.languages:
             return UNDETERMINED, 0.0
-        if len(vectors) > MEMO:
-            vectors.start_anew()
+        vectors.learn(words)
         rows = np.fromiter(map(vectors.__getitem__, words), np.int64, len(words))
         score = vectors.rows[rows].sum(axis=0)
         share = np.exp(score - score.max())
@@ -196,7 +239,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`df` with lang_pred and score (replaced if there), one pass without a shuffle.
 
     Texts that are null or have no letter get `und` and 0. Ties go to the first language by code
-    point. Whole texts are scored, however long. The model, whose size `fit` bounds, is broadcast.
+    point. Whole texts are scored, however long. The model, whose size the bounds of `fit` bound, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = df.drop("lang_pred", "score")
@@ -207,14 +250,12 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                made = [predict(t) for t in part.column(at).to_pylist()]
+                made = [predict(t.as_py()) for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                     names=[*names, "lang_pred", "score"],
                 )
 
-    from pyspark.sql import types as T
-
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *more]))
 

@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -61,3 +62,26 @@ def test_columns_and_empty_tables(spark, docs):
     assert L.identify(df.limit(0), model).collect() == []
     assert L.fit(df.limit(0)).languages == []
     assert [r[0] for r in df.select(L.held_out()).collect()] == [zlib.crc32(str("" if i is None else i).encode()) % 5 == 0 for i in (1, 2, 3, 3, 4, None)]
+
+
+def test_fit_counts_equal_plain_counts(spark, docs):
+    rows = [(1, "The cat. The dog!", "en"), (2, "Der Hund, der Ärger; naïve", "de"), (2, "Der Hund, der Ärger; naïve", "de"), (3, "cat", "en"), (4, "123", "fr"), (5, "x", None)]
+    model = L.fit(docs(rows))
+    words = {"en": ["the", "cat", "the", "dog", "cat"], "de": ["der", "hund", "der", "ärger", "naïve"] * 2}
+    assert model.languages == ["de", "en"]
+    total = {name: {0: Counter(found)} | {n: Counter(g for w in found for g in L.grams(w, n)) for n in range(1, 6)} for name, found in words.items()}
+    for size in range(6):
+        items = sorted(set(total["de"][size]) | set(total["en"][size]))
+        here, vectors = model.known(size, [*items, "never seen"])
+        assert here.tolist() == [True] * len(items) + [False] and len(model.tables[size]) == len(items)
+        for item, row in zip(items, vectors, strict=True):
+            for name, value in zip(model.languages, row, strict=True):
+                below = sum(total[name][size].values()) + 0.5 * (len(items) + 1)
+                assert value == pytest.approx(math.log((total[name][size][item] + 0.5) / below), abs=1e-5)
+
+
+def test_fit_is_bounded_by_characters(spark, docs, monkeypatch):
+    monkeypatch.setattr(L, "FIT_CHARS", 4000)
+    df = docs([(i, "".join(chr(97 + int(d)) for d in f"{i:08}") + " wort" * 4, "de") for i in range(2000)] + [(9000, "one text", "en")])
+    model = L.fit(df)
+    assert model.languages == ["de", "en"] and 40 < len(model.tables[0]) < 400
