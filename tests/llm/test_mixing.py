@@ -81,3 +81,37 @@ def test_cut():
     text = " a b\nc  d e "
     assert M.cut(text, [(0, 5)]) == text and M.cut(text, [(0, 2), (2, 3)]) == text
     assert M.cut(text, [(1, 2)]) == "b\nc" and M.cut(text, [(0, 1), (3, 2)]) == "a\nd e"
+
+
+@pytest.mark.parametrize("chunks", [1000, 2])
+def test_taken_words_equal_a_plain_count_of_blocks(spark, docs, monkeypatch, chunks):
+    monkeypatch.setattr(M, "CHUNKS", chunks)
+    given = rows(random.Random(9))[:120]
+    df = docs(given)
+    out = M.mix(df, block_words=16, shards=8, seed=3).collect()
+    names = sorted({r[3] for r in given}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len((r[1] or "").split()) for r in given if r[3] == s) for s in names]
+    want = M.targets(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
+    bucket = {(r.doc, r.at): r.b for r in spark.createDataFrame([(r.doc, r.at) for r in out], "doc long, at long").selectExpr("doc", "at", f"pmod(xxhash64(doc, at), {M.BUCKETS}) b").collect()}
+    for number, (name, size, target) in enumerate(zip(names, sizes, want, strict=True)):
+        blocks = -(-size // 16)
+        uses = [0] * blocks
+        for slot in range(min(round(target * blocks / size), 3 * blocks) if size else 0):
+            turn, index = divmod(slot, blocks)
+            uses[M.permuted(np.array([index]), blocks, 3 * 1_000_003 + number * 1009 + turn)[0]] += 1
+        mine = sorted((r for r in out if r.source == name), key=lambda r: (bucket[r.doc, r.at], r.doc is not None, r.doc or 0, r.at, r["size"]))
+        place = 0
+        for r in mine:
+            assert r.target == pytest.approx(target) and r.source_size == size
+            words = [uses[(place + i) // 16] for i in range(r["size"])]
+            got = [0] * r["size"]
+            for p in r.pieces:
+                got[p["first"] : p["first"] + p.n] = [p.times] * p.n
+            assert got == words
+            place += r["size"]
+
+
+def test_repeats_keep_the_same_row(spark, docs):
+    df = docs([(1, "a b c", "en", "x"), (1, "a b c", "de", "y"), (2, None, "en", "x"), (3, "", "en", None)])
+    got = [sorted((r.doc_id, r.lang, r.source) for r in M.mixed_documents(d).collect()) for d in (df, df.orderBy("lang"), df.repartition(5))]
+    assert got[0] == got[1] == got[2] and {r[1] for r in got[0]} == {"de"}
