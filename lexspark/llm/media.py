@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import release, written
+from lexspark.llm.wrappers import TOKEN
 
 ROW = 192
 PAD = 32
@@ -28,7 +29,6 @@ HOT_SHARE, SALTS = 2_000, 64
 #: zlib level of the stored samples; a fixed value, since it shapes the stored bytes.
 LEVEL = 1
 _MAGIC = b"\x89PNG\r\n\x1a\n"
-_TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _SRC = re.compile(r"""\ssrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MEDIA, _HIDDEN = {"img", "audio", "video", "source", "embed"}, {"script", "style", "template", "noscript"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u", "br", "wbr"}
@@ -129,7 +129,7 @@ def items(html: str | None) -> list[dict]:
         if text:
             out.append({"pos": len(out), "kind": "text", "text": text, "digest": None, "caption": None})
 
-    for m in _TOKEN.finditer(html or ""):
+    for m in TOKEN.finditer(html or ""):
         closing, name, rest, text = m[1], (m[2] or "").lower(), m[3] or "", m[4]
         if hidden:
             hidden = None if name == hidden and closing else hidden
@@ -181,7 +181,7 @@ def parse(pages: DataFrame, html: str = "html", to: str = "items") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = pa.array([items(x) for x in part.column(len(rest)).to_pylist()], _ITEM_TYPE)
+                made = pa.array([items(x.as_py()) for x in part.column(len(rest))], _ITEM_TYPE)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*rest, to])
 
     from pyspark.sql import types as T
@@ -192,7 +192,8 @@ def parse(pages: DataFrame, html: str = "html", to: str = "items") -> DataFrame:
 
 def facts(media: DataFrame) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all
-    computed from the stored bytes read back."""
+    computed from the stored bytes read back. A null medium has null facts; rows that repeat stay as they
+    are, and an empty table gives none."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +201,9 @@ def facts(media: DataFrame) -> DataFrame:
             rows = []
             for data in batch.column(1):
                 stored = data.as_py()
+                if stored is None:
+                    rows.append((None,) * 6)
+                    continue
                 back = from_png(stored)
                 rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -210,7 +214,8 @@ def facts(media: DataFrame) -> DataFrame:
 
 def resolve(sequences: DataFrame, media: DataFrame, key: str, to: str = "items") -> DataFrame:
     """The columns of `sequences` beside `to`, with pos, caption, digest and the columns of `media`, for
-    every media reference; null where the store has no such digest.
+    every media reference; null where the reference has no digest or the store no such one. Null sequences
+    and those without media give no rows; rows that repeat, on either side, repeat in the result.
 
     References are many to a digest and may crowd on one. Digests with more than a HOT_SHARE of all
     references, of which there are few by that definition, are spread over SALTS keys on both
@@ -225,10 +230,11 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, to: str = "items")
     hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where((F.col("n") > many) & F.col("digest").isNotNull())
     hot = F.broadcast(written(hot.select("digest", F.lit(SALTS).alias("__salts")), "hot"))  # at most HOT_SHARE rows
     salts = F.coalesce("__salts", F.lit(1))
-    refs = refs.join(hot, "digest", "left").withColumn("__salt", F.pmod(F.xxhash64(key, "pos"), salts)).drop("__salts")
+    none = refs.where(F.col("digest").isNull())  # meet nothing, and may be many
+    refs = refs.where(F.col("digest").isNotNull()).join(hot, "digest", "left").withColumn("__salt", F.pmod(F.xxhash64(key, "pos"), salts)).drop("__salts")
     rows = media.join(hot, "digest", "left")
     rows = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("__salts")
-    return refs.join(rows, ["digest", "__salt"], "left").drop("__salt")
+    return refs.join(rows, ["digest", "__salt"], "left").drop("__salt").unionByName(none, allowMissingColumns=True)
 
 
 def document_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

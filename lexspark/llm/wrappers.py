@@ -15,10 +15,12 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +34,18 @@ SALTS = 16
 HELD_HOSTS = 2_000
 #: A text that is the same on all of at least so many pages, in a wrapper that has slots, is template (see `decide`).
 TEMPLATE_PAGES = 8
-#: Longest sequence of neighbours that is looked at as the unit of a repeated group.
-LONGEST_UNIT = 6
+#: Longest sequence of neighbours that is looked at as the unit of a repeated group, and items that an
+#: element's sequence may have; a longer one becomes one repeated group of all its labels.
+LONGEST_UNIT, WIDEST = 6, 64
+#: Elements nested deeper than this stand beside each other instead; no text is lost.
+DEEPEST = 200
 MAX_LINKS = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S
+#: Comment or declaration, tag (end mark, name, attributes) or text. A quote counts after = only, and what
+#: is left open ends with the page; so every place is matched once, and a page takes linear time.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|([^<]++|<)",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,9 +72,10 @@ _BOILER = re.compile(
 def tree(html: str | None) -> list:
     """The page as [label, children]; a child is such a list or a text run (raw text, characters in
     links). Inline tags do not part a run; raw elements and comments are left out; open elements
-    end where HTML ends them by implication."""
+    end where HTML ends them by implication. Elements deeper than DEEPEST are children of that level."""
     root: list = ["html", []]
     stack, run, links, in_link = [("html", root)], [], 0, 0
+    opened: Counter = Counter()
 
     def end_run() -> None:
         nonlocal links
@@ -77,16 +86,19 @@ def tree(html: str | None) -> list:
         links = 0
 
     def close(names, scope=_SCOPE) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 end_run()
+                opened.subtract(n for n, _ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in scope:
                 return
 
     html, at = html or "", 0
-    while found := _TOKEN.search(html, at):
+    while found := TOKEN.search(html, at):
         at = found.end()
         text = found[4]
         if text is not None:
@@ -131,8 +143,9 @@ def tree(html: str | None) -> list:
             said = [k.lower() if k.lower() == "hidden" else a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(found[3])]
             label = " ".join([name, *re.sub(r"\d+", "0", " ".join(said)).lower().split()])
         node: list = [label, []]
-        stack[-1][1][1].append(node)
+        stack[min(len(stack) - 1, DEEPEST)][1][1].append(node)
         stack.append((name, node))
+        opened[name] += 1
         in_link = 0
     end_run()
     return root
@@ -143,16 +156,13 @@ def fold(node: list) -> list:
     out = []
     for child in node[1]:
         if isinstance(child, tuple):
-            out.append(["#", 1, False, [child[0] if len(child[0]) <= 400 else None, 1, len(child[0]), child[1]]])
+            text = child[0] if len(child[0]) <= 400 else f"\0{xxhash.xxh3_128_hexdigest(child[0])}"  # a long text stands by its hash
+            out.append(["#", 1, False, [text, 1, len(child[0]), child[1]]])
         else:
-            out.append([child[0], 1, False, fold_items(child)])
+            out.append(fold(child))
     return [node[0], 1, False, collapse(out)]
 
 
-def fold_items(node: list) -> list:
-    return fold(node)[3]
-
-
 def merge(a: list, b: list) -> list:
     """What covers both `a` and `b`, two items of one label."""
     if a[0] == "#":
@@ -165,7 +175,7 @@ def merge(a: list, b: list) -> list:
 
 def align(a: list, b: list) -> list:
     """Two item sequences aligned on their labels (a longest common subsequence); what stands in one
-    only is optional in the outcome."""
+    only is optional in the outcome. Sequences are at most WIDEST long, see `collapse`."""
     x, y = [i[0] for i in a], [i[0] for i in b]
     if x == y:
         return [merge(i, j) for i, j in zip(a, b, strict=True)]
@@ -213,6 +223,8 @@ def collapse(items: list) -> list:
             out[-1] = both
         else:
             out.append(item)
+    if len(out) > 4 * WIDEST:
+        return general(out)
     size = 2
     while size <= LONGEST_UNIT and 2 * size <= len(out):
         at, changed = 0, False
@@ -227,7 +239,17 @@ def collapse(items: list) -> list:
                 changed = True
             at += 1
         size = 2 if changed else size + 1
-    return out
+    return general(out) if len(out) > WIDEST else out
+
+
+def general(items: list) -> list:
+    """`items` as one repeated group that has each label once, in order of labels: what long sequences of
+    mixed neighbours, or many pages of different ones, come to."""
+    by_label: dict[str, list] = {}
+    for item in (x for i in items for x in (i[3] if i[0][0] == "(" else [i])):
+        by_label[item[0]] = merge(by_label[item[0]], item) if item[0] in by_label else item
+    held = [[label, 0, True, by_label[label][3]] for label in sorted(by_label)]
+    return [["(" + "|".join(i[0] for i in held) + ")", 0, True, held]]
 
 
 def is_boiler(label: str, in_main: bool, holds_main: bool = False) -> bool:
@@ -239,30 +261,37 @@ def is_boiler(label: str, in_main: bool, holds_main: bool = False) -> bool:
     return bool(rest and not holds_main and _BOILER.search(rest))
 
 
-def _holds_main(item: list) -> bool:
-    return item[0] != "#" and any(x[0].split(" ", 1)[0] in ("article", "main") or _holds_main(x) for x in item[3])
+def _holds_main(item: list, found: dict[int, bool]) -> bool:
+    """Whether an article or main element stands below `item`; kept in `found` by the item's identity."""
+    if item[0] == "#":
+        return False
+    below = [_holds_main(x, found) or x[0].split(" ", 1)[0] in ("article", "main") for x in item[3]]
+    found[id(item)] = any(below)
+    return found[id(item)]
 
 
 def decide(wrapper: list, pages: int) -> list:
     """The wrapper for reading: [label, items, whether it is a main element] and, for texts, whether they
     are kept and whether they stand in a main element. Kept are texts outside menus, notices and the
-    like; texts mostly in links and template texts are not. In a main element, only a text whose own words
-    are those of a notice, and no heading, can be template. Of a page that has article or main
-    elements, only the texts in them are read."""
-    slots = False
-
-    def look(item: list, boiler: bool, main: bool) -> None:
-        nonlocal slots
+    like; texts mostly in links and template texts are not, by what all pages of the host have there. In
+    a main element, only a text whose own words are those of a notice, and no heading, can be template.
+    Of a page that has article or main elements, only the texts in them are read."""
+    holds: dict[int, bool] = {}
+    _holds_main(wrapper, holds)
+
+    def inside(item: list, boiler: bool, main: bool) -> tuple[bool, bool]:
+        if item[0][0] == "(":
+            return boiler, main
+        boiler = boiler or is_boiler(item[0], main, holds[id(item)])
+        return boiler, main or not boiler and bool(_MAIN.search(item[0]))
+
+    def varies(item: list, boiler: bool, main: bool) -> bool:
         if item[0] == "#":
-            slots |= item[3][0] is None and not boiler
-            return
-        if item[0][0] != "(":
-            boiler = boiler or is_boiler(item[0], main, _holds_main(item))
-            main = main or not boiler and bool(_MAIN.search(item[0]))
-        for x in item[3]:
-            look(x, boiler, main)
+            return item[3][0] is None and not boiler
+        boiler, main = inside(item, boiler, main)
+        return any(varies(x, boiler, main) for x in item[3])
 
-    look(wrapper, False, False)
+    slots = varies(wrapper, False, False)
 
     def keep(item: list, boiler: bool, main: bool, turns: bool, heading: bool = False):
         if item[0] == "#":
@@ -271,12 +300,10 @@ def decide(wrapper: list, pages: int) -> list:
             template = template and (not main or not heading and bool(_BOILER.search(constant.lower())))
             linked = not main and links > MAX_LINKS * chars
             return ["#", bool(not boiler and not template and not linked), main]
-        group = item[0][0] == "("
-        if not group:
-            boiler = boiler or is_boiler(item[0], main, _holds_main(item))
-            main = main or not boiler and bool(_MAIN.search(item[0]))
-            heading = heading or item[0].split(" ", 1)[0] in _HEADINGS
-        return [item[0], [keep(x, boiler, main, turns or item[2], heading) for x in item[3]], main]
+        boiler, main = inside(item, boiler, main)
+        heading = heading or item[0].split(" ", 1)[0] in _HEADINGS
+        turns = turns or item[2]
+        return [item[0], [keep(x, boiler, main, turns, heading) for x in item[3]], main]
 
     return keep(wrapper, False, False, False)
 
@@ -346,8 +373,8 @@ def infer(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                for name, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = fold(tree(page))
+                for name, page in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    own = fold(tree(page.as_py()))
                     if name in held:
                         wrapper, n = held[name]
                         held[name] = merge(wrapper, own), n + 1
@@ -399,37 +426,49 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", to: str = "t
     joined by one \\n; nothing else is dropped, however long. Null and empty pages give the empty text. The
     host is that of the url; pages without one are a host of their own. Every row comes back.
 
-    The wrappers go to the pages by broadcast where their summed bytes are within `broadcast_bytes`;
-    else pages and wrappers are shuffled by host and salt, so that no host crowds one task.
+    Wrappers meet pages in a broadcast where their summed bytes are within `broadcast_bytes`; else pages
+    and wrappers are shuffled by host and salt, so that no host crowds one task, a wrapper once a salt.
     """
     host, _ = host_and_path(F.col(url))
+    spark = pages.sparkSession
     wrappers = written(infer(pages.select(host.alias("host"), html)), "wrappers")
     kept = [c for c in pages.columns if c not in (html, to)]
     rows = pages.select(*kept, F.col(html).alias("__html"), host.alias("__host"))
     bytes_there = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
-    side = wrappers.select(F.col("host").alias("__h"), F.col("wrapper").alias("__wrapper"))
     if bytes_there <= broadcast_bytes:
-        both = rows.join(F.broadcast(side), F.col("__host") == F.col("__h"), "left")
+        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+        both = rows.withColumn("__wrapper", F.lit(None).cast("binary"))
     else:
-        salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS))
-        side = side.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        both = rows.withColumn("__salt", salt).join(side, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__s")), "left")
-    both = both.select(*kept, "__html", "__wrapper")
+        shared = None
+        salt = F.pmod(F.xxhash64("__html", *kept), F.lit(SALTS))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        side = wrappers.select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in kept), F.lit(None).cast("string").alias("__html"), "host", "wrapper", every.alias("__salt"))
+        both = rows.select("*", F.lit(None).cast("binary").alias("__wrapper"), salt.alias("__salt")).union(side)
+        # The wrapper of a host comes before its pages, once a salt.
+        both = both.repartition("__host", "__salt").sortWithinPartitions("__host", "__salt", F.col("__wrapper").isNull()).drop("__salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[bytes | None, list] = {}
+        release()
+        plans: dict[str, list] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part, made = batch.slice(start, 256), []
-                for page, data in zip(part.column(len(kept)).to_pylist(), part.column(len(kept) + 1).to_pylist(), strict=True):
-                    if data not in plans:
+                part = batch.slice(start, 256)
+                rows, made = [], []
+                for row, (page, name, data) in enumerate(zip(*part.columns[-3:], strict=True)):
+                    name = name.as_py()
+                    if data.is_valid:  # a wrapper row
+                        plans = {name: decide(*_unpacked(data.as_py()))}
+                        continue
+                    if name not in plans:
                         if len(plans) > HELD_HOSTS:
                             plans.clear()
-                        plans[data] = decide(*_unpacked(data))
+                        plans[name] = decide(*_unpacked(shared.value[name]))
                     blocks: list[str] = []
-                    read(plans[data], tree(page), blocks)
+                    read(plans[name], tree(page.as_py()), blocks)
+                    rows.append(row)
                     made.append("\n".join(blocks))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(made, pa.string())], names=[*kept, to])
-
-    return both.mapInArrow(run, T.StructType([*(f for f in both.schema.fields if f.name in kept), T.StructField(to, T.StringType())]))
+                columns = part.columns[:-3] if len(rows) == part.num_rows else [c.take(pa.array(rows, pa.int64())) for c in part.columns[:-3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.string())], names=[*kept, to])
 
+    with_text = T.StructType([*(rows.schema[c] for c in kept), T.StructField(to, T.StringType())])
+    return both.mapInArrow(run, with_text)

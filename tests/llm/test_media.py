@@ -1,7 +1,9 @@
 """Media columns: pictures as bytes, sequences of pages, and the digest join."""
 
 import hashlib
+import math
 import os
+import time
 import zlib
 
 import pytest
@@ -57,3 +59,31 @@ def test_missing_media_and_empty_tables(spark):
     (r,) = M.resolve(seq, M.facts(M.store(none)), "page_id").collect()
     assert (r.page_id, r.digest, r.payload_bytes) == (1, "zz", None)
     assert M.resolve(seq.limit(0), M.facts(M.store(none)), "page_id").collect() == []
+
+
+def test_null_media_null_digests_and_repeats(spark):
+    media = spark.createDataFrame([("aa", M.to_png(b" " * 192)), ("bb", None), (None, None)], "digest string, media binary")
+    facts = M.facts(media)
+    assert {r.digest: r.payload_bytes for r in facts.collect()} == {"aa": 192, "bb": None, None: None}
+    seq = M.parse(spark.createDataFrame([(1, "<img src='digest:aa'><img src='x'>"), (1, "<img src='digest:aa'><img src='x'>"), (2, "<img src='digest:bb'>"), (3, None)], "page_id long, html string"))
+    got = sorted((r.page_id, r.pos, r.digest or "", r.payload_bytes or 0) for r in M.resolve(seq, facts, "page_id").collect())
+    assert got == [(1, 0, "aa", 192), (1, 0, "aa", 192), (1, 1, "", 0), (1, 1, "", 0), (2, 0, "bb", 0)]
+
+
+def test_stored_form_by_hand():
+    data = bytes(range(192)) + b" " * 192
+    stored = M.to_png(data)
+    raw = b"".join(b"\0" + data[i : i + 192] for i in (0, 192))
+    assert zlib.decompress(stored[stored.index(b"IDAT") + 4 : -16]) == raw
+    counts = [data.count(v) for v in range(256)]
+    mean = sum(v * n for v, n in enumerate(counts)) / 384
+    spread = (sum(n * (v - mean) ** 2 for v, n in enumerate(counts)) / 384) ** 0.5
+    bits = -sum(n / 384 * math.log2(n / 384) for n in counts if n)
+    assert M.feature(data) == f"mean={mean:.4f};sd={spread:.4f};bits={bits:.4f}"
+
+
+def test_broken_pages_take_linear_time():
+    for broken in ("<p " * 350_000, "<a '" * 250_000, "<!--" * 250_000, "<!" * 500_000):
+        start = time.time()
+        assert M.items("in" + broken)[0]["text"].startswith("in")
+        assert time.time() - start < 20

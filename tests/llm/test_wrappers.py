@@ -1,6 +1,8 @@
 """HTML extraction: wrappers of a host, and the main text they give."""
 
 import random
+import re
+import time
 
 from lexspark.llm import wrappers as W
 
@@ -116,3 +118,52 @@ def test_columns(spark):
         want = [(i, f"T{i}\na {i}") for i in range(30)] + [(0, "T0\na 0"), (100, "N\nno url"), (101, ""), (102, ""), (103, "L\n" + ("word " * 50_000).strip())]
         assert out == sorted(want)
     assert W.extract(df.limit(0)).collect() == []
+
+
+def test_the_wrapper_tells_template_texts_from_the_story():
+    bare = [f"<div class=a>Welcome to our house</div><div><p>story {i}</p><p>more {i}</p></div><div class=b>We are here for you</div><div class=c><a href='/{i}'>link {i}</a> or</div>" for i in range(9)]
+    alone = "Welcome to our house\nstory 4\nmore 4\nWe are here for you"
+    assert text([bare[4]], bare[4]) == alone  # nothing else to compare with
+    assert text(bare, bare[4]) == "story 4\nmore 4"
+    long = [p.replace("here for you", "here " * 200 + "for you") for p in bare]
+    assert text(long, long[4]) == "story 4\nmore 4"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for deep in ("<div>" * 100_000 + "in", "<div>" * 100_000 + "in" + "</div>" * 100_000, "<x>" * 50_000 + "in" + "</y>" * 100_000):
+        assert text([deep], deep) == "in"
+    nested = "<section><p>one</p>" * 3_000
+    assert text([nested, nested], nested) == "\n".join(["one"] * 3_000)
+    for broken in ("<p " * 350_000, "<a '" * 250_000, '<a b="' * 170_000, "<!" * 500_000, "<!--" * 250_000, "<script>" * 120_000, "</" * 500_000):
+        start = time.time()
+        text(["<p>in</p>" + broken], "<p>in</p>" + broken)
+        assert time.time() - start < 20
+    assert text(["<p>in</p><p "], "<p>in</p><p ") == "in"
+
+
+def test_long_mixed_sequences_become_one_group():
+    rng = random.Random(6)
+    pages = ["<article>" + "".join(f"<{t}>{t} {i} {j}</{t}>" for j, t in enumerate(rng.choices(["p", "h2", "ul", "blockquote", "pre"], k=3_000))) + "</article>" for i in range(4)]
+    start = time.time()
+    held = wrapper(pages)
+    assert len(find(held, "article")[3]) == 1 and time.time() - start < 20
+    for p in pages:
+        assert text(pages, p) == "\n".join(re.findall(r">([^<>]+)<", p))
+
+
+def best(a, b):
+    """Longest common subsequence, over all choices."""
+    if not a or not b:
+        return 0
+    return best(a[1:], b[1:]) + 1 if a[0] == b[0] else max(best(a[1:], b), best(a, b[1:]))
+
+
+def test_alignment_equals_all_choices():
+    rng = random.Random(12)
+    for _ in range(200):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 6)) for _ in range(2))
+        a, b = ([x for i, x in enumerate(s) if not i or s[i - 1] != x] for s in (a, b))
+        out = W.align([[x, 1, False, []] for x in a], [[x, 1, False, []] for x in b])
+        if all(x[0][0] != "(" and not x[2] for x in out):
+            assert len(out) == len(a) + len(b) - best(a, b)
+            assert sum(x[1] for x in out) == best(a, b)
