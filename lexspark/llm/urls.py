@@ -22,7 +22,7 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+HREF = r"""(?i)<a\s[^<>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING, TOLERANCE = 0.85, 1e-6
 #: Rounds after which values that still move are an error: links in a row, and some 85 more to settle.
 MOST_ROUNDS = 1000
@@ -66,15 +66,29 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE, returned: bool = False
+) -> DataFrame:
     """(host, trust, distrust) for all hosts of `seeds` (host, good, bad) and `edges` (src, dst, n).
 
     Each round is a join of ranks and edges and a sum by host, of both vectors at once, written to the
     shared folder; it ends when no value of any host moves by more than `tolerance` of itself, so
     never while a host is newly reached, and whatever the other seeds are. Values that still move after
-    MOST_ROUNDS are an error; `rounds`, if given, ends it early instead. Hosts that link to nobody
-    pass nothing on, which scales all ranks alike.
+    MOST_ROUNDS are an error; `rounds`, if given, ends it early instead.
+
+    Hosts that link to nobody pass nothing on. With `returned`, what they hold goes back to the seeds, by
+    their shares: at the fixed point that is the same vector, scaled to the sum of its seeds.
     """
+    found = _propagate(seeds, edges, damping, rounds, tolerance)
+    if not returned:
+        return found
+    found = written(found, "spread")
+    sums = [found.agg(F.sum("trust"), F.sum("distrust")).first(), seeds.agg(F.sum("good"), F.sum("bad")).first()]
+    scale = [(seed or 0.0) / rank if rank else 1.0 for rank, seed in zip(*sums, strict=True)]
+    return found.select("host", *((F.col(c) * x).alias(c) for c, x in zip(("trust", "distrust"), scale, strict=True)))
+
+
+def _propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
     edges = written(edges, "edges")
     out = edges.groupBy("src").agg(F.sum("n").alias("from_src"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into_dst"))
@@ -129,8 +143,8 @@ def judge(
         F.sum(F.when(~F.col("__rule.block"), 1.0).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("__rule.block"), 1.0).otherwise(0.0)).alias("bad")
     )
     linked = host_edges(rest.select(host.alias("host"), F.col(html).alias("html")))
-    ranks = written(propagate(seeds, linked), "hosts")
-    ranks = small(ranks.select(F.col("host").alias("__host"), "trust", "distrust"), 160)
+    ranks = written(propagate(seeds, linked, returned=True), "hosts")
+    ranks = small(ranks.select(F.col("host").alias("__host"), "trust", "distrust"), F.octet_length("__host") + 96)
     bad = F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust"))
     by_rule = F.when(F.col("__rule.block"), "block").when(~F.col("__rule.block"), "allow")
     both = light.join(ranks, light["host"] == F.col("__host"), "left").drop("__host")

@@ -81,3 +81,21 @@ def test_every_host_settles_whatever_the_other_seeds(spark, monkeypatch):
     monkeypatch.setattr(U, "MOST_ROUNDS", 5)
     with pytest.raises(RuntimeError):
         U.propagate(seeds, links)
+
+
+def test_what_hosts_without_links_hold_goes_back_to_the_seeds(spark):
+    edges = [("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "c", 1.0), ("e", "a", 1.0)]
+    good, bad = {"a": 3.0, "e": 1.0}, {"c": 2.0, "b": 1.0}
+    hosts = "abcde"
+    want = []
+    for seed, step in ((good, edges), (bad, [(y, x, n) for x, y, n in edges])):
+        total, out = sum(seed.values()), {h: sum(n for x, _, n in step if x == h) for h in hosts}
+        now = {h: 0.15 * seed.get(h, 0.0) for h in hosts}
+        for _ in range(600):
+            lost = sum(now[h] for h in hosts if not out[h])
+            now = {h: (0.15 + 0.85 * lost / total) * seed.get(h, 0.0) + sum(0.85 * now[x] * n / out[x] for x, y, n in step if y == h) for h in hosts}
+        assert sum(now.values()) == pytest.approx(total)
+        want.append(now)
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in hosts], "host string, good double, bad double")
+    got = {r.host: (r.trust, r.distrust) for r in U.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, n double"), tolerance=1e-12, returned=True).collect()}
+    assert got == {h: (pytest.approx(want[0][h]), pytest.approx(want[1][h])) for h in hosts}
