@@ -16,7 +16,7 @@ from pathlib import Path
 from zipfile import ZipFile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters outside these six, the ASCII white space.
@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 24 << 20
 #: A join value is hot with over one in so many rows, and so many rows at least.
 HOT_SHARE, HOT_LEAST = 1000, 500
+#: A key of a similarity join is hot with over one in so many rows.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,6 +175,28 @@ def skew_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> D
     return here.union(many.join(hot, on, "left_anti").join(one, on, how).select(*here.columns))
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(k, low, id), written: of `keys` (id, k; ids are hashes) the ids of each key that several have, but for
+    the least one, low.
+
+    Keys with over 1 in HOT_KEYS rows (there are under HOT_KEYS), seen in one id of 64, are known to be
+    shared: their rows need not come together. What is counted there only says which way they go.
+    """
+    some = keys.where(F.pmod("id", F.lit(64)) == 0).groupBy("k").agg(F.count("*").alias("n"))
+    some = written(some, "some")
+    most = max(64, (some.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = written(some.where(F.col("n") > most).select("k"), "hot")
+    drop(some)
+    run = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not hot.limit(1).count():
+        return written(keys.withColumn("low", F.min("id").over(run)).where("id <> low").select("k", "low", "id").distinct(), "met")
+    cold = keys.join(F.broadcast(hot), "k", "left_anti").withColumn("low", F.min("id").over(run))
+    there = written(keys.join(F.broadcast(hot), "k", "left_semi").distinct(), "there")
+    lows = written(there.groupBy("k").agg(F.min("id").alias("low")), "lows")
+    both = cold.select("k", "low", "id").distinct().union(there.join(F.broadcast(lows), "k").select("k", "low", "id"))
+    return written(both.where("id <> low"), "met")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected `edges` (a, b); component is the smallest node reachable.
 

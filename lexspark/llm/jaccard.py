@@ -16,17 +16,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import connected_components, drop, held, release, skew_join, small, small_batches, written
+from lexspark.llm.common import connected_components, drop, held, release, shared_keys, skew_join, small, small_batches, written
 
 #: Members of a block, and the bytes of their sets, that a verifying task holds at once (twice).
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 16 << 20
-#: Part keys that are told apart as hot: those with over one in so many rows.
-HOT_KEYS = 10_000
 #: A worker's memo of word hashes; when full it starts anew.
 WORD_MEMO = 300_000
 _U = np.uint64
@@ -278,27 +276,6 @@ def _by_unit(units: DataFrame, n_unit: int, member, links) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
-def _met(made: DataFrame) -> DataFrame:
-    """(k, low, sid), written: the sets of each part key that several have, but for the least one, low.
-
-    Keys with over 1 in HOT_KEYS rows (there are under HOT_KEYS), seen in one set of 64, are known to be
-    shared: their rows need not come together. What is counted there only says which way they go.
-    """
-    keys = made.where(F.size("keys") > 0).select("sid", F.explode("keys").alias("k"))
-    some = keys.where(F.pmod("sid", F.lit(64)) == 0)
-    counts = some.groupBy("k").agg(F.count("*").alias("n"))
-    most = max(64, (some.count() or 0) // HOT_KEYS)
-    hot = written(counts.where(F.col("n") > most).select("k"), "hot")
-    run = Window.partitionBy("k").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not hot.limit(1).count():
-        return written(keys.withColumn("low", F.min("sid").over(run)).where("sid <> low").select("k", "low", "sid").distinct(), "met")
-    cold = keys.join(F.broadcast(hot), "k", "left_anti").withColumn("low", F.min("sid").over(run))
-    there = written(keys.join(F.broadcast(hot), "k", "left_semi").distinct(), "there")
-    lows = written(there.groupBy("k").agg(F.min("sid").alias("low")), "lows")
-    both = cold.select("k", "low", "sid").distinct().union(there.join(F.broadcast(lows), "k").select("k", "low", "sid"))
-    return written(both.where("sid <> low"), "met")
-
-
 def _tied(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Components (node, component) of the sets that share a part key and may link by their sketches.
 
@@ -356,7 +333,7 @@ def _grouped(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[
     with small_batches(df.sparkSession):
         made = written(_sets(base, k, percent, keys=True), "parts")
     head = written(made.select("doc", "at", "n", "band", "sid"), "head")
-    met = _met(made)
+    met = shared_keys(made.where(F.size("keys") > 0).select(F.col("sid").alias("id"), F.explode("keys").alias("k"))).withColumnRenamed("id", "sid")
     sketches = written(made.where("sketch is not null").select("sid", "n", "sketch").dropDuplicates(["sid"]), "sketches")
     drop(made)
     coarse = _tied(met, sketches, percent).withColumnRenamed("node", "sid")

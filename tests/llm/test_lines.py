@@ -153,3 +153,22 @@ def test_gram_keys_and_reach():
         if near and min(len(a), len(b)) >= 60:
             x, y = (set(L.gram_keys(L.gram_order(L.gram_hashes(s), often), L.allowed(len(s), 2, 20)).tolist()) for s in (a, b))
             assert x & y
+
+
+def test_many_lines_of_one_beginning(spark):
+    rng = random.Random(3)
+    base = "The same beginning of all these lines, "
+    lines = [base + "".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(20_000)]
+    again = [lines[i][:-1] + "zz" for i in range(0, 20_000, 1000)]
+    df = spark.createDataFrame([(i, "\n".join(lines[i * 20 : i * 20 + 20])) for i in range(1000)] + [(5000 + i, x) for i, x in enumerate(again)], "doc_id long, text string")
+    got = {r.doc: r.gone for r in L.duplicate_lines(df).collect()}
+    assert got == {5000 + i: [0] for i in range(20)}
+
+
+def test_signatures_of_near_lines_are_near():
+    rng = random.Random(14)
+    for _ in range(2000):
+        a = "".join(rng.choice("abc é😀") for _ in range(rng.randint(1, 40)))
+        b = changed(rng, a)
+        apart = int(L.np.bitwise_count(L.signature(a) ^ L.signature(b)).sum()) if a and b else 0
+        assert apart <= 4 * edits(a, b)
