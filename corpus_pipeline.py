@@ -37,24 +37,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id and then of the smallest hash of its text, stays of each
-    group linked by 80 % of its 5-word shingles, also where doc_ids are null or repeat."""
+    group linked by 80 % of its 5-word shingles, also where doc_ids are null or repeat; of rows with one
+    doc_id and text the one whose lang, source and n_chars come first. Texts without words are linked
+    with nothing, and stay once a doc_id."""
     first = jaccard.kept_rows(docs, k=5, percent=80)
     first = written(first.select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), (F.col("many") > 1).alias("__again")), "first")
     kept = docs.join(small(first, 72), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__at")))
     once = kept.where("not __again").select(*docs.columns)
     if not first.where("__again").limit(1).count():
         return once
-    return once.unionByName(kept.where("__again").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    again = kept.where("__again").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return once.unionByName(again.select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars").select(*docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all sources by weights 5, 2, 1: a document's taken words, a row for each pass."""
+    """The mix of all sources by weights 5, 2, 1: a document's taken words, a row for each pass. A null source
+    is a source; null texts and texts without words have nothing to take; rows that repeat a doc_id and
+    text are one document (see `mixing.mixed_documents`). An empty table gives none."""
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to it."""
+    """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to it, for every
+    row, also those that repeat. A null text is the empty one: no ids, which decode to it."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     back = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return back.select(
@@ -63,7 +69,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "source",
         "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"),
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
     )
 
 
