@@ -8,7 +8,7 @@ from test_jaccard import brute as all_pairs
 from test_lines import brute as all_lines
 
 import corpus_pipeline as C
-from lexspark.llm import bpe, catalog
+from lexspark.llm import bpe, catalog, mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,6 +51,7 @@ def test_stages(spark, docs, monkeypatch):
     ids = C.token_ids(spark, df, "").collect()
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(catalog.RANKS), special_tokens={})
     text = {r[0]: r[1] or "" for r in rows()}
+    assert all(r.round_trip for r in ids)
     assert len(ids) == len(rows()) and all(r.token_ids == enc.encode_ordinary(text[r.doc_id]) for r in ids)
 
 
@@ -71,3 +72,22 @@ def test_one_of_each_group_where_ids_are_null_or_repeat(spark, docs):
     df = docs([(1, a), (1, b + " more"), (0, b), (0, b), (None, c), (None, c + " more"), (None, c + " and"), (5, ""), (5, ""), (None, None), (2, a + " x")])
     got = sorted((r.doc_id if r.doc_id is not None else 9, (r.text or "")[:1]) for r in C.near_duplicates(spark, df, "").collect())
     assert got == [(0, "b"), (1, "a"), (5, ""), (9, ""), (9, "c")]
+
+
+def test_which_row_stays_does_not_depend_on_their_order(spark, docs):
+    a = " ".join(f"a{i}" for i in range(30))
+    df = docs([(1, a, "en", "x"), (1, a, "en", "w"), (1, a, "de", "z"), (2, a + " b", "en", "v")])
+    for d in (df, df.orderBy("source"), df.orderBy("lang").repartition(3)):
+        assert [(r.doc_id, r.lang, r.source) for r in C.near_duplicates(spark, d, "").collect()] == [(1, "de", "z")]
+
+
+def test_source_mix_on_nulls_and_repeats(spark, docs):
+    df = docs([(1, "a b c d", "en", None), (1, "a b c d", "en", None), (2, None, "en", "s"), (3, "", "en", "s"), (None, "e f", None, "t")])
+    got = C.source_mix(spark, df, "")
+    assert got.columns == COLUMNS and {r.doc_id for r in got.collect()} <= {1, None}
+    assert all(r.n_chars == len(r.text) and set(r.text.split()) <= set("abcdef") for r in got.collect())
+    taken = {r.doc: sum(p.n * p.times for p in r.pieces) for r in mixing.mix(df.dropDuplicates()).collect()}
+    words = {}
+    for r in got.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {k: n for k, n in taken.items() if n}
