@@ -48,10 +48,10 @@ def n_words(text: Column) -> Column:
 
 def normalise_article(raw: Column) -> Column:
     """A citation's article in canonical form: `Art. 151¹`, `151(1)` and `151-1` are `151^1`."""
-    text = F.regexp_replace(F.trim(raw), f"([{CITED_RAISED}]+)", r"^$1")
+    text = F.regexp_replace(strip(raw), f"([{CITED_RAISED}]+)", r"^$1")
     text = F.translate(text, CITED_RAISED, CITED_LOWERED)
-    text = F.regexp_replace(text, r"(?iu)^\s*art\.?\s*", "")
-    text = F.translate(text, "(-) ", "^^")
+    text = F.regexp_replace(text, r"(?iU)^art\.?\s*", "")
+    text = F.translate(F.regexp_replace(text, r"(?U)\s+", ""), "(-)", "^^")
     return F.regexp_replace(F.regexp_replace(text, r"\^+", "^"), r"^\^|\^$", "")
 
 

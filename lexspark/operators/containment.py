@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.sizes import bounded
+from lexspark.functions.sizes import bounded, text_bytes
 from lexspark.functions.text import let
 
 ANCHOR = 4
@@ -28,16 +26,16 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
         return docs.select(F.col(doc).alias("doc")).join(asked.select("item"), F.lit(False))
     rows = docs.select(F.col(doc).alias("doc"), _words(F.col(text)).alias("dw"))
 
-    def windows(n: int) -> DataFrame:
-        def hashes(words: Column) -> Column:
+    def hashes(words: Column) -> Column:
+        def of_size(n: int) -> Column:
             starts = F.sequence(F.lit(1), F.size(words) - n + 1)
             each = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(n)))
-            return F.when(F.size(words) >= n, F.array_distinct(each))
+            return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<bigint>"))
 
-        return rows.select("doc", F.explode(let(F.col("dw"), hashes)).alias("anchor"))
+        return F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))  # at most ANCHOR sizes
 
-    every = reduce(DataFrame.union, map(windows, sizes))
+    every = rows.select("doc", F.explode(let(F.col("dw"), hashes)).alias("anchor"))
     met = every.join(bounded(asked.select("item", "anchor"), 64), "anchor").select("doc", "item")
-    both = met.join(rows, "doc").join(bounded(asked.select("item", "iw"), 4096), "item")
+    both = met.join(rows, "doc").join(bounded(asked.select("item", "iw", F.array_join("iw", " ").alias("it")), text_bytes("it")), "item")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    return both.where(F.contains(spaced(F.col("dw")), spaced(F.col("iw")))).select("doc", "item").distinct()
+    return both.where(F.contains(spaced(F.col("dw")), F.concat(F.lit(" "), F.col("it"), F.lit(" ")))).select("doc", "item").distinct()

@@ -94,11 +94,11 @@ def latest_for_layer(history: DataFrame) -> DataFrame:
     return history.groupBy("layer").agg(F.max_by(row, F.col("run_seq")).alias("r")).select("layer", "r.*")
 
 
-def usage(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Tokens and cost by model of `calls` (model, input_tokens, output_tokens) at `prices` (model,
+def usage(calls: DataFrame, prices: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Tokens and cost by model (`by` has it, and may have more) of `calls` (model, input_tokens, output_tokens) at `prices` (model,
     rate_in, rate_out, a million tokens). An unpriced model is charged the highest rates known."""
     top = prices.agg(F.max(F.struct("rate_in", "rate_out")).alias("top"))
-    sums = calls.groupBy("model").agg(
+    sums = calls.groupBy(*by).agg(
         F.count("*").alias("calls"),
         F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
@@ -107,7 +107,7 @@ def usage(calls: DataFrame, prices: DataFrame) -> DataFrame:
     known = F.col("rate_in").isNotNull()
     rate_in, rate_out = F.when(known, F.col("rate_in")).otherwise(F.col("top.rate_in")), F.when(known, F.col("rate_out")).otherwise(F.col("top.rate_out"))
     cost = (F.col("input_tokens") * rate_in + F.col("output_tokens") * rate_out) / 1_000_000
-    return priced.select("model", "calls", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd"))
+    return priced.select(*by, "calls", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd"))
 
 
 def estimate(prompts: DataFrame, rate_in: float, rate_out: float, output_tokens: int, ratio: float = 1.0, ceiling: float = 5.0) -> DataFrame:

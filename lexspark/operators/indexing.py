@@ -3,16 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions import stopwords
 from lexspark.functions.text import terms
+from lexspark.operators.validation import require_analyser
 
 #: Most positions that count toward a term's frequency.
 MAX_TF = 256
 
 
+@dataclass(frozen=True)
+class Analyser:
+    """How texts become lexemes: without stop words, then by a table (token, lemma), if there is one: all
+    lemmas of a token, or the token itself where the table has none. The same for index and questions."""
+
+    stop: Sequence[str] = ()
+    lemmas: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.lemmas is not None:
+            require_analyser(self.lemmas)
+
+    def lexemes(self, tokens: DataFrame) -> DataFrame:
+        """`tokens` (lexeme, ...) with what the table has for each."""
+        if self.lemmas is None:
+            return tokens
+        table = self.lemmas.select(F.col("token").alias("lexeme"), "lemma")
+        return tokens.join(table, "lexeme", "left").withColumn("lexeme", F.coalesce("lemma", "lexeme")).drop("lemma")
+
+
+#: The analyser of statutes; a lemma table is the caller's.
+POLISH = Analyser(stopwords.POLISH)
+
+
 def analysed(
     chunks: DataFrame, text: str = "content", stop: Sequence[str] = (), lemmas: DataFrame | None = None
 ) -> DataFrame:
@@ -21,10 +48,7 @@ def analysed(
     summing by chunk need no further shuffle."""
     tokens = chunks.select("chunk_id", terms(F.col(text), stop).alias("t")).repartition("chunk_id")
     tokens = tokens.select("chunk_id", F.explode("t").alias("lexeme"))
-    if lemmas is None:
-        return tokens
-    table = lemmas.select(F.col("token").alias("lexeme"), "lemma")
-    return tokens.join(table, "lexeme", "left").select("chunk_id", F.coalesce("lemma", "lexeme").alias("lexeme"))
+    return Analyser(stop, lemmas).lexemes(tokens).select("chunk_id", "lexeme")
 
 
 def chunk_terms(
@@ -47,10 +71,10 @@ def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").cast("double").alias("n_docs")).crossJoin(lengths)
 
 
-def write_index(chunks: DataFrame, path: str, version: str, text: str = "content") -> None:
+def write_index(chunks: DataFrame, path: str, version: str, text: str = "content", analyser: Analyser = Analyser()) -> None:  # noqa: B008
     """Writes chunk_terms sorted by lexeme (so that scans skip by min and max) and corpus_stats below
     `path`/`version`."""
-    index = chunk_terms(chunks, text)
+    index = chunk_terms(chunks, text, analyser.stop, analyser.lemmas)
     index.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "chunk_id").write.mode("overwrite").parquet(
         f"{path}/{version}/chunk_terms"
     )

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.functions.shared import written
 from lexspark.operators.chunking import within_limit
-from lexspark.operators.indexing import write_index
-from lexspark.operators.validation import ValidationError, wrong_width
+from lexspark.operators.indexing import POLISH, Analyser, write_index
+from lexspark.operators.validation import ValidationError, unpaired, wrong_width
 
 KEY = ["act", "article", "paragraph", "part_index"]
 
@@ -78,17 +79,19 @@ def upsert(target: DataFrame, load: DataFrame, key: list[str] = KEY, ident: str
 
 
 def _numbered(rows: DataFrame, key: list[str], top: DataFrame, ident: str) -> DataFrame:
-    """Ids from top + 1 in key order, without gathering the rows: ranges of keys are numbered each for
-    itself, and a range starts where the counts of those before it end."""
-    from pyspark.sql import Window
-
-    ranged = rows.drop(ident).repartitionByRange(*key).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*key))
-    out = ranged.withColumn("__i", place).join(F.broadcast(counts), "__p").crossJoin(F.broadcast(top))
-    return out.withColumn(ident, F.col("top") + F.col("__before") + F.col("__i"))
+    """Ids from top + 1 in key order, without gathering the rows: sorted ranges of keys are written once,
+    with each row's place in its range, and a range starts where the counts of those before it end."""
+    place = F.monotonically_increasing_id()
+    ranged = rows.drop(ident).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__at", place)
+    ranged = written(ranged, "ranged")
+    part = F.shiftright("__at", 33)
+    before, shifts = 0, []
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a task
+        shifts.append((r.part, before - (r.part << 33)))
+        before += r["count"]
+    shifts = rows.sparkSession.createDataFrame(shifts, "__part long, __shift long")
+    out = ranged.join(F.broadcast(shifts), part == F.col("__part")).crossJoin(F.broadcast(top))
+    return out.withColumn(ident, F.col("top") + F.col("__at") + F.col("__shift") + 1).drop("__at", "__part", "__shift", "top")
 
 
 def prune(target: DataFrame, load: DataFrame, key: list[str] = KEY, act: str = "act") -> DataFrame:
@@ -114,19 +117,29 @@ def load_stats(chunks: DataFrame) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, path: str, chunks: DataFrame, encoder: Encoder, version: str, previous: str | None = None, pruned: bool = True
+    spark: SparkSession,
+    path: str,
+    chunks: DataFrame,
+    encoder: Encoder,
+    version: str,
+    previous: str | None = None,
+    pruned: bool = True,
+    analyser: Analyser = POLISH,
 ) -> DataFrame:
     """Writes the next version of the table and its index below `path` and returns its statistics.
 
-    In order: the model's limit and the vectors' width, then encoding, upsert into the previous
-    version, pruning, index. Readers see a version only once `current` names it, which is last.
+    In order: the model's limit, encoding, the width of every vector and that there is one for each chunk, upsert
+    into the previous version, pruning, index. Readers see a version only once `current` names it, which is last.
     An empty load changes nothing.
     """
     if not chunks.limit(1).count():
         return load_stats(spark.read.parquet(f"{path}/{previous}/chunks")) if previous else None
-    rows = encode_passages(within_limit(chunks), encoder)
-    if wrong_width(rows.limit(1), encoder.dim).count():
-        raise ValidationError("the encoder's width is not the declared one")
+    rows = written(encode_passages(within_limit(chunks), encoder), "encoded")
+    if bad := wrong_width(rows, encoder.dim).count():
+        raise ValidationError(f"{bad} vectors have another width than the declared {encoder.dim}")
+    paired = unpaired(chunks.select(*KEY), rows.where("embedding is not null").select(*KEY), KEY).first()
+    if paired.missing or paired.chunks != paired.vectors:
+        raise ValidationError(f"{paired.vectors} vectors for {paired.chunks} chunks")
     if previous:
         table = upsert(spark.read.parquet(f"{path}/{previous}/chunks"), rows)
         table = prune(table, rows) if pruned else table
@@ -136,7 +149,7 @@ def load(
     table.write.mode("overwrite").parquet(f"{path}/{version}/chunks")
     done = spark.read.parquet(f"{path}/{version}/chunks")
     content = done.select(F.col("id").alias("chunk_id"), X.search_text(F.col("title_path"), F.col("content")).alias("content"))
-    write_index(content, path, version)
+    write_index(content, path, version, analyser=analyser)
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
     return load_stats(done)
 

@@ -114,15 +114,18 @@ def wrong_width(rows: DataFrame, dim: int, embedding: str = "embedding") -> Data
     return rows.where(F.col(embedding).isNotNull() & (F.size(embedding) != dim))
 
 
-def unpaired(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def unpaired(chunks: DataFrame, vectors: DataFrame, key: str | list[str]) -> DataFrame:
     """(chunks, vectors, missing): counts, and chunks without a vector."""
-    missing = chunks.join(vectors.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
+    missing = chunks.join(vectors.select(*([key] if isinstance(key, str) else key)).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
     return chunks.agg(F.count("*").alias("chunks")).crossJoin(vectors.agg(F.count("*").alias("vectors"))).crossJoin(missing)
 
 
-def analyser_present(lemmas: DataFrame) -> bool:
-    """Whether the lemma table can be read and has the columns the analyser needs."""
-    return {"token", "lemma"} <= set(lemmas.columns)
+def require_analyser(lemmas: DataFrame) -> DataFrame:
+    """`lemmas`, or an error if the table lacks a column that the analyser needs."""
+    lacking = {"token", "lemma"} - set(lemmas.columns)
+    if lacking:
+        raise ValidationError(f"the analyser's table has no {', '.join(sorted(lacking))}")
+    return lemmas
 
 
 def gold_problems(gold: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -160,6 +163,27 @@ def constraint_problems(gold: DataFrame, topics: list[str] | None = None) -> Dat
     return gold.where(bad | ~F.col("topic").isin(*topics) if topics else bad)
 
 
+def run_problems(runs: DataFrame) -> DataFrame:
+    """(run, problem) of metrics runs (context, metrics) that break a constraint: an unknown layer, a number out
+    of its range, or one that its layer requires and is not there."""
+    layer = F.col("metrics.layer")
+    share = lambda c: c.isNotNull() & ~c.between(0.0, 1.0)
+    need = lambda kind, c: (layer == kind) & c.isNull()
+    m = lambda name: F.col(f"metrics.`{name}`")
+    checks = {"layer": layer.isNull() | ~layer.isin("retrieval", "audit")}
+    for name in ("api_cost_usd", "duration_s"):
+        checks[name] = F.col(f"context.{name}").isNull() | (F.col(f"context.{name}") < 0)
+    for kind, counted, least in (("retrieval", "n_questions", 1), ("audit", "n_contracts", 1), ("audit", "n_planted_violations", 0)):
+        checks[counted] = need(kind, m(counted)) | (m(counted) < least)
+    checks["recall_at_k"] = need("retrieval", m("recall_at_k"))
+    for name in ("mrr", "faithfulness"):
+        checks[name] = share(m(name))
+    for name in ("precision", "recall", "f1"):
+        checks[name] = need("audit", m(name)) | share(m(name))
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in checks.items())))
+    return runs.select(F.col("context.timestamp").alias("run"), F.explode(found).alias("problem"))
+
+
 def known_articles(chunks: DataFrame, act: str | None = None) -> DataFrame:
     rows = chunks if act is None else chunks.where(F.col("act") == act)
     return rows.select("act", "article", "repealed").distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.shared import exists, fingerprint, session_dir
 from lexspark.operators import containment, indexing
 from lexspark.sources.files import table
 
@@ -33,10 +35,14 @@ def chunks(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFram
     return rows
 
 
-def index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index and statistics, kept for the several uses of one query."""
-    terms = indexing.chunk_terms(rows.select("chunk_id", "content")).persist()
-    return terms, indexing.corpus_stats(rows.select("chunk_id"), terms)
+def index(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser = indexing.Analyser()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Index and statistics of the documents as they are now: written once a session, sorted by lexeme, and
+    read by every query; documents that have changed get another."""
+    name = f"index-{fingerprint(spark, f'{sf_dir}/documents.parquet')}-{zlib.crc32(' '.join(analyser.stop).encode())}"
+    path = f"{session_dir(spark)}/{name}"
+    if not exists(spark, f"{path}/v1/corpus_stats/_SUCCESS"):
+        indexing.write_index(chunks(spark, sf_dir).select("chunk_id", "content"), path, "v1", analyser=analyser)
+    return indexing.read_index(spark, path, "v1")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

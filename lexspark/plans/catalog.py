@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.functions.sizes import bounded
+from lexspark.functions.sizes import bounded, text_bytes
 from lexspark.operators import chunking, evaluation, glyphs, indexing, loading, parsing, qa, search, validation
 from lexspark.plans import base
 from lexspark.plans.base import EVAL_SQL, LEGS_SQL, SQL, TRUTH_SQL, bm25_sql, fused_sql
@@ -45,23 +45,37 @@ def doc_lengths(spark, d):
 
 @query(SQL + " SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(spark, d):
-    rows = base.chunks(spark, d)
-    return base.index(rows)[1].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return base.index(spark, d)[1].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(SQL + " SELECT n_docs::BIGINT AS recorded, n_docs::BIGINT AS actual, (SELECT count(DISTINCT chunk_id) FROM terms) AS indexed, false AS stale FROM stats")
 def index_staleness(spark, d):
     rows = base.chunks(spark, d)
-    terms, stats = base.index(rows)
+    terms, stats = base.index(spark, d)
     return indexing.staleness(stats, rows, terms)
 
 
 # Search
 
 
+#: Fixed value: the stop words of the query.
+STOP = ("and", "der", "et", "in", "of", "the", "un", "y")
+_LISTED = ", ".join(f"'{w}'" for w in STOP)
+_STOPPED = SQL.replace("FROM tok GROUP BY ALL", f"FROM tok WHERE lexeme NOT IN ({_LISTED}) GROUP BY ALL") + bm25_sql()
+
+
+@query(_STOPPED + """ SELECT qid, chunk_id, score, rank FROM (
+  SELECT qid, chunk_id, bm.score, row_number() OVER (PARTITION BY qid ORDER BY bm.score DESC, chunk_id) AS rank
+  FROM bm JOIN chunks USING (chunk_id) WHERE NOT repealed) WHERE rank <= 25""")
+def bm25_stop_words(spark, d):
+    rows = base.chunks(spark, d)
+    index = base.index(spark, d, indexing.Analyser(STOP))
+    return search.lexical_search(rows, *index, base.questions(spark, d), stop=STOP)
+
+
 def _lexical(spark, d, **options):
     rows = base.chunks(spark, d)
-    return search.lexical_search(rows, *base.index(rows), base.questions(spark, d), **options)
+    return search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d), **options)
 
 
 _TOP = """ SELECT qid, chunk_id, score, rank FROM (
@@ -92,7 +106,7 @@ QUESTION = "in the and thing of was her"
 def bm25_topk(spark, d):
     rows = base.chunks(spark, d)
     asked = spark.createDataFrame([(0, QUESTION)], "qid int, question string")
-    return search.lexical_search(rows, *base.index(rows), asked)
+    return search.lexical_search(rows, *base.index(spark, d), asked)
 
 
 @query(SQL + ", s AS (SELECT qid, chunk_id, sum(tf)::DOUBLE AS score FROM terms JOIN asked USING (lexeme) GROUP BY ALL)" + _TOP.format("s", "WHERE NOT repealed"))
@@ -122,7 +136,7 @@ def fusion_weighted(spark, d):
 @query(fused_sql("weighted", 0.8) + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged")
 def hybrid_topk(spark, d):
     rows = base.chunks(spark, d, embedded=True)
-    return search.search(rows, *base.index(rows), base.questions(spark, d), base.vectors(spark, d))
+    return search.search(rows, *base.index(spark, d), base.questions(spark, d), base.vectors(spark, d))
 
 
 @query(fused_sql("weighted", 0.8) + " SELECT qid, rank, m.score, chunk_id, act, article, md5(content) AS content_md5, repealed FROM merged m JOIN chunks USING (chunk_id)")
@@ -147,7 +161,7 @@ def fuzzy_citation(spark, d):
 def _pool(spark, d):
     """Both legs' candidates merged whole, then collapsed to articles."""
     rows = base.chunks(spark, d, embedded=True)
-    lex = search.lexical_search(rows, *base.index(rows), base.questions(spark, d))
+    lex = search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d))
     ranked = search.merge(lex, search.dense_search(rows, base.vectors(spark, d)), 2 * search.CANDIDATES)
     return search.collapse_to_articles(ranked, rows)
 
@@ -355,7 +369,7 @@ def substantial(spark, d):
     return validation.substantial(base.chunks(spark, d), "content").select("chunk_id")
 
 
-@query()
+@query(r"SELECT * FROM (SELECT doc_id AS chunk_id, regexp_extract(text, '(?:^|[^\p{L}\p{M}\p{N}_.])(Art\.\s*\d+(?:\^[0-9a-ząćęłńóśźż]+)*\.)', 1) AS heading FROM documents) WHERE heading <> ''")
 def swallowed(spark, d):
     return validation.swallowed(base.chunks(spark, d), "content").select("chunk_id", "heading")
 
@@ -454,7 +468,7 @@ def verify_or_pin(spark, d):
 
 def _shown(spark, d):
     found = search.hits(hybrid_topk(spark, d), base.chunks(spark, d))
-    return found.join(bounded(base.questions(spark, d), 4096), "qid")
+    return found.join(bounded(base.questions(spark, d), text_bytes("question")), "qid")
 
 
 _TERMS = r"list_distinct(regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+)', 1))"

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.settings import Settings
-from lexspark.functions.text import search_text
-from lexspark.operators import chunking, evaluation, loading, parsing, qa, search, validation
+from lexspark.functions.shared import written
+from lexspark.operators import chunking, evaluation, indexing, loading, parsing, qa, search, validation
 from lexspark.operators.indexing import read_index
+from lexspark.operators.models import Model
 from lexspark.sources import files
+from lexspark.sources.acquire import download
 
 LEAST_QUESTION, LONGEST_QUESTION = 3, 1000
 
@@ -36,25 +40,57 @@ def _corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
     return chunks, *read_index(spark, path, version)
 
 
-def find(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid", k: int | None = None) -> DataFrame:  # noqa: B008
-    """Hits of each question (qid, question[, search_query]) with both ranks and what a result shows."""
+def find(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid", k: int | None = None, analyser: indexing.Analyser = indexing.POLISH) -> DataFrame:  # noqa: B008
+    """Hits of each question (qid, question[, search_query]) with both ranks and what a result shows. The
+    analyser is the one that the table was loaded with."""
     chunks, index, stats = _corpus(spark, path)
     asked = questions.select("qid", F.coalesce("search_query", "question").alias("question")) if "search_query" in questions.columns else questions
     vectors = loading.encode_queries(asked, encoder).select("qid", "vector")
     ranked = search.search(
         chunks, index, stats, asked, vectors, leg, k or settings.retrieval_top_k,
-        ranking=settings.lexical_ranking, k1=settings.bm25_k1, b=settings.bm25_b, fusion=settings.fusion, alpha=settings.hybrid_alpha,
+        ranking=settings.lexical_ranking, k1=settings.bm25_k1, b=settings.bm25_b, fusion=settings.fusion, alpha=settings.hybrid_alpha, stop=analyser.stop, lemmas=analyser.lemmas,
     )
     return search.hits(ranked, chunks)
 
 
 def ask(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, models: qa.Models = qa.Models(), settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Answers or refusals of a batch of questions. A question out of bounds makes the batch invalid."""
+    require_bounds(questions)
+    rows = qa.understand(questions, models)
+    return qa.ask(rows, find(spark, path, rows, encoder, settings), models, shown=["search_query"])
+
+
+def require_bounds(questions: DataFrame) -> None:
     bad = questions.where(~F.length("question").between(LEAST_QUESTION, LONGEST_QUESTION)).limit(5).collect()
     if bad:
         raise Invalid(f"questions must have {LEAST_QUESTION} to {LONGEST_QUESTION} characters: {[r.qid for r in bad]}")
-    rows = qa.understand(questions, models)
-    return qa.ask(rows, find(spark, path, rows, encoder, settings), models, shown=["search_query"])
+
+
+def ask_models(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, cheap: Model, strong: Model, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(results as of `ask`, usage (qid, model, input_tokens, output_tokens)) with models called in batches."""
+    require_bounds(questions)
+    rows, first = qa.rewritten_by(questions, cheap)
+    answers, more = qa.answered_by(rows, find(spark, path, rows, encoder, settings), cheap, strong, shown=["search_query"])
+    return answers, first.union(more)
+
+
+def responses(answers: DataFrame, usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """(qid, response): what a caller gets, as JSON: the answer or the refusal's text, what it rests on, the
+    disclaimer and what it cost."""
+    costs = evaluation.usage(usage, prices, ("qid", "model")).groupBy("qid").agg(F.sum("cost_usd").alias("cost_usd"))
+    rows = answers.join(costs, "qid", "left")
+    fields = [
+        F.when(F.col("refused"), qa.REFUSAL).otherwise(F.col("answer")).alias("answer"),
+        "citations",
+        "refused",
+        "refusal_reason",
+        "search_query",
+        "considered",
+        F.size("grounded_in").alias("grounded_in"),
+        F.lit(qa.DISCLAIMER).alias("disclaimer"),
+        F.round(F.coalesce("cost_usd", F.lit(0.0)), 6).alias("cost_usd"),
+    ]
+    return rows.select("qid", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("response"))
 
 
 def evaluate(spark: SparkSession, path: str, gold: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid") -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -63,7 +99,8 @@ def evaluate(spark: SparkSession, path: str, gold: DataFrame, encoder: loading.E
     truth = gold.select(F.col("id").alias("qid"), "act", F.explode("ground_truth_articles").alias("article"))
     chunks, _, _ = _corpus(spark, path)
     ranked = find(spark, path, asked, encoder, settings, leg, settings.bm25_candidates + settings.vector_candidates)
-    rows = evaluation.per_question(truth, search.collapse_to_articles(ranked.select("qid", "chunk_id", "rank"), chunks)).persist()
+    rows = evaluation.per_question(truth, search.collapse_to_articles(ranked.select("qid", "chunk_id", "rank"), chunks))
+    rows = written(rows, "evaluated")
     return evaluation.scores(rows), evaluation.missed(rows)
 
 
@@ -72,5 +109,12 @@ def manifest_report(acts: DataFrame, folder: str, repin: bool = False) -> DataFr
     return files.verify_or_pin(acts, files.fetched(acts.sparkSession, folder), repin).select("slug", "eli", "variant", "status", "bytes", "sha256")
 
 
-def indexed_text(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", search_text(F.col("title_path"), F.col("content")).alias("content"))
+def fetch_all(acts: DataFrame, folder: str, repin: bool = False, timeout: float = 60.0) -> DataFrame:
+    """Downloads the file of every act that `folder` lacks (or, to pin anew, of all), and the report of
+    `manifest_report`; a file that differs from its pin is an error. A manifest has a row for each act."""
+    for act in acts.select("url", "file_name").collect():
+        target = Path(folder) / act.file_name
+        if repin or not target.exists():
+            download(act.url, str(target), timeout)
+    checked = files.require_verified(files.verify_or_pin(acts, files.fetched(acts.sparkSession, folder), repin))
+    return checked.select("slug", "eli", "variant", "status", "bytes", "sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,7 +18,10 @@ def download(url: str, target: str, timeout: float = 60.0) -> Path:
     path = Path(target)
     path.parent.mkdir(parents=True, exist_ok=True)
     with urllib.request.urlopen(url, timeout=timeout) as got:  # noqa: S310
-        path.write_bytes(got.read())
+        part = path.with_suffix(path.suffix + ".part")
+        with part.open("wb") as out:
+            shutil.copyfileobj(got, out)
+        part.replace(path)  # no half of a file under its name
     return path
 
 

@@ -1,5 +1,6 @@
 """Ranking and fusion: what a rare term, length, repeals and two legs do to results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,23 @@ def test_latest(spark):
     rows = spark.createDataFrame([(1, "a", 1.0), (3, "a", 3.0), (2, "b", 2.0)], "run_seq int, layer string, value double")
     assert {r.layer: r.value for r in evaluation.latest_for_layer(rows).collect()} == {"a": 3.0, "b": 2.0}
     assert evaluation.latest_for_layer(rows.where(F.lit(False))).count() == 0
+
+
+def test_dense_blocks_equal_plain_cosines(spark):
+    rng = np.random.default_rng(4)
+    vectors = [rng.integers(-2, 3, 6).astype(float).tolist() for _ in range(300)] + [[0.0] * 6, [1.0, 2.0], None]
+    chunks = spark.createDataFrame([(i, v, i % 7 == 0) for i, v in enumerate(vectors)], "chunk_id long, embedding array<float>, repealed boolean").repartition(5)
+    asked = [(q, rng.integers(-2, 3, 6).astype(float).tolist()) for q in range(9)]
+    want = set()
+    for q, v in asked:
+        scores = []
+        for i, e in enumerate(vectors):
+            if e is None or i % 7 == 0:
+                continue
+            norm = np.linalg.norm(e) * np.linalg.norm(v) if len(e) == 6 else 0
+            scores.append((-round(float(np.dot(e, v) / norm), 6) if norm else 9, i))
+        want |= {(q, i, None if s == 9 else -s, n) for n, (s, i) in enumerate(sorted(scores)[:25], 1)}
+    frame = spark.createDataFrame(asked, "qid long, vector array<float>")
+    for most in (1 << 20, 300):
+        got = {(r.qid, r.chunk_id, None if r.score is None else round(r.score, 6), r["rank"]) for r in search.dense_search(chunks, frame, 25, most_bytes=most).collect()}
+        assert got == want

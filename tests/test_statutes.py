@@ -223,3 +223,35 @@ def test_gold_checks(spark):
     got = {(r.problem, r.qid, r.article) for r in validation.gold_problems(gold, chunks).collect()}
     assert got == {("duplicate id", "q1", None), ("not in the corpus", "q1", "3"), ("repealed without a note", "q1", "2"), ("act without chunks", "q2", "xx")}
     assert {r.problem for r in validation.gold_problems(gold.where(F.lit(False)), chunks).collect()} == {"empty set"}
+
+
+def test_white_space_of_any_kind_in_citations(spark):
+    cases = [("Art.\u00a09¹", "9^1"), ("\u00a0Art. 9\u2009(1)\u00a0", "9^1"), ("art 18-3a", "18^3a"), (" 151 ", "151")]
+    df = spark.createDataFrame([(raw,) for raw, _ in cases], "raw string")
+    assert [r[0] for r in df.select(X.normalise_article(F.col("raw"))).collect()] == [want for _, want in cases]
+
+
+def test_constraints_of_runs(spark):
+    context = dict.fromkeys(schemas.struct(schemas.CONTEXT).names, "x") | {"api_cost_usd": 0.0, "duration_s": 1.0}
+    none = dict.fromkeys(schemas.struct(schemas.METRICS).names)
+    good = [none | {"layer": "retrieval", "n_questions": 1, "recall_at_k": {"3": 0.5}}, none | {"layer": "audit", "n_contracts": 1, "n_planted_violations": 0, "precision": 1.0, "recall": 0.0, "f1": 0.0}]
+    bad = [none | {"layer": "other"}, none | {"layer": "retrieval", "n_questions": 0, "mrr": 1.5}, none | {"layer": "audit", "precision": -0.1, "recall": 0.5}]
+    runs = [{"context": context | {"timestamp": str(i)}, "metrics": m} for i, m in enumerate(good + bad)]
+    runs.append({"context": context | {"timestamp": "c", "api_cost_usd": -1.0}, "metrics": good[0]})
+    got = {}
+    for r in validation.run_problems(spark.createDataFrame(runs, schemas.history(with_seq=False))).collect():
+        got.setdefault(r.run, set()).add(r.problem)
+    assert got == {"2": {"layer"}, "3": {"n_questions", "recall_at_k", "mrr"}, "4": {"n_contracts", "n_planted_violations", "precision", "f1"}, "c": {"api_cost_usd"}}
+
+
+def test_audit_tables_and_markers():
+    from pyspark.sql import Row
+
+    run = Row(context=Row(**dict.fromkeys(schemas.struct(schemas.CONTEXT).names, "abcdefghij") | {"api_cost_usd": 0.5, "duration_s": 2.0, "embedding_revision": None}), metrics=Row(**dict.fromkeys(schemas.struct(schemas.METRICS).names) | {"layer": "audit", "n_contracts": 3, "n_planted_violations": 4, "precision": 0.5, "recall": 0.25, "f1": 1 / 3, "per_violation_type": {"b": 0.1, "a": 0.2}}))
+    document = "x\n<!-- METRICS:LAYER1:START -->\n<!-- METRICS:LAYER1:END -->\ny <!-- METRICS:LAYER2:START -->old<!-- METRICS:LAYER2:END --> z"
+    out = render.render(document, None, run)
+    assert "| **Overall** | 0.333 |\n| a | 0.200 |\n| b | 0.100 |" in out and "Precision **50.0%**" in out and "abcdefgh`" in out and "@unpinned" in out
+    assert out.startswith("x\n") and out.endswith(" z") and render.NOTHING in out and render.render(out, None, run) == out
+    for broken in ("<!-- METRICS:LAYER1:END --><!-- METRICS:LAYER1:START -->", "<!-- METRICS:LAYER1:START -->"):
+        with pytest.raises(ValueError):
+            render.splice(broken, "LAYER1", "b")
