@@ -20,7 +20,8 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     their first ANCHOR words (all, if fewer) among the windows of the documents, then verified."""
     asked = items.select(F.col(item).alias("item"), _words(F.col(text)).alias("iw")).where(F.size("iw") > 0)
     asked = asked.withColumn("n", F.least(F.size("iw"), F.lit(ANCHOR)))
-    asked = asked.withColumn("anchor", F.xxhash64(F.array_join(F.slice("iw", F.lit(1), F.col("n")), " "), "n"))
+    anchors = [(n, F.xxhash64(*(F.xxhash64(F.get("iw", F.lit(i))) for i in range(n)))) for n in range(1, ANCHOR + 1)]
+    asked = asked.withColumn("anchor", F.coalesce(*(F.when(F.col("n") == n, anchor) for n, anchor in anchors)))
     sizes = sorted(r.n for r in asked.select("n").distinct().collect())
     if not sizes:
         return docs.select(F.col(doc).alias("doc")).join(asked.select("item"), F.lit(False))
@@ -28,13 +29,13 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
 
     def hashes(words: Column) -> Column:
         def of_size(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-            each = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(n)))
+            starts = F.sequence(F.lit(0), F.size(words) - n)
+            each = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(n))))
             return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<bigint>"))
 
         return F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))  # at most ANCHOR sizes
 
-    every = rows.select("doc", F.explode(let(F.col("dw"), hashes)).alias("anchor"))
+    every = rows.select("doc", F.explode(let(F.transform("dw", F.xxhash64), hashes)).alias("anchor"))
     met = every.join(bounded(asked.select("item", "anchor"), 64), "anchor").select("doc", "item")
     both = met.join(rows, "doc").join(bounded(asked.select("item", "iw", F.array_join("iw", " ").alias("it")), text_bytes("it")), "item")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))

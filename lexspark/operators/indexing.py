@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import stopwords
+from lexspark.functions.shared import written
 from lexspark.functions.text import terms
 from lexspark.operators.validation import require_analyser
 
@@ -74,12 +75,12 @@ def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
 def write_index(chunks: DataFrame, path: str, version: str, text: str = "content", analyser: Analyser = Analyser()) -> None:  # noqa: B008
     """Writes chunk_terms sorted by lexeme (so that scans skip by min and max) and corpus_stats below
     `path`/`version`."""
-    index = chunk_terms(chunks, text, analyser.stop, analyser.lemmas)
+    index = written(chunk_terms(chunks, text, analyser.stop, analyser.lemmas), "terms")  # dealing out by ranges reads it twice
     index.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "chunk_id").write.mode("overwrite").parquet(
         f"{path}/{version}/chunk_terms"
     )
-    written = chunks.sparkSession.read.parquet(f"{path}/{version}/chunk_terms")
-    corpus_stats(chunks, written).write.mode("overwrite").parquet(f"{path}/{version}/corpus_stats")
+    there = chunks.sparkSession.read.parquet(f"{path}/{version}/chunk_terms")
+    corpus_stats(chunks, there).write.mode("overwrite").parquet(f"{path}/{version}/corpus_stats")
 
 
 def read_index(spark, path: str, version: str) -> tuple[DataFrame, DataFrame]:
