@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 from lexspark.llm.common import held
 
 #: Entries of each generation of a worker's memo of pre-tokens.
-MEMO = 250_000
+MEMO = 500_000
 #: Pieces of at most so many bytes keep a bucket as one integer, a bit for each position.
 SHORT = 256
 #: Longer pre-tokens are encoded each time they occur.
 MEMO_CHARS = 64
+#: The integers of one bit, by its place: positions of short pieces, places in a word, words of ranks.
+_BITS = [1 << i for i in range(4096)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +86,12 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        size = max(ranks.values(), default=0) + 1
+        self.queue = RankQueue(size)
+        self.short = SHORT if size <= len(_BITS) << 8 else 0
+        self.rank_of = ranks.get
+        self.words = [0] * ((size >> 8) + 1)
+        self.first = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
@@ -92,7 +99,7 @@ class Encoder:
         if whole is not None:
             return (whole,)
         n = len(piece)
-        if n <= SHORT:
+        if n <= self.short:
             return self._short(piece, n)
         after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         push, pop, rank_of = self.queue.push, self.queue.pop, ranks.get
@@ -135,62 +142,70 @@ class Encoder:
 
 
     def _short(self, piece: bytes, n: int) -> tuple[int, ...]:
-        """The same with the queue inlined: two levels of 256-bit words, buckets as position bits."""
-        rank_of = self.ranks.get
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        top, words, buckets = 0, {}, {}
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is None:
-                continue
-            pair[i] = rank
-            if rank in buckets:
-                buckets[rank] |= 1 << i
-                continue
-            buckets[rank] = 1 << i
-            word = rank >> 8
-            top |= 1 << word
-            words[word] = words.get(word, 0) | 1 << (rank & 255)
+        """The same with the queue inlined: two levels of 256-bit words, buckets as position bits. The lower
+        level's words are all 0 again when the queue is empty, and serve the next piece."""
+        rank_of, words, first, bit = self.rank_of, self.words, self.first, _BITS
+        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        top, buckets, i, left = 0, {}, 0, piece[0]
+        for right in piece[1:]:
+            rank = first[left << 8 | right]
+            left = right
+            pair.append(rank)
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank] |= bit[i]
+                else:
+                    buckets[rank] = bit[i]
+                    word = rank >> 8
+                    top |= bit[word]
+                    words[word] |= bit[rank & 255]
+            i += 1
+        pair.append(-1)
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
-            rank = word << 8 | (bits & -bits).bit_length() - 1
+            low = bits & -bits
+            rank = word << 8 | low.bit_length() - 1
             held = buckets[rank]
-            i = (held & -held).bit_length() - 1
-            held &= held - 1
-            if held:
-                buckets[rank] = held
-            else:
+            at = held & -held
+            i = at.bit_length() - 1
+            if held == at:
                 del buckets[rank]
-                bits &= bits - 1
+                bits ^= low
                 words[word] = bits
                 if not bits:
                     top &= top - 1
+            else:
+                buckets[rank] = held ^ at
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = pair[i] = -1
-            changed = ()
+            pair[gone] = -1
             if end < n:
                 before[end] = i
-                changed = ((i, after[end]),)
+                rank = pair[i] = rank_of(piece[i : after[end]], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        buckets[rank] |= bit[i]
+                    else:
+                        buckets[rank] = bit[i]
+                        word = rank >> 8
+                        top |= bit[word]
+                        words[word] |= bit[rank & 255]
+            else:
+                pair[i] = -1
             left = before[i]
             if left >= 0:
-                pair[left] = -1
-                changed += ((left, end),)
-            for at, stop in changed:
-                rank = rank_of(piece[at:stop])
-                if rank is None:
-                    continue
-                pair[at] = rank
-                if rank in buckets:
-                    buckets[rank] |= 1 << at
-                    continue
-                buckets[rank] = 1 << at
-                word = rank >> 8
-                top |= 1 << word
-                words[word] = words.get(word, 0) | 1 << (rank & 255)
+                rank = pair[left] = rank_of(piece[left:end], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        buckets[rank] |= bit[left]
+                    else:
+                        buckets[rank] = bit[left]
+                        word = rank >> 8
+                        top |= bit[word]
+                        words[word] |= bit[rank & 255]
         ids, i = [], 0
         while i < n:
             end = after[i]
@@ -210,7 +225,7 @@ class Memo(dict):
         ids = self.old.get(piece)
         if ids is None:
             found = self.encoder.piece(piece.encode())
-            ids = struct.pack(f"<{len(found)}i", *found)
+            ids = array("i", found).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)
