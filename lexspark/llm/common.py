@@ -5,12 +5,10 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from io import BytesIO
 from pathlib import Path
 from zipfile import ZipFile
@@ -19,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions.shared import shared_dir
+
 #: A word is a longest run of characters outside these six, the ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a small side may have, times its bytes a row, before it is joined by shuffle instead of broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of an Arrow batch, besides one row: what Python workers and the JVM hold at once of long texts.
+ARROW_BYTES, _ARROW = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A join value is hot with over one in so many rows, and so many rows at least.
 HOT_SHARE, HOT_LEAST = 1000, 500
 #: A key of a similarity join is hot with over one in so many rows.
@@ -34,22 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one
-    gets a temporary folder; on a cluster its executors could not see it, which is an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lexspark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the executors, once a session, so that they need no copy of it."""
+    """Sends this package's source to the executors, once a session, so that they need no copy of it, and
+    bounds the session's Arrow batches to ARROW_BYTES where it does not say otherwise."""
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     root = Path(__file__).parents[1]
     name = f"{root.name}-{spark.sparkContext.applicationId}.zip"
     if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
@@ -66,6 +57,8 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+#: Sessions whose folder goes when the process ends.
+_LEAVES: set[str] = set()
 #: Folder within the session's, for what is written from here on.
 _SCOPE = ["operators"]
 
@@ -83,6 +76,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once to the shared folder and read again: lineage ends there, and a lost
     executor costs no recomputation. `drop` deletes one such table, `discard` many."""
     spark = df.sparkSession
+    if spark.sparkContext.applicationId not in _LEAVES:
+        _LEAVES.add(spark.sparkContext.applicationId)
+        atexit.register(_leave, spark)
     path = f"{_session_dir(spark)}/{_SCOPE[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -100,6 +96,12 @@ def discard(spark: SparkSession, scope: str | None = None) -> None:
     _delete(spark, _session_dir(spark) + (f"/{scope}" if scope else ""))
 
 
+def _leave(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended before
+        with suppress(Exception):  # the process ends; there is nobody left to tell
+            discard(spark)
+
+
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Tables written inside belong to that scope."""
@@ -111,15 +113,17 @@ def scope(name: str) -> Iterator[None]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """Arrow batches of what is run inside hold at most so many bytes, besides one row."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    before = spark.conf.get(_ARROW, None)
+    spark.conf.set(_ARROW, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(_ARROW)
+        else:
+            spark.conf.set(_ARROW, before)
 
 
 def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
