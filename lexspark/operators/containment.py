@@ -35,7 +35,7 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
 
         return F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))  # at most ANCHOR sizes
 
-    every = rows.select("doc", F.explode(let(F.transform("dw", F.xxhash64), hashes)).alias("anchor"))
+    every = rows.select("doc", F.explode(let(F.transform("dw", lambda w: F.xxhash64(w)), hashes)).alias("anchor"))
     met = every.join(bounded(asked.select("item", "anchor"), 64), "anchor").select("doc", "item")
     both = met.join(rows, "doc").join(bounded(asked.select("item", "iw", F.array_join("iw", " ").alias("it")), text_bytes("it")), "item")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))

@@ -69,6 +69,45 @@ def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("act"), F.lit(1).alias("number"), text.alias("text"))
 
 
+def marked_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as acts of two levels and two pages: of five lines in turn, the second is repealed, the third
+    future law, the fourth bracketed with a raised number, and the fifth starts a chapter on the second page."""
+    number = lambda i: (i + 1).cast("string")
+
+    def line(x, i):
+        kind = F.pmod(i, F.lit(5))
+        head = F.concat(F.lit("Art. "), number(i))
+        return (
+            F.when(kind == 1, F.concat(head, F.lit(". (uchylony)")))
+            .when(kind == 2, F.concat(F.lit("<"), head, F.lit(". "), x, F.lit(">")))
+            .when(kind == 3, F.concat(F.lit("["), head, F.lit("^[1a]. "), x, F.lit("]")))
+            .when(kind == 4, F.concat(F.lit("Rozdział "), number(i), F.lit("\nTytuł "), number(i), F.lit("\n"), head, F.lit(". "), x))
+            .otherwise(F.concat(head, F.lit(". "), x))
+        )
+
+    lines = F.transform(F.split("text", "\n"), line)
+    page = lambda low, n: F.array_join(F.slice(lines, low, n), "\n")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("act"), "lang", lines.alias("l"), "text")
+    first = F.concat_ws("\n", F.lit("DZIAŁ I"), F.col("lang"), page(F.lit(1), F.lit(4)))
+    pages = F.array(F.struct(F.lit(1).alias("number"), first.alias("text")), F.struct(F.lit(2).alias("number"), page(F.lit(5), F.greatest(F.size("l") - 4, F.lit(0))).alias("text")))
+    return rows.select("act", F.inline(pages))
+
+
+def framed_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The glyphs of `glyphs`, each page with what is to go: a small note that starts right of the widest page
+    on its first line, and two lines of page furniture."""
+    rows = glyphs(spark, sf_dir)
+    edge = rows.where("size = 12.0").agg(F.max("x1").alias("edge"))
+    note = rows.select("page").distinct().crossJoin(F.broadcast(edge)).select("page", F.posexplode(F.split(F.lit("note"), "")).alias("pos", "text"), "edge").where("text <> ''")
+    x0 = F.col("edge") + 1.0 + F.col("pos") * 6.0
+    note = note.select("page", F.lit(0).alias("line"), (F.col("pos") + 100_000).alias("pos"), "text", F.lit(9.0).alias("size"), x0.alias("x0"), (x0 + 5.0).alias("x1"), F.lit(100.0).alias("bottom"))
+    said = F.array(F.lit("© Kancelaria Sejmu s. 1/10"), F.lit("2024-01-30"))
+    frame = rows.select("page").distinct().select("page", F.posexplode(said).alias("line", "l")).select("page", "line", F.posexplode(F.split("l", "")).alias("pos", "text")).where("text not in ('', ' ')")
+    x0 = F.col("pos") * 6.0
+    frame = frame.select("page", (F.col("line") + 100_000).alias("line"), "pos", "text", F.lit(12.0).alias("size"), x0.alias("x0"), (x0 + 6.0).alias("x1"), F.lit(100.0).alias("bottom"))
+    return union([rows, note.select(*rows.columns), frame.select(*rows.columns)])
+
+
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character of every document as a glyph: digits are small and raised, x grows by the
     character, spaces are left as gaps, and each text line is a line of the page doc_id."""

@@ -287,6 +287,28 @@ def segment_articles(spark, d):
     return now.select("act", "segment", "article", F.array_join("title_path", " > ").alias("path"), F.md5("text").alias("text_md5"))
 
 
+_TITLES = """CASE WHEN {0} < 5 THEN '' ELSE ' > Rozdział ' || ({0} - {0} % 5) || ' — Tytuł ' || ({0} - {0} % 5) END"""
+
+
+@query(rf"""SELECT act, segment, CASE WHEN kind = 3 THEN segment || '^1a' ELSE segment::VARCHAR END AS article, 'DZIAŁ I — ' || lang || {_TITLES.format("segment")} AS path,
+  CASE WHEN segment > 4 THEN 2 ELSE 1 END::INT AS page_start, kind = 1 AS repealed, CASE WHEN kind = 1 THEN 'uchylony' ELSE '' END AS repeal_kind,
+  kind = 2 AS future, md5(CASE WHEN kind = 1 THEN '(uchylony)' ELSE text END) AS text_md5 FROM (SELECT *, (segment - 1) % 5 AS kind FROM ({_LINES}))""")
+def segment_marks(spark, d):
+    now, future = parsing.articles(base.marked_statutes(spark, d))
+    shown = ["act", "segment", "article", F.array_join("title_path", " > ").alias("path"), "page_start", "repealed", "repeal_kind", F.lit(False).alias("future"), F.md5("text").alias("text_md5")]
+    place = parsing.segments(base.marked_statutes(spark, d)).select("act", "segment", F.array_join("title_path", " > ").alias("path"))
+    later = future.join(place, ["act", "segment"]).select(
+        "act", "segment", "article", "path", "page_start", F.lit(False).alias("repealed"), F.lit("").alias("repeal_kind"), F.lit(True).alias("future"), F.md5("text").alias("text_md5")
+    )
+    return now.select(*shown).union(later)
+
+
+@query(rf"""SELECT act, count(*) FILTER (kind <> 2) AS articles, count(*) FILTER (kind = 1) AS repealed, count(*) FILTER (kind = 3) AS superscripted,
+  count(*) FILTER (kind <> 2 AND (text <> '' OR kind = 1)) AS paragraphs FROM (SELECT *, (segment - 1) % 5 AS kind FROM ({_LINES})) GROUP BY act""")
+def marked_shape(spark, d):
+    return validation.shape(parsing.articles(base.marked_statutes(spark, d))[0]).select("act", "articles", "repealed", "superscripted", "paragraphs")
+
+
 @query(f"SELECT act, count(*) AS articles, 0::BIGINT AS repealed, 0::BIGINT AS superscripted, count(*) FILTER (text <> '') AS paragraphs, '1' AS first, max(segment)::VARCHAR AS last FROM ({_LINES}) GROUP BY act")
 def parse_shape(spark, d):
     return validation.shape(parsing.articles(base.statutes(spark, d))[0])
@@ -330,13 +352,46 @@ def _document_chunks(spark, d):
     return chunking.chunks(rows)
 
 
-@query()
+_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PACKED = """{0} AS (SELECT {2}, i, n, 0::BIGINT AS grp, n::BIGINT AS used FROM {1} WHERE i = 1
+  UNION ALL SELECT {3}, l.i, l.n, CASE WHEN g.used > 0 AND g.used + l.n > l.room THEN g.grp + 1 ELSE g.grp END,
+    CASE WHEN g.used > 0 AND g.used + l.n > l.room THEN l.n ELSE g.used + l.n END FROM {0} g JOIN {1} l ON {4} AND l.i = g.i + 1)"""
+_CHUNKS = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, k, {_STRIP.format("ls[k]")} AS t FROM d, unnest(range(CASE WHEN len(ls) > 1 THEN 2 ELSE 1 END, len(ls) + 1)) AS r(k)),
+piece AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, t, {_WORDS.format("t")} AS n FROM raw WHERE t <> ''),
+per AS (SELECT doc_id, source, lang, len(ls) > 1 AS marked, 480 - CASE WHEN len(ls) > 1 AND count(i) > 0 THEN 6 ELSE 4 END AS room, count(i) AS pieces, min(t) AS only_t,
+    string_agg(CASE WHEN len(ls) > 1 THEN '§ 3. ' || t ELSE t END, ' ' ORDER BY i) AS whole
+  FROM d LEFT JOIN piece USING (doc_id) GROUP BY doc_id, source, lang, ls),
+big AS (SELECT * FROM per WHERE pieces > 0 AND {_WORDS.format("whole")} > room),
+l AS (SELECT p.doc_id, p.i, p.n, b.room FROM piece p JOIN big b USING (doc_id)),
+{_PACKED.format("g", "l", "doc_id", "l.doc_id", "l.doc_id = g.doc_id")},
+grp AS (SELECT g.doc_id, grp, count(*) AS n, min(t) AS only_t, string_agg(CASE WHEN marked THEN '§ 3. ' || t ELSE t END, ' ' ORDER BY g.i) AS joined, any_value(b.room) AS room
+  FROM g JOIN piece USING (doc_id, i) JOIN big b USING (doc_id) GROUP BY g.doc_id, grp),
+long AS (SELECT doc_id, grp, room, string_split(regexp_replace(only_t, '([.;:])\s+', '' || chr(31), 'g'), chr(31)) AS ss FROM grp WHERE n = 1 AND {_WORDS.format("only_t")} > room),
+s AS (SELECT doc_id, grp AS of, room, i, ss[i] AS t, {_WORDS.format("ss[i]")} AS n FROM long, unnest(range(1, len(ss) + 1)) AS r(i)),
+{_PACKED.format("sg", "s", "doc_id, of", "l.doc_id, l.of", "l.doc_id = g.doc_id AND l.of = g.of")},
+sentences AS (SELECT sg.doc_id, sg.of AS grp, sg.grp AS part, string_agg(t, ' ' ORDER BY sg.i) AS text FROM sg JOIN s USING (doc_id, of, i) GROUP BY ALL),
+parts AS (
+  SELECT doc_id, 0 AS grp, 0 AS part, CASE WHEN pieces = 1 AND marked THEN '3' ELSE '' END AS marker, CASE WHEN pieces = 1 THEN only_t ELSE whole END AS text
+  FROM per WHERE pieces > 0 AND {_WORDS.format("whole")} <= room
+  UNION ALL SELECT doc_id, 0, 0, '', text FROM per JOIN documents USING (doc_id) WHERE pieces = 0
+  UNION ALL SELECT doc_id, grp, 0, '', joined FROM grp WHERE n > 1
+  UNION ALL SELECT doc_id, grp, 0, CASE WHEN marked THEN '3' ELSE '' END, grp.only_t FROM grp JOIN big b USING (doc_id) WHERE n = 1 AND {_WORDS.format("grp.only_t")} <= grp.room
+  UNION ALL SELECT doc_id, grp, part, CASE WHEN marked THEN '3' ELSE '' END, text FROM sentences JOIN big USING (doc_id)),
+chunk AS (
+  SELECT source AS act, doc_id::VARCHAR AS article, lang, marker AS paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY grp, part) - 1 AS part_index,
+    trim('Art. ' || doc_id || CASE WHEN marker <> '' THEN ' § ' || marker ELSE '' END || '. ' || text) AS content
+  FROM parts JOIN per USING (doc_id))"""
+
+
+@query(_CHUNKS + f" SELECT act, article, paragraph, part_index::INT AS part_index, {_WORDS.format('content')}::BIGINT AS n_tokens, md5(content) AS content_md5 FROM chunk")
 def chunk_documents(spark, d):
     rows = _document_chunks(spark, d)
     return rows.select("act", "article", "paragraph", "part_index", "n_tokens", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(_CHUNKS + f" SELECT act, article, part_index::INT AS part_index, {_WORDS.format('content')}::BIGINT AS n_tokens FROM chunk WHERE {_WORDS.format('content')} + 2 > 512")
 def chunks_over_limit(spark, d):
     return chunking.over_limit(_document_chunks(spark, d)).select("act", "article", "part_index", "n_tokens")
 
@@ -493,7 +548,11 @@ def verify_citations(spark, d):
     return qa.verify_citations(base.truth(spark, d), qa.kept(qa.grade(_shown(spark, d))))
 
 
-@query()
+@query(_GRADED + """, per AS (SELECT qid, count(*) AS considered FROM graded GROUP BY qid),
+used AS (SELECT qid, count(*) AS n, arg_min(article, rank) AS first FROM kept GROUP BY qid)
+SELECT q.qid, n IS NULL AS refused, CASE WHEN n IS NULL THEN 'no relevant passage' END AS refusal_reason, coalesce(considered, 0) AS considered, coalesce(n, 0)::INT AS n_grounded,
+  coalesce(n, 0)::INT AS n_citations, md5('Art. ' || first || ' [' || source || ' > ' || lang || ']' || chr(10) || d.text) AS answer_md5
+FROM questions q LEFT JOIN per USING (qid) LEFT JOIN used USING (qid) LEFT JOIN documents d ON d.doc_id::VARCHAR = first""")
 def ask(spark, d):
     found = search.hits(hybrid_topk(spark, d), base.chunks(spark, d))
     out = qa.ask(qa.understand(base.questions(spark, d)), found)
@@ -512,6 +571,11 @@ def glyph_lines(spark, d):
     return glyphs.lines(rows, glyphs.body_size(rows)).select("page", "line", F.md5("text").alias("text_md5"))
 
 
+@query(f"SELECT page, md5(string_agg(text, chr(10) ORDER BY line)) AS text_md5 FROM ({_GLYPH_LINES}) WHERE text <> '' GROUP BY page")
+def glyph_frames(spark, d):
+    return glyphs.extract(base.framed_glyphs(spark, d), 1 << 30).select(F.col("number").alias("page"), F.md5("text").alias("text_md5"))
+
+
 @query(f"SELECT page, md5(string_agg(text, chr(10) ORDER BY line)) AS text_md5 FROM ({_GLYPH_LINES}) WHERE text <> '' GROUP BY page")
 def glyph_pages(spark, d):
     return glyphs.extract(base.glyphs(spark, d), 1 << 30).select(F.col("number").alias("page"), F.md5("text").alias("text_md5"))
