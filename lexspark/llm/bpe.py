@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lexspark.llm.common import held
 
 #: Entries of each generation of a worker's memo of pre-tokens.
-MEMO = 500_000
+MEMO = 250_000
 #: Pieces of at most so many bytes keep a bucket as one integer, a bit for each position.
 SHORT = 256
 #: Longer pre-tokens are encoded each time they occur.
@@ -215,24 +215,25 @@ class Encoder:
 
 
 class Memo(dict):
-    """Ids by pre-token, as packed 32-bit integers, in two generations of at most MEMO: a full one
-    becomes the old one, from which what is asked for again comes back."""
+    """Ids by pre-token, as packed 32-bit integers, at most MEMO of them. What `old`, the generation before,
+    has is taken over when it is asked for."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.old = encoder, {}
+    def __init__(self, encoder: Encoder, old: dict[str, bytes] | None = None):
+        self.encoder, self.old = encoder, {} if old is None else old
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            found = self.encoder.piece(piece.encode())
-            ids = array("i", found).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
+            ids = array("i", self.encoder.piece(piece.encode())).tobytes()
+        if len(piece) <= MEMO_CHARS and len(self) < MEMO:
             self[piece] = ids
         return ids
 
+    def next(self) -> Memo:
+        """The generation after a full one; the one before this is dropped."""
+        self.old = {}
+        return Memo(self.encoder, self)
+
 
 def latin_pattern(pattern: str) -> str | None:
     """`pattern` for the standard library's matcher, right for texts of U+0000 to U+00FF only: there the
@@ -267,6 +268,8 @@ class Codec:
         if not text:
             return b""
         find = self.latin if text.isascii() or not self.wide(text) else self.every
+        if len(self.memo) >= MEMO:
+            self.memo = self.memo.next()
         return b"".join(map(self.memo.__getitem__, find(text)))
 
     def ids(self, text: str | None) -> list[int]:

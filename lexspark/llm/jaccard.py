@@ -27,6 +27,8 @@ BLOCK_ROWS = 2048
 BLOCK_BYTES = 16 << 20
 #: A worker's memo of word hashes; when full it starts anew.
 WORD_MEMO = 300_000
+#: Sets that a task remembers, so as to give their keys once only.
+SEEN = 400_000
 _U = np.uint64
 
 
@@ -132,7 +134,7 @@ def may_link(apart, n, m, percent: int):
 def _sets(df: DataFrame, k: int, percent: int, keys: bool) -> DataFrame:
     """`df`, whose last column is the text, with n, band, sid (hash of the set, null if empty) and either
     keys (the part keys) and sketch, or set, in the text's place. A task gives each set's once, however
-    many copies it meets: for further ones keys are empty and sketch is null, or the row is left out."""
+    many copies it meets while it remembers SEEN sets: for further ones keys are empty and sketch is null, or the row is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, lows = held("words", None, WordHash), set(), bands(percent)[0]
@@ -145,6 +147,8 @@ def _sets(df: DataFrame, k: int, percent: int, keys: bool) -> DataFrame:
                     s = shingle_set(t.as_py(), k, memo)
                     sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                     new = len(s) > 0 and sid not in seen
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sid)
                     if not keys and not new:
                         continue
