@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, chat, jaccard, langid, lines, media, mixing, quality, urls, wrappers
-from lexspark.llm.common import ship, table
+from lexspark.llm import bpe, chat, jaccard, langid, lines, media, mixing, quality, spelling, tokenbin, urls, wrappers
+from lexspark.llm.common import new_folder, ship, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Fixed values of op11 and op12: the id that ends a document; of how many runs one loses a letter.
+END, MISSPELT = 2, 31
 #: The conversation that the contract of op4 adds.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -105,6 +108,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids in ranked binary files; digests of what is read back from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokenbin.export(docs, WORD_BPE, new_folder(spark, "tokens"), end=END)
+    return back.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, of which some lose a letter by a hash, with their variants and roots."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "doc_id", least=7)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    words = runs.withColumn("h", h).select(
+        F.when(F.col("h") % MISSPELT == 0, spelling.without("run", F.col("h") % F.length("run"))).otherwise(F.col("run")).alias("word")
+    )
+    found = spelling.group_variants(spelling.vocabulary(words, least_length=7, least_n=2), ratio=10)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -126,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard,
         op9_language_id,
         op10_line_dedup,
+        op11_token_ids,
+        op12_spelling_variants,
     )
 }
 
@@ -161,5 +184,40 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND NOT host_failed AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+""",
+    # CRC-32 by bytes; near words by what is left at the same place, or by what one has more.
+    "op12_spelling_variants": r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7),
+met AS (SELECT id, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT run, times, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END)) AS b FROM met),
+hashed AS (
+  SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS h FROM bytes, tab),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS u(i)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT DISTINCT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+first AS (SELECT word, arg_min(other, r) AS other FROM (
+    SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near) GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN first.other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
+walk AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN formed f ON walk.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word) USING (word)
 """,
 }

@@ -72,16 +72,20 @@ def _session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lexspark-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once to the shared folder and read again: lineage ends there, and a lost
-    executor costs no recomputation. `drop` deletes one such table, `discard` many."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's name in the shared folder that nothing has yet; `discard` deletes what is written there."""
     if spark.sparkContext.applicationId not in _LEAVES:
         _LEAVES.add(spark.sparkContext.applicationId)
         atexit.register(_leave, spark)
-    path = f"{_session_dir(spark)}/{_SCOPE[-1]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return f"{_session_dir(spark)}/{_SCOPE[-1]}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """`df`, written once to the shared folder and read again: lineage ends there, and a lost
+    executor costs no recomputation. `drop` deletes one such table, `discard` many."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
