@@ -18,7 +18,8 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from lexspark.llm.common import drop, held, release, small, written
 
 #: Ids from which on a block ends.
 BLOCK_IDS = 1 << 18
-#: Pre-tokens that a worker remembers, and the longest of them.
-MEMO, LONGEST = 400_000, 64
+#: Stretches and pre-tokens that a worker remembers (up to twice as many), and the longest of them.
+MEMO, LONGEST = 500_000, 64
 #: Control bytes that are decoded at a step: bounds what indexes take.
 STEP = 1 << 16
 
@@ -42,25 +43,55 @@ _NORMALIZER = {
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
 }
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: White space, and what is neither that nor an ASCII character one sees nor one of these letters, which
-#: normalization only lower-cases.
+#: ASCII white space; what is neither that nor an ASCII character one sees nor one of these letters, which
+#: normalization only lower-cases; the splitting rule for texts without such.
 _SPACE, _LETTERS = "\\t-\\r ", "a-zß-öø-ÿ"
 _ODD = re.compile(f"[^{_SPACE}!-~À-ÖØ-öø-ÿ]")
 _PLAIN = re.compile(_SPLIT.replace("\\p{L}", _LETTERS).replace("\\p{N}", "0-9").replace("\\s", _SPACE))
 
 
-class Words(dict):
-    """Packed ids by pre-token, as the library has them, found where they are missing.
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print as Latin-1 are themselves, the others come from 256 on."""
+    shown = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
+
+
+class Memo(dict):
+    """make(key) by key, kept for the last MEMO to twice as many keys of at most LONGEST characters."""
+
+    def __init__(self, make: Callable):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MEMO:
+                self.before = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class Words(Memo):
+    """Packed ids by stretch of bytes between white space, as the library has them, found where they are missing.
 
     The library splits a text at white space, marks and letters before it merges, so that equal pre-tokens
-    always have equal ids. Where the file's rules are those above, pre-tokens of ordinary texts are
-    found here and each is encoded by the library once; stretches with any other character, and all texts for
-    files with other rules, are encoded by the library as they stand.
+    always have equal ids. Where the file's rules are those above, texts are split at ASCII white space, of which
+    no pre-token holds any; an ordinary stretch is split into pre-tokens here, which are stretches of their own, and each
+    of them is merged by the library once. Stretches with any other character, and all texts for files with other rules, are encoded by the
+    library as they stand.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(self._stretch)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.library.model.tokenize
@@ -69,22 +100,23 @@ class Words(dict):
         split = first.get("pattern") == {"Regex": _SPLIT} and (first.get("behavior"), first.get("invert")) == ("Removed", True)
         known = split and rules["pre_tokenizer"]["pretokenizers"][1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
         self.known = known and rules["normalizer"] == _NORMALIZER and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        # Of ASCII characters the byte-level alphabet is the text itself, so merging can begin at once.
-        if word.isascii() and not _ODD.search(word):
-            out = np.array([t.id for t in self.merge(word)], self.kind).tobytes()
-        else:
-            out = self._encode(word)
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
-        return out
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        # Bytes are merged as characters of the byte-level alphabet, in which those of ASCII that one sees are themselves.
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.kind, [t.id for t in self.merge(word)]).tobytes()
+
+    def _stretch(self, data: bytes) -> bytes:
+        text = data.decode()
+        if _ODD.search(text):
+            return self._encode(text)
+        found = _PLAIN.findall(text.lower())
+        return self._merged(found[0]) if len(found) == 1 else b"".join([self[t.encode()] for t in found])
 
     def packed(self, text: str | None) -> bytes:
         """The ids of the whole text, without special tokens; null is the empty text."""
@@ -92,15 +124,8 @@ class Words(dict):
             return b""
         if not self.known:
             return self._encode(text)
-        if not _ODD.search(text):
-            return b"".join(map(self.__getitem__, _PLAIN.findall(text.lower())))
-        out = []
-        for stretch in re.split(f"[{_SPACE}]+", text):
-            if not _ODD.search(stretch):
-                out += map(self.__getitem__, _PLAIN.findall(stretch.lower()))
-            else:
-                out.append(self[stretch])  # no pre-token of an ordinary text is like it
-        return b"".join(out)
+        # Bytes are lower-cased and split as ASCII, so that copies of a word in another case are one stretch.
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int | None = None) -> DataFrame:
@@ -110,7 +135,7 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held("tokenbin", sys.intern(path), lambda: Words(path))  # interned: the same object in the worker's next task
-        last = np.array([] if end is None else [end], words.kind).tobytes()
+        last = array(words.kind, [] if end is None else [end]).tobytes()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 256):  # bounds what Python holds of long texts at once
@@ -124,12 +149,12 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return rows.select("doc", "at", "text").mapInArrow(run, T.StructType([rows.schema["doc"], *more]))
 
 
-def id_kind(path: str) -> type:
-    """Of the packed ids of `tokenize`."""
+def id_kind(path: str) -> str:
+    """Type code of the packed ids of `tokenize`."""
     return Words(path).kind
 
 
-def ranks(encoded: DataFrame, kind: type) -> DataFrame:
+def ranks(encoded: DataFrame, kind: str) -> DataFrame:
     """(rank, id, n) of the ids that occur in `encoded` (ids): no more rows than the tokenizer has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +216,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
-def write(encoded: DataFrame, folder: str, kind: type) -> None:
+def write(encoded: DataFrame, folder: str, kind: str) -> None:
     """Writes `encoded` (see `tokenize`) to a new `folder`, in ascending order of doc (null last), then the hash of
     the text, then the row.
 
