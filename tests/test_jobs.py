@@ -1,0 +1,184 @@
+"""The jobs: two runs over growing input, reruns with the same result, and their SQL."""
+
+import json
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from test_oracles import TABLES, rows
+
+import __spark_entry__ as entry
+from jobs import catalog, incremental_index, ranking_study
+from jobs import settings as shared
+from lexspark.operators import evaluation, indexing, search, segments
+
+DOCUMENT = "doc_id long, text string, lang string, source string"
+
+
+def docs_of(spark, found):
+    return spark.createDataFrame([(*r, *(["en", "a"][len(r) - 2 :])) for r in found], DOCUMENT)
+
+
+def live_rows(spark, path):
+    return sorted(tuple(r) for r in segments.live(spark, path).postings.select("doc_id", "part_index", "lexeme", "tf", "doc_len").collect())
+
+
+def rebuilt(spark, path):
+    """Postings, statistics and frequencies made anew from the live passages."""
+    chunks = segments.live(spark, path).passages.select(F.struct("doc_id", "part_index").alias("chunk_id"), "content")
+    index = indexing.chunk_terms(chunks)
+    flat = sorted((r.chunk_id.doc_id, r.chunk_id.part_index, r.lexeme, r.tf, r.doc_len) for r in index.collect())
+    sums = {r.lexeme: (r.df, r.tf) for r in index.groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).collect()}
+    return flat, tuple(indexing.corpus_stats(chunks, index).first()), sums
+
+
+def same_as_rebuilt(spark, path):
+    flat, stats, sums = rebuilt(spark, path)
+    assert live_rows(spark, path) == flat
+    found = segments.statistics(spark, path).first()
+    assert found.n_docs == stats[0] and found.avgdl == pytest.approx(stats[1])
+    assert {r.lexeme: (r.df, r.tf) for r in segments.frequencies(spark, path).collect()} == sums
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, sf_dir, name):
+    got = entry.queries()[name](spark, sf_dir).toPandas()
+    duck = duckdb.connect()
+    for t in TABLES.split():
+        duck.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = duck.sql(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_index_takes_what_is_new(spark, sf_dir, tmp_path):
+    source, out, mark = (f"{tmp_path}/{n}" for n in ("in", "out", "mark"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table.where("doc_id < 60").repartition(3).write.parquet(source)
+    assert incremental_index.run(spark, source, out, mark, budget=80, shards=4) == 1
+    first = segments.segments(spark, out).first()
+    before = live_rows(spark, out)
+    assert incremental_index.run(spark, source, out, mark, budget=80, shards=4) == 0 and live_rows(spark, out) == before
+    # Ten of the new rows are documents that the index has, with another text.
+    changed = table.where("doc_id < 10").withColumn("text", F.lit("replaced words only"))
+    table.where("doc_id between 60 and 99").unionByName(changed).coalesce(1).write.mode("append").parquet(source)
+    assert incremental_index.run(spark, source, out, mark, budget=80, shards=4) == 1
+    kept = sorted(segments.segments(spark, out).collect())
+    assert kept[0] == first and [r.documents for r in kept] == [60, 50]
+    assert {r.doc_id for r in segments.live(spark, out).documents.collect()} == set(range(100))
+    assert {r[2] for r in live_rows(spark, out) if r[0] < 10} == {"replaced", "words", "only", *map(str, range(10))}
+    same_as_rebuilt(spark, out)
+
+
+def test_new_checkpoint_over_an_index(spark, sf_dir, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 30").write.parquet(source)
+    incremental_index.run(spark, source, out, f"{tmp_path}/one")
+    before = live_rows(spark, out)
+    incremental_index.run(spark, source, out, f"{tmp_path}/two")
+    assert live_rows(spark, out) == before and segments.segments(spark, out).count() == 2
+    same_as_rebuilt(spark, out)
+
+
+def test_batches_are_bounded_and_merged(spark, sf_dir, tmp_path):
+    source, out, mark = (f"{tmp_path}/{n}" for n in ("in", "out", "mark"))
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 30").repartition(4).write.parquet(source)
+    assert incremental_index.run(spark, source, out, mark, files_per_batch=1, merge_from=3) == 4
+    assert [(r.whole, r.documents) for r in segments.segments(spark, out).collect()] == [(True, 30)]
+    same_as_rebuilt(spark, out)
+    segments.add(docs_of(spark, [(3, "later")]), out, "more")
+    assert [r[2] for r in live_rows(spark, out) if r[0] == 3] == ["3", "later"]
+    same_as_rebuilt(spark, out)
+
+
+def test_stopped_and_repeated_loads(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/out"
+    segments.create(spark, out)
+    segments.add(docs_of(spark, [(1, "one"), (2, "two")]), out, "a")
+    before = live_rows(spark, out)
+    with monkeypatch.context() as m:
+        m.setattr(segments, "_finish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            segments.add(docs_of(spark, [(1, "other"), (5, "five")]), out, "b")
+    assert live_rows(spark, out) == before  # readers see nothing of it
+    first = segments.add(docs_of(spark, [(1, "other"), (5, "five")]), out, "b")
+    now = live_rows(spark, out)
+    assert segments.add(docs_of(spark, [(1, "other"), (5, "five")]), out, "b") == first and live_rows(spark, out) == now
+    # A repeated earlier batch keeps its place: it does not win over later ones.
+    segments.add(docs_of(spark, [(1, "one"), (2, "two")]), out, "a")
+    assert live_rows(spark, out) == now and {r[2] for r in now} == {"1", "other", "2", "two", "5", "five"}
+    same_as_rebuilt(spark, out)
+
+
+def test_odd_documents(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    segments.create(spark, out)
+    assert segments.statistics(spark, out).first() == (0.0, 1.0) and segments.frequencies(spark, out).count() == 0
+    row = segments.add(docs_of(spark, []), out, "none")
+    assert (row.documents, row.passages, row.postings) == (0, 0, 0)
+    found = [(1, None), (2, ""), (3, " \n\t\n"), (None, "lost"), (4, "same"), (4, "same"), (5, "x " * 50_000), (6, "a", None, None), (7, "b\n" * 3000)]
+    row = segments.add(docs_of(spark, found), out, "odd", budget=100)
+    assert row.documents == 7 and {r[0] for r in live_rows(spark, out)} == {4, 5, 6, 7}
+    assert segments.live(spark, out).passages.where("doc_id = 7").count() > 20
+    same_as_rebuilt(spark, out)
+    segments.add(docs_of(spark, [(7, None)]), out, "gone")
+    assert 7 not in {r[0] for r in live_rows(spark, out)}
+    same_as_rebuilt(spark, out)
+
+
+def test_search_over_segments_is_that_over_a_rebuild(spark, sf_dir, tmp_path):
+    out = f"{tmp_path}/out"
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 80")
+    segments.create(spark, out)
+    for n in range(3):
+        segments.add(table.where(f"doc_id % 3 = {n} or doc_id < 9"), out, f"s{n}")
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(5).selectExpr("item_id as qid", "text as question")
+    chunks, index, stats = segments.ranked_inputs(spark, out)
+    content = chunks.select("chunk_id", "content")
+    anew = indexing.chunk_terms(content)
+    got = search.lexical_search(chunks, index, stats, asked, 10)
+    want = search.lexical_search(chunks, anew, indexing.corpus_stats(content, anew), asked, 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+
+def test_study_reruns_and_gates(spark, sf_dir, tmp_path):
+    docs, asked, out = f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", f"{tmp_path}/out"
+    two = [{"name": "bm25"}, {"name": "counts", "ranking": "tf"}]
+    first = sorted(map(tuple, ranking_study.run(spark, docs, asked, out, two).collect()))
+    assert sorted(map(tuple, ranking_study.run(spark, docs, asked, out, two).collect())) == first
+    per = spark.read.parquet(f"{out}/questions")
+    assert {r.setting: r.n for r in per.groupBy("setting").agg(F.count("*").alias("n")).collect()}.keys() == {"bm25", "counts"}
+    scores = evaluation.scores(per.where("setting = 'counts'")).first().asDict()
+    summary = {(r.setting, r.metric): r for r in spark.read.parquet(f"{out}/summary").collect()}
+    for k, v in scores.items():
+        if k != "n_questions":
+            assert summary["counts", k].value == pytest.approx(v, abs=1e-6)
+            assert summary["counts", k].previous == summary["bm25", k].value and summary["bm25", k].passed
+            assert summary["counts", k].passed == (summary["counts", k].delta >= -0.03)
+    # Another run leaves the settings that it does not have.
+    alone = ranking_study.run(spark, docs, asked, out, [{"name": "flat", "b": 0.0}]).collect()
+    assert {r.setting for r in alone} == {"flat"}
+    assert {r.setting for r in spark.read.parquet(f"{out}/summary").collect()} == {"bm25", "counts", "flat"}
+
+
+def test_study_needs_names(spark, sf_dir, tmp_path):
+    with pytest.raises(ValueError, match="names"):
+        ranking_study.run(spark, "", "", "", [{"name": "a"}, {"name": "a"}])
+
+
+@pytest.mark.parametrize("job", [incremental_index, ranking_study])
+def test_command_lines(spark, job, monkeypatch):
+    name = job.__name__.rpartition(".")[2]
+    config = f"jobs/{name}.json"
+    given = {}
+
+    def work(session, **options):
+        """Takes what the command line gives."""
+        given.update(options)
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: given.update(stopped=True))
+    paths = {"incremental_index": ["documents", "out", "checkpoint"], "ranking_study": ["documents", "questions", "out"]}[name]
+    root = Path(__file__).parents[1]
+    shared.main(name, paths, work, ["--config", f"{root}/{config}", *[x for p in paths for x in (f"--{p}", f"/{p}")]])
+    with open(f"{root}/{config}") as f:
+        assert given == {**json.load(f), **{p: f"/{p}" for p in paths}, "stopped": True}
