@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.settings import Settings
 from lexspark.operators import loading
 from lexspark.operators.chunking import TOKEN_BUDGET
 from lexspark.operators.loading import HashingEncoder
@@ -23,6 +24,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("question", nargs="*")
     p.add_argument("--leg", choices=["hybrid", "lexical", "dense"], default="hybrid")
     p.add_argument("-k", type=int, default=10)
+    p.add_argument("--fusion", choices=["weighted", "rrf"], default="weighted")
+    p.add_argument("--ranking", choices=["bm25", "tf"], default="bm25")
+    p.add_argument("--include-repealed", action="store_true")
+    p.add_argument("--cells", type=int, help="build: cells of a vector index")
+    p.add_argument("--probes", type=int, default=0, help="search: cells to look at; 0 is the exact search")
     p.add_argument("--dim", type=int, default=64, help="width of the stand-in encoder")
     p.add_argument("--pages", help="build: Parquet of page texts (act, number, text)")
     p.add_argument("--load", metavar="VERSION", help="build: encode and write this version; without it only the report is made")
@@ -44,7 +50,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         chunks.groupBy("act").agg(F.count("*").alias("chunks"), F.count_if(F.col("part_index") > 0).alias("of_split_articles")).show(truncate=False)
         print(f"articles of future law left out: {future.count()}; budget {TOKEN_BUDGET} tokens")
         if a.load:
-            loading.load(spark, a.path, chunks, HashingEncoder(a.dim), a.load, a.previous).show()
+            loading.load(spark, a.path, chunks, HashingEncoder(a.dim), a.load, a.previous, cells=a.cells).show()
         else:
             print("dry run: --load VERSION encodes and writes")
         return
@@ -55,7 +61,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.verb == "ask":
         service.ask(spark, a.path, asked, HashingEncoder(a.dim)).show(truncate=False, vertical=True)
         return
-    found = service.find(spark, a.path, asked, HashingEncoder(a.dim), leg=a.leg, k=a.k).orderBy("rank")
+    settings = Settings(fusion=a.fusion, lexical_ranking=a.ranking, vector_probes=a.probes)
+    found = service.find(spark, a.path, asked, HashingEncoder(a.dim), settings, a.leg, a.k, include_repealed=a.include_repealed).orderBy("rank")
     shown = [c for c in ("lexical_rank", "dense_rank") if c in found.columns]
     found.select("rank", "score", *shown, "act", "article", "paragraph", F.substring("content", 1, 100).alias("content")).show(a.k, truncate=False)
 

@@ -14,6 +14,7 @@ class Settings:
     retrieval_top_k: int = 10
     bm25_candidates: int = 25
     vector_candidates: int = 25
+    vector_probes: int = 0
     lexical_ranking: str = "bm25"
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
@@ -31,4 +32,7 @@ class Settings:
 
     def retrieval_config_hash(self) -> str:
         """Digest of what can move a retrieval metric; the cost limit is not in it."""
-        return config_hash({k: v for k, v in vars(self).items() if k != "eval_max_cost_usd"})
+        known = {k: v for k, v in vars(self).items() if k != "eval_max_cost_usd"}
+        if not self.vector_probes:  # the exact leg, which all runs had before there were cells
+            del known["vector_probes"]
+        return config_hash(known)

@@ -73,13 +73,15 @@ def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, version: str, text: str = "content", analyser: Analyser = Analyser()) -> None:  # noqa: B008
-    """Writes chunk_terms sorted by lexeme (so that scans skip by min and max) and corpus_stats below
-    `path`/`version`."""
+    """Writes chunk_terms sorted by lexeme (so that scans skip by min and max), the document frequencies (lexeme, df)
+    and corpus_stats below `path`/`version`."""
     index = written(chunk_terms(chunks, text, analyser.stop, analyser.lemmas), "terms")  # dealing out by ranges reads it twice
     index.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "chunk_id").write.mode("overwrite").parquet(
         f"{path}/{version}/chunk_terms"
     )
     there = chunks.sparkSession.read.parquet(f"{path}/{version}/chunk_terms")
+    sums = there.groupBy("lexeme").agg(F.count("*").alias("df")).repartitionByRange("lexeme").sortWithinPartitions("lexeme")
+    sums.write.mode("overwrite").parquet(f"{path}/{version}/frequencies")
     corpus_stats(chunks, there).write.mode("overwrite").parquet(f"{path}/{version}/corpus_stats")
 
 
@@ -87,6 +89,11 @@ def read_index(spark, path: str, version: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/{version}/chunk_terms"), spark.read.parquet(f"{path}/{version}/corpus_stats")
 
 
+def read_frequencies(spark, path: str, version: str) -> DataFrame:
+    """(lexeme, df) of a written index."""
+    return spark.read.parquet(f"{path}/{version}/frequencies")
+
+
 def staleness(recorded: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
     """(recorded, actual, indexed, stale): stale if the recorded count is not the actual one or the
     index holds more chunks than there are."""

@@ -15,6 +15,7 @@ from lexspark.functions.shared import written
 from lexspark.operators.chunking import within_limit
 from lexspark.operators.indexing import POLISH, Analyser, write_index
 from lexspark.operators.validation import ValidationError, unpaired, wrong_width
+from lexspark.operators.vectors import write_vectors
 
 KEY = ["act", "article", "paragraph", "part_index"]
 
@@ -125,8 +126,10 @@ def load(
     previous: str | None = None,
     pruned: bool = True,
     analyser: Analyser = POLISH,
+    cells: int | None = None,
 ) -> DataFrame:
-    """Writes the next version of the table and its index below `path` and returns its statistics.
+    """Writes the next version of the table and its index below `path` and returns its statistics. With `cells` the
+    version has a vector index of so many cells, too.
 
     In order: the model's limit, encoding, the width of every vector and that there is one for each chunk, upsert
     into the previous version, pruning, index. Readers see a version only once `current` names it, which is last.
@@ -150,6 +153,8 @@ def load(
     done = spark.read.parquet(f"{path}/{version}/chunks")
     content = done.select(F.col("id").alias("chunk_id"), X.search_text(F.col("title_path"), F.col("content")).alias("content"))
     write_index(content, path, version, analyser=analyser)
+    if cells:
+        write_vectors(done.withColumnRenamed("id", "chunk_id"), f"{path}/{version}", cells)
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
     return load_stats(done)
 

@@ -35,14 +35,24 @@ def chunks(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFram
     return rows
 
 
-def index(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser = indexing.Analyser()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Index and statistics of the documents as they are now: written once a session, sorted by lexeme, and
+def _index(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser) -> str:
+    """Folder of the index of the documents as they are now: written once a session, sorted by lexeme, and
     read by every query; documents that have changed get another."""
     name = f"index-{fingerprint(spark, f'{sf_dir}/documents.parquet')}-{zlib.crc32(' '.join(analyser.stop).encode())}"
     path = f"{session_dir(spark)}/{name}"
     if not exists(spark, f"{path}/v1/corpus_stats/_SUCCESS"):
         indexing.write_index(chunks(spark, sf_dir).select("chunk_id", "content"), path, "v1", analyser=analyser)
-    return indexing.read_index(spark, path, "v1")
+    return path
+
+
+def index(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser = indexing.Analyser()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Index and statistics of the documents."""
+    return indexing.read_index(spark, _index(spark, sf_dir, analyser), "v1")
+
+
+def frequencies(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser = indexing.Analyser()) -> DataFrame:  # noqa: B008
+    """Document frequencies of that index."""
+    return indexing.read_frequencies(spark, _index(spark, sf_dir, analyser), "v1")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.functions.shared import exists, fingerprint, session_dir
 from lexspark.functions.sizes import bounded, text_bytes
-from lexspark.operators import chunking, evaluation, glyphs, indexing, loading, parsing, qa, search, validation
+from lexspark.operators import affixes, chunking, covers, evaluation, glyphs, indexing, loading, parsing, qa, search, validation, vectors
 from lexspark.plans import base
 from lexspark.plans.base import EVAL_SQL, LEGS_SQL, SQL, TRUTH_SQL, bm25_sql, fused_sql
 from lexspark.sources import files
@@ -75,7 +76,7 @@ def bm25_stop_words(spark, d):
 
 def _lexical(spark, d, **options):
     rows = base.chunks(spark, d)
-    return search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d), **options)
+    return search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d), frequencies=base.frequencies(spark, d), **options)
 
 
 _TOP = """ SELECT qid, chunk_id, score, rank FROM (
@@ -123,6 +124,31 @@ def dense_topk_batch(spark, d):
     return _dense(spark, d)
 
 
+def _cells(spark, d):
+    """The vector index of the embedded documents: as many cells as a cell has rows, of which a search looks at a fourth."""
+    folder = f"{session_dir(spark)}/vectors-{fingerprint(spark, f'{d}/embeddings.parquet')}-{fingerprint(spark, f'{d}/documents.parquet')}"
+    rows = base.chunks(spark, d, embedded=True)
+    cells = vectors.cells_for(rows.where("embedding is not null").count())
+    if not exists(spark, f"{folder}/vectors/_SUCCESS"):
+        vectors.write_vectors(rows, folder, cells)
+    return *vectors.read_vectors(spark, folder), max(1, cells // 4)
+
+
+@query()
+def dense_index_topk(spark, d):
+    held, means, probes = _cells(spark, d)
+    return vectors.approximate_search(held, means, base.vectors(spark, d), probes)
+
+
+@query(LEGS_SQL + " SELECT count(*) AS n, true AS recalled, true AS fewer_rows FROM den")
+def dense_index_recall(spark, d):
+    held, means, probes = _cells(spark, d)
+    asked = base.vectors(spark, d)
+    found = vectors.approximate_search(held, means, asked, probes)
+    share = vectors.rows_compared(held, means, asked, probes).select((F.col("compared") < 0.5 * F.col("all")).alias("fewer_rows"))
+    return search.recall_of(found, _dense(spark, d)).select("n", (F.col("recall") >= 0.9).alias("recalled")).crossJoin(F.broadcast(share))
+
+
 @query(LEGS_SQL + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged".join([fused_sql("rrf", 0.5)[len(LEGS_SQL) :], ""]))
 def fusion_rrf(spark, d):
     return search.merge(_lexical(spark, d), _dense(spark, d), 10, "rrf", 0.5)
@@ -136,7 +162,7 @@ def fusion_weighted(spark, d):
 @query(fused_sql("weighted", 0.8) + " SELECT qid, chunk_id, score, lexical_rank, dense_rank, rank FROM merged")
 def hybrid_topk(spark, d):
     rows = base.chunks(spark, d, embedded=True)
-    return search.search(rows, *base.index(spark, d), base.questions(spark, d), base.vectors(spark, d))
+    return search.search(rows, *base.index(spark, d), base.questions(spark, d), base.vectors(spark, d), frequencies=base.frequencies(spark, d))
 
 
 @query(fused_sql("weighted", 0.8) + " SELECT qid, rank, m.score, chunk_id, act, article, md5(content) AS content_md5, repealed FROM merged m JOIN chunks USING (chunk_id)")
@@ -155,13 +181,75 @@ def fuzzy_citation(spark, d):
     return indexing.fuzzy_lookup(base.chunks(spark, d), "151").select("chunk_id", "article")
 
 
+_SINGLE = SQL.replace("SELECT item_id AS qid, text AS question FROM benchmark", f"SELECT 0 AS qid, '{QUESTION}' AS question")
+
+
+@query(_SINGLE + r""", words AS (SELECT chunk_id, t, unnest(range(1, len(t) + 1)) AS place FROM (
+    SELECT chunk_id, regexp_extract_all(lower(content), '([\p{L}\p{N}]+)', 1) AS t FROM chunks)),
+held AS (SELECT chunk_id, t[place] AS lexeme, place, row_number() OVER (PARTITION BY chunk_id, t[place] ORDER BY place) AS nth FROM words),
+hits AS (SELECT qid, chunk_id, lexeme, place, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY place) AS n FROM held JOIN asked USING (lexeme) WHERE nth <= 256),
+wanted AS (SELECT DISTINCT qid, chunk_id, lexeme AS term FROM hits),
+seen AS (SELECT h.qid, h.chunk_id, h.n, h.place, max(CASE WHEN lexeme = term THEN h.n END) OVER (PARTITION BY h.qid, h.chunk_id, term ORDER BY h.n) AS latest
+  FROM hits h JOIN wanted USING (qid, chunk_id)),
+ends AS (SELECT qid, chunk_id, n, place, CASE WHEN count(latest) = count(*) THEN min(latest) END AS begun FROM seen GROUP BY ALL),
+covers AS (SELECT * FROM (SELECT *, lag(begun) OVER (PARTITION BY qid, chunk_id ORDER BY n) AS before FROM ends) WHERE begun IS NOT NULL AND begun IS DISTINCT FROM before),
+s AS (SELECT c.qid, c.chunk_id, round(sum(0.1::DOUBLE / (1 + c.place - h.place - (c.n - h.n))), 6) AS score
+  FROM covers c JOIN hits h ON h.qid = c.qid AND h.chunk_id = c.chunk_id AND h.n = c.begun GROUP BY ALL)""" + _TOP.format("s", "WHERE NOT repealed"))
+def cover_topk(spark, d):
+    rows = base.chunks(spark, d)
+    asked = spark.createDataFrame([(0, QUESTION)], "qid int, question string")
+    return covers.cover_search(rows, covers.positions(rows), asked)
+
+
+#: The rules of the query (kind, flag, crossed, strip, put, condition); a word has flag A if its length is even, B if it
+#: divides by 3, P if by 5.
+RULES = (
+    ("SFX", "A", True, "", "s", "[^sy]"),
+    ("SFX", "A", True, "y", "ies", "[^aeiou]y"),
+    ("SFX", "B", False, "e", "ing", "e"),
+    ("SFX", "B", False, "", "en", "[^e]"),
+    ("PFX", "P", True, "", "un", "[^u]"),
+    ("PFX", "P", True, "th", "", "."),
+)
+_VALUES = ", ".join(f"('{k}', '{f}', {str(c).lower()}, '{a}', '{p}', '{w}')" for k, f, c, a, p, w in RULES)
+_FORMS = f"""dictionary AS (SELECT DISTINCT lexeme AS word FROM tok WHERE regexp_matches(lexeme, '^[a-z]{{4,12}}$')),
+rules AS (SELECT * FROM (VALUES {_VALUES}) AS t(kind, flag, crossed, strip, put, condition)),
+flagged AS (SELECT word, flag FROM dictionary, (SELECT DISTINCT flag FROM rules) WHERE CASE flag WHEN 'A' THEN length(word) % 2 = 0 WHEN 'B' THEN length(word) % 3 = 0 ELSE length(word) % 5 = 0 END),
+ended AS (SELECT word, crossed, substr(word, 1, length(word) - length(strip)) || put AS form FROM flagged JOIN rules USING (flag)
+  WHERE kind = 'SFX' AND ends_with(word, strip) AND length(word) > length(strip) AND regexp_matches(word, condition || '$')),
+stems AS (SELECT word, word AS form FROM dictionary UNION SELECT word, form FROM ended WHERE crossed),
+begun AS (SELECT word, put || substr(form, length(strip) + 1) AS form FROM stems JOIN flagged USING (word) JOIN rules USING (flag)
+  WHERE kind = 'PFX' AND starts_with(form, strip) AND length(form) > length(strip) AND regexp_matches(form, '^' || condition)),
+forms AS (SELECT word AS token, word AS lemma FROM dictionary UNION SELECT form, word FROM ended UNION SELECT form, word FROM begun)"""
+
+
+def _forms(spark, d):
+    words = base.index(spark, d)[0].select(F.col("lexeme").alias("word")).distinct().where(F.rlike("word", F.lit("^[a-z]{4,12}$")))
+    size = F.length("word")
+    flags = F.array_compact(F.array(*[F.when(size % n == 0, F.lit(f)) for f, n in (("A", 2), ("B", 3), ("P", 5))]))
+    rules = spark.createDataFrame(list(RULES), "kind string, flag string, crossed boolean, strip string, put string, condition string")
+    return affixes.expand(words.withColumn("flags", flags), rules)
+
+
+@query(f"{SQL}, {_FORMS} SELECT token, lemma FROM forms")
+def affix_forms(spark, d):
+    return _forms(spark, d)
+
+
+@query(f"""{SQL}, {_FORMS}, lemmas AS (SELECT chunk_id, coalesce(lemma, lexeme) AS lexeme FROM tok LEFT JOIN forms ON token = lexeme),
+sums AS (SELECT chunk_id, lexeme, least(count(*), 256) AS tf FROM lemmas GROUP BY ALL)
+SELECT chunk_id, lexeme, tf, (sum(tf) OVER (PARTITION BY chunk_id))::BIGINT AS doc_len FROM sums""")
+def lemma_index(spark, d):
+    return indexing.chunk_terms(base.chunks(spark, d).select("chunk_id", "content"), lemmas=_forms(spark, d))
+
+
 # Evaluation
 
 
 def _pool(spark, d):
     """Both legs' candidates merged whole, then collapsed to articles."""
     rows = base.chunks(spark, d, embedded=True)
-    lex = search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d))
+    lex = search.lexical_search(rows, *base.index(spark, d), base.questions(spark, d), frequencies=base.frequencies(spark, d))
     ranked = search.merge(lex, search.dense_search(rows, base.vectors(spark, d)), 2 * search.CANDIDATES)
     return search.collapse_to_articles(ranked, rows)
 
@@ -263,6 +351,21 @@ def normalise_article(spark, d):
     return rows.select("doc_id", X.to_display(canonical).alias("display"), canonical.alias("canonical"), X.normalise_article(F.col("b")).alias("dashed"))
 
 
+#: Articles of a number, of a number raised by another, and with letters: 3, 3^11, 3^2b.
+_ARTICLE = "(doc_id % 50) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '^' || (doc_id % 12) || ['', 'a', 'b', 'c'][doc_id % 4 + 1] END"
+
+
+@query(f"""SELECT source, doc_id, article, row_number() OVER (PARTITION BY source ORDER BY doc_id % 50, doc_id % 3 <> 0, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 12 END,
+  CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 END, doc_id) AS place FROM (SELECT source, doc_id, {_ARTICLE} AS article FROM documents)""")
+def statutory_order(spark, d):
+    i = F.col("doc_id")
+    letter = F.element_at(F.array(*map(F.lit, ("", "a", "b", "c"))), (i % 4 + 1).cast("int"))
+    raised = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("^"), (i % 12).cast("string"), letter))
+    rows = table(spark, d, "documents").select("source", "doc_id", F.concat((i % 50).cast("string"), raised).alias("article"))
+    order = Window.partitionBy("source").orderBy(X.sort_key(F.col("article")), "doc_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 @query("""SELECT chunk_id, 'Art. ' || chunk_id || ' § 21' AS citation, md5(trim(source || ' ' || lang || ' ' || text)) AS search_md5,
   md5('passage: ' || source || ' > ' || lang || chr(10) || text) AS input_md5, floor(length(text) / 3.0)::BIGINT AS tokens FROM (SELECT doc_id AS chunk_id, * FROM documents)""")
 def chunk_texts(spark, d):
@@ -343,13 +446,17 @@ def greedy_pack(spark, d):
     return chunking.packed_rows(rows.withColumn("n", X.n_words(F.col("line"))), "doc_id", "at", "n", 60)
 
 
-def _document_chunks(spark, d):
+def _document_articles(spark, d):
     body = F.regexp_replace("text", r"\n", " § 3. ")
     rows = table(spark, d, "documents").select(
         F.col("source").alias("act"), F.col("doc_id").cast("string").alias("article"), F.concat(F.lit("Art. "), F.col("doc_id").cast("string")).alias("article_display"),
         F.array("lang").alias("title_path"), parsing.paragraphs(body).alias("paragraphs"), F.lit(1).alias("page_start"), F.lit(False).alias("repealed"), F.lit("").alias("repeal_kind"), "text",
     )
-    return chunking.chunks(rows)
+    return rows
+
+
+def _document_chunks(spark, d):
+    return chunking.chunks(_document_articles(spark, d))
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
@@ -368,7 +475,7 @@ l AS (SELECT p.doc_id, p.i, p.n, b.room FROM piece p JOIN big b USING (doc_id)),
 {_PACKED.format("g", "l", "doc_id", "l.doc_id", "l.doc_id = g.doc_id")},
 grp AS (SELECT g.doc_id, grp, count(*) AS n, min(t) AS only_t, string_agg(CASE WHEN marked THEN '§ 3. ' || t ELSE t END, ' ' ORDER BY g.i) AS joined, any_value(b.room) AS room
   FROM g JOIN piece USING (doc_id, i) JOIN big b USING (doc_id) GROUP BY g.doc_id, grp),
-long AS (SELECT doc_id, grp, room, string_split(regexp_replace(only_t, '([.;:])\s+', '' || chr(31), 'g'), chr(31)) AS ss FROM grp WHERE n = 1 AND {_WORDS.format("only_t")} > room),
+long AS (SELECT doc_id, grp, room, string_split(regexp_replace(only_t, '([.;:])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM grp WHERE n = 1 AND {_WORDS.format("only_t")} > room),
 s AS (SELECT doc_id, grp AS of, room, i, ss[i] AS t, {_WORDS.format("ss[i]")} AS n FROM long, unnest(range(1, len(ss) + 1)) AS r(i)),
 {_PACKED.format("sg", "s", "doc_id, of", "l.doc_id, l.of", "l.doc_id = g.doc_id AND l.of = g.of")},
 sentences AS (SELECT sg.doc_id, sg.of AS grp, sg.grp AS part, string_agg(t, ' ' ORDER BY sg.i) AS text FROM sg JOIN s USING (doc_id, of, i) GROUP BY ALL),
@@ -391,6 +498,12 @@ def chunk_documents(spark, d):
     return rows.select("act", "article", "paragraph", "part_index", "n_tokens", F.md5("content").alias("content_md5"))
 
 
+@query(_CHUNKS.replace("480 - CASE", "100 - CASE") + f" SELECT act, article, paragraph, part_index::INT AS part_index, {_WORDS.format('content')}::BIGINT AS n_tokens, md5(content) AS content_md5 FROM chunk")
+def chunk_sentences(spark, d):
+    rows = chunking.chunks(_document_articles(spark, d), budget=100)
+    return rows.select("act", "article", "paragraph", "part_index", "n_tokens", F.md5("content").alias("content_md5"))
+
+
 @query(_CHUNKS + f" SELECT act, article, part_index::INT AS part_index, {_WORDS.format('content')}::BIGINT AS n_tokens FROM chunk WHERE {_WORDS.format('content')} + 2 > 512")
 def chunks_over_limit(spark, d):
     return chunking.over_limit(_document_chunks(spark, d)).select("act", "article", "part_index", "n_tokens")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lexspark.functions.settings import Settings
 from lexspark.functions.shared import written
 from lexspark.operators import chunking, evaluation, indexing, loading, parsing, qa, search, validation
-from lexspark.operators.indexing import read_index
+from lexspark.operators.indexing import read_frequencies, read_index
 from lexspark.operators.models import Model
+from lexspark.operators.vectors import approximate_search, read_vectors
 from lexspark.sources import files
 from lexspark.sources.acquire import download
 
@@ -40,15 +41,22 @@ def _corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
     return chunks, *read_index(spark, path, version)
 
 
-def find(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid", k: int | None = None, analyser: indexing.Analyser = indexing.POLISH) -> DataFrame:  # noqa: B008
+def find(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid", k: int | None = None, analyser: indexing.Analyser = indexing.POLISH, include_repealed: bool = False) -> DataFrame:  # noqa: B008
     """Hits of each question (qid, question[, search_query]) with both ranks and what a result shows. The
-    analyser is the one that the table was loaded with."""
+    analyser is the one that the table was loaded with. With `vector_probes` in the settings the dense leg looks at so
+    many cells of the vector index, which the table then has to be loaded with; else it is exact."""
     chunks, index, stats = _corpus(spark, path)
+    version = loading.current_version(spark, path)
+    near = None
+    if settings.vector_probes:
+        cells = read_vectors(spark, f"{path}/{version}")
+        near = lambda given, limit: approximate_search(*cells, given, settings.vector_probes, limit, include_repealed)
     asked = questions.select("qid", F.coalesce("search_query", "question").alias("question")) if "search_query" in questions.columns else questions
     vectors = loading.encode_queries(asked, encoder).select("qid", "vector")
     ranked = search.search(
         chunks, index, stats, asked, vectors, leg, k or settings.retrieval_top_k,
         ranking=settings.lexical_ranking, k1=settings.bm25_k1, b=settings.bm25_b, fusion=settings.fusion, alpha=settings.hybrid_alpha, stop=analyser.stop, lemmas=analyser.lemmas,
+        near=near, include_repealed=include_repealed, frequencies=read_frequencies(spark, path, version),
     )
     return search.hits(ranked, chunks)
 
@@ -74,20 +82,20 @@ def ask_models(spark: SparkSession, path: str, questions: DataFrame, encoder: lo
     return answers, first.union(more)
 
 
-def responses(answers: DataFrame, usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(qid, response): what a caller gets, as JSON: the answer or the refusal's text, what it rests on, the
+def responses(answers: DataFrame, usage: DataFrame, prices: DataFrame, refusal: str = qa.REFUSAL, disclaimer: str = qa.DISCLAIMER) -> DataFrame:
+    """(qid, response): what a caller gets, as JSON: the answer or the text of `refusal`, what it rests on, the
     disclaimer and what it cost."""
     costs = evaluation.usage(usage, prices, ("qid", "model")).groupBy("qid").agg(F.sum("cost_usd").alias("cost_usd"))
     rows = answers.join(costs, "qid", "left")
     fields = [
-        F.when(F.col("refused"), qa.REFUSAL).otherwise(F.col("answer")).alias("answer"),
+        F.when(F.col("refused"), F.lit(refusal)).otherwise(F.col("answer")).alias("answer"),
         "citations",
         "refused",
         "refusal_reason",
         "search_query",
         "considered",
         F.size("grounded_in").alias("grounded_in"),
-        F.lit(qa.DISCLAIMER).alias("disclaimer"),
+        F.lit(disclaimer).alias("disclaimer"),
         F.round(F.coalesce("cost_usd", F.lit(0.0)), 6).alias("cost_usd"),
     ]
     return rows.select("qid", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("response"))

@@ -176,3 +176,13 @@ def test_dense_blocks_equal_plain_cosines(spark):
     for most in (1 << 20, 300):
         got = {(r.qid, r.chunk_id, None if r.score is None else round(r.score, 6), r["rank"]) for r in search.dense_search(chunks, frame, 25, most_bytes=most).collect()}
         assert got == want
+
+
+def test_stored_frequencies_give_the_same_scores(spark, corpus, tmp_path):
+    chunks, terms, stats = index(spark, corpus)
+    indexing.write_index(chunks, str(tmp_path), "v1")
+    held = indexing.read_frequencies(spark, str(tmp_path), "v1")
+    assert {r.lexeme: r.df for r in held.collect()} == {r.lexeme: r["count"] for r in terms.groupBy("lexeme").count().collect()}
+    asked = spark.createDataFrame([(1, "common rare"), (2, "words nowhere")], "qid int, question string")
+    plain = search.lexical_search(chunks, terms, stats, asked)
+    assert sorted(map(tuple, search.lexical_search(chunks, terms, stats, asked, frequencies=held).collect())) == sorted(map(tuple, plain.collect()))

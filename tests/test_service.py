@@ -183,3 +183,20 @@ def test_stop_words_and_lemmas_meet_in_index_and_question(spark, tmp_path):
     assert {(r.qid, r.article) for r in service.find(spark, path, asked, loading.HashingEncoder(8), leg="lexical", analyser=analyser).collect()} == {(1, "1")}
     with pytest.raises(ValidationError):
         indexing.Analyser((), lemmas.drop("lemma"))
+
+
+def test_cells_repeals_and_texts_of_the_caller(spark, tmp_path):
+    path, encoder = str(tmp_path), loading.HashingEncoder(16)
+    _, chunks, _ = service.build(spark.createDataFrame([("kp", 1, TEXT)], schemas.PAGE_TEXT), {"kp": (1, 5)})
+    loading.load(spark, path, chunks, encoder, "v1", cells=2)
+    asked = spark.createDataFrame([(1, "holiday pay for a year")], "qid int, question string")
+    few = service.find(spark, path, asked, encoder, Settings(vector_probes=2), "dense").orderBy("rank").collect()
+    assert few == service.find(spark, path, asked, encoder, leg="dense").orderBy("rank").collect() and len(few) == 2
+    every = service.find(spark, path, asked, encoder, leg="dense", include_repealed=True)
+    assert every.count() == 3 and every.where("repealed").count() == 1
+    assert Settings().retrieval_config_hash() != Settings(vector_probes=2).retrieval_config_hash()
+    found = service.ask(spark, path, spark.createDataFrame([(1, "zebra quagga")], "qid int, question string"), encoder)
+    none = spark.createDataFrame([], "qid int, model string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("m", 1.0, 1.0)], "model string, rate_in double, rate_out double")
+    said = json.loads(service.responses(found, none, prices, "no law", "no advice").first().response)
+    assert said["answer"] == "no law" and said["disclaimer"] == "no advice"
