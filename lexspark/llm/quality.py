@@ -114,6 +114,6 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", max_rate: flo
     """
     checked = written(measures(df.drop("kept"), text), "measures")
     verdicts = written(host_verdicts(checked, host, max_rate=max_rate), "verdicts")
-    side = small(verdicts.select(F.col("host").alias("__host"), "host_failed"), 128)
+    side = small(verdicts.select(F.col("host").alias("__host"), F.col("host_failed").alias("__failed")), 128)
     both = checked.join(side, checked[host].eqNullSafe(F.col("__host")), "left")
-    return both.select(*checked.columns, (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+    return both.select(*checked.columns, (~F.col("base_failed") & ~F.coalesce("__failed", F.lit(False))).alias("kept"))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lexspark.llm import quality as Q
 
 
@@ -61,3 +63,9 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string")
     plan = Q.measures(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_column_of_a_verdicts_name_stays(spark, docs):
+    df = docs([(1, "a b c"), (2, " ".join(f"w{i}" for i in range(20)))]).withColumn("host_failed", F.lit("mine")).withColumn("host", F.lit(1))
+    got = {r.doc_id: (r.host_failed, r.host, r.base_failed) for r in Q.judge(df).collect()}
+    assert got == {1: ("mine", 1, True), 2: ("mine", 1, False)}
