@@ -7,6 +7,7 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +50,29 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
+#: Sessions whose folder goes when the process ends.
+_LEAVES: set[str] = set()
+
+
+def _leave(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended before
+        with suppress(Exception):  # the process ends; there is nobody left to tell
+            place, fs = _place(spark, session_dir(spark))
+            fs.delete(place, True)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The session's folder, which is deleted when the process ends."""
+    if spark.sparkContext.applicationId not in _LEAVES:
+        _LEAVES.add(spark.sparkContext.applicationId)
+        atexit.register(_leave, spark)
+    return session_dir(spark)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once to the shared folder and read again, for what is used several times or must not
+    """`df`, written once to the session's folder and read again, for what is used several times or must not
     be computed twice."""
     spark = df.sparkSession
-    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.functions.shared import written
+from lexspark.functions.shared import exists, written
 from lexspark.operators.chunking import within_limit
 from lexspark.operators.indexing import POLISH, Analyser, write_index
-from lexspark.operators.validation import ValidationError, unpaired, wrong_width
+from lexspark.operators.validation import ValidationError, require_constraints, unpaired, wrong_width
 from lexspark.operators.vectors import write_vectors
 
 KEY = ["act", "article", "paragraph", "part_index"]
+_NAMED = "seq long, version string"
 
 
 class Encoder(Protocol):
@@ -132,7 +133,8 @@ def load(
     version has a vector index of so many cells, too.
 
     In order: the model's limit, encoding, the width of every vector and that there is one for each chunk, upsert
-    into the previous version, pruning, index. Readers see a version only once `current` names it, which is last.
+    into the previous version, pruning, the table's constraints, index. Readers see a version only once `current` names it last, which is
+    done at the end.
     An empty load changes nothing.
     """
     if not chunks.limit(1).count():
@@ -151,13 +153,28 @@ def load(
         table = _numbered(rows.withColumn("id", F.lit(None).cast("long")), KEY, start, "id").select("id", *rows.columns)
     table.write.mode("overwrite").parquet(f"{path}/{version}/chunks")
     done = spark.read.parquet(f"{path}/{version}/chunks")
+    require_constraints(done, KEY)
     content = done.select(F.col("id").alias("chunk_id"), X.search_text(F.col("title_path"), F.col("content")).alias("content"))
     write_index(content, path, version, analyser=analyser)
     if cells:
         write_vectors(done.withColumnRenamed("id", "chunk_id"), f"{path}/{version}", cells)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    seq = 1 + max((r.seq for r in _named(spark, path)), default=0)
+    spark.createDataFrame([(seq, version)], _NAMED).coalesce(1).write.mode("append").json(f"{path}/current")
     return load_stats(done)
 
 
+def _named(spark: SparkSession, path: str) -> list:
+    """(seq, version) of every load in order: one row a load. The list only grows, so a reader finds the version
+    before or the new one at any time."""
+    if not exists(spark, f"{path}/current"):
+        return []
+    return sorted(spark.read.schema(_NAMED).json(f"{path}/current").na.fill(0, ["seq"]).collect())
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions in the order in which they were loaded; none of a path without a table."""
+    return [r.version for r in _named(spark, path)]
+
+
 def current_version(spark: SparkSession, path: str) -> str:
-    return spark.read.schema("version string").json(f"{path}/current").first().version
+    return versions(spark, path)[-1]

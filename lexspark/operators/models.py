@@ -8,8 +8,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexspark.functions.shared import written
 
 REPLY = "parsed string, model string, input_tokens long, output_tokens long"
 
@@ -53,6 +56,48 @@ def called(rows: DataFrame, prompt: Column, model: Model, system: str, kind: str
     return made.withColumn(to, F.struct(F.when(whole, parsed).alias("parsed"), *(F.col(f"{to}.{c}").alias(c) for c in ("model", "input_tokens", "output_tokens"))))
 
 
+def resumed(
+    rows: DataFrame, prompt: Column, model: Model, system: str, kind: str, to: str, store: str, slices: int = 16, attempts: int = 3, batch: int = 16
+) -> DataFrame:
+    """Like `called`, with replies kept below `store` by the digest of what was asked, so that nothing is asked twice: neither
+    a prompt that several rows have, nor one of a run before, nor, after a failure, what had been written until then.
+
+    What is missing is asked in `slices` by digest, each written when it is done, so a failure costs one slice at most. A reply
+    without the fields that `kind` asks for is asked again, up to `attempts` times in all, and then kept as null. Its tokens
+    count each time; `usage_of` sums them. Rows come back with `to` of `called`, tokens of the kept attempt.
+    """
+    spark, asked = rows.sparkSession, F.sha2(F.concat_ws("\u0001", F.lit(system), F.lit(kind), prompt), 256)
+    keyed = rows.withColumn("__asked", asked)
+    fields = T.StructType.fromDDL(f"asked string, attempt int, prompt string, call struct<parsed struct<{_fields(kind)}>, model string, input_tokens long, output_tokens long>")
+    spark.createDataFrame([], fields).write.mode("append").parquet(store)  # the folder, if it is new
+    held = spark.read.schema(fields).parquet(store)
+    for attempt in range(1, attempts + 1):
+        done = held.groupBy("asked").agg(F.max("attempt").alias("n"), F.bool_or(F.col("call.parsed").isNotNull()).alias("good"))
+        left = keyed.select(F.col("__asked").alias("asked"), prompt.alias("prompt")).dropDuplicates(["asked"])
+        left = left.join(done.where(F.col("good") | (F.col("n") >= attempt)), "asked", "left_anti")
+        if not left.limit(1).count():
+            continue
+        left = written(left, "prompts")
+        for i in range(slices):
+            some = left.where(F.pmod(F.xxhash64("asked"), F.lit(slices)) == i)
+            made = called(some, F.col("prompt"), model, system, kind, "call", batch).select("asked", F.lit(attempt).alias("attempt"), "prompt", "call")
+            made.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("append").parquet(store)
+        held = spark.read.schema(fields).parquet(store)
+    best = held.groupBy("asked").agg(F.max_by("call", F.struct(F.col("call.parsed").isNotNull(), -F.col("attempt"))).alias(to))
+    return keyed.join(best, F.col("__asked") == F.col("asked"), "left").drop("__asked", "asked")
+
+
+def _fields(kind: str) -> str:
+    """`name type, ...` as fields of a struct type."""
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(kind))
+
+
+def usage_of(spark: SparkSession, store: str) -> DataFrame:
+    """(model, calls, input_tokens, output_tokens) of all that was ever asked below `store`."""
+    call = spark.read.parquet(store).select("call.*").groupBy("model")
+    return call.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
 def usage_rows(rows: DataFrame, call: str) -> DataFrame:
     """(qid, model, input_tokens, output_tokens) of the calls in column `call`."""
     return rows.select("qid", f"{call}.model", f"{call}.input_tokens", f"{call}.output_tokens")

@@ -184,6 +184,24 @@ def run_problems(runs: DataFrame) -> DataFrame:
     return runs.select(F.col("context.timestamp").alias("run"), F.explode(found).alias("problem"))
 
 
+def table_problems(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(problem, n): constraints that rows of a chunk table break: a null where the table declares none, an index or a count
+    below 0, a key that several rows have."""
+    bare = {f"{c} is null": F.col(c).isNull() for c in (*key, "content", "repealed") if c in chunks.columns}
+    least = {f"{c} below 0": F.col(c) < 0 for c in ("part_index", "n_tokens") if c in chunks.columns}
+    checks = bare | least
+    sums = chunks.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()])
+    found = sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("problem"), F.col(f"`{name}`").alias("n")) for name in checks])))
+    twice = duplicate_ids(chunks, *key).agg(F.count("*").alias("n")).select(F.lit("key of several rows").alias("problem"), "n")
+    return found.union(twice).where("n > 0")
+
+
+def require_constraints(chunks: DataFrame, key: list[str]) -> None:
+    """An error that names every constraint which the table breaks."""
+    if found := table_problems(chunks, key).collect():  # one row a constraint
+        raise ValidationError("; ".join(f"{r.problem}: {r.n}" for r in found))
+
+
 def known_articles(chunks: DataFrame, act: str | None = None) -> DataFrame:
     rows = chunks if act is None else chunks.where(F.col("act") == act)
     return rows.select("act", "article", "repealed").distinct()

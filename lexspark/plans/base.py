@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.functions.shared import exists, fingerprint, session_dir
+from lexspark.functions.shared import exists, fingerprint, own_dir
 from lexspark.operators import containment, indexing
 from lexspark.sources.files import table
 
@@ -39,7 +39,7 @@ def _index(spark: SparkSession, sf_dir: str, analyser: indexing.Analyser) -> str
     """Folder of the index of the documents as they are now: written once a session, sorted by lexeme, and
     read by every query; documents that have changed get another."""
     name = f"index-{fingerprint(spark, f'{sf_dir}/documents.parquet')}-{zlib.crc32(' '.join(analyser.stop).encode())}"
-    path = f"{session_dir(spark)}/{name}"
+    path = f"{own_dir(spark)}/{name}"
     if not exists(spark, f"{path}/v1/corpus_stats/_SUCCESS"):
         indexing.write_index(chunks(spark, sf_dir).select("chunk_id", "content"), path, "v1", analyser=analyser)
     return path

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.functions.shared import exists, fingerprint, session_dir
+from lexspark.functions.shared import exists, fingerprint, own_dir
 from lexspark.functions.sizes import bounded, text_bytes
-from lexspark.operators import affixes, chunking, covers, evaluation, glyphs, indexing, loading, parsing, qa, search, validation, vectors
+from lexspark.operators import affixes, chunking, covers, evaluation, glyphs, indexing, loading, parsing, qa, search, trigrams, validation, vectors
 from lexspark.plans import base
 from lexspark.plans.base import EVAL_SQL, LEGS_SQL, SQL, TRUTH_SQL, bm25_sql, fused_sql
 from lexspark.sources import files
@@ -127,7 +127,7 @@ def dense_topk_batch(spark, d):
 def _cells(spark, d):
     """The vector index of the embedded documents, of which a search looks at two cells in three: these vectors have
     hardly any clusters, and their neighbours are in many cells."""
-    folder = f"{session_dir(spark)}/vectors-{fingerprint(spark, f'{d}/embeddings.parquet')}-{fingerprint(spark, f'{d}/documents.parquet')}"
+    folder = f"{own_dir(spark)}/vectors-{fingerprint(spark, f'{d}/embeddings.parquet')}-{fingerprint(spark, f'{d}/documents.parquet')}"
     rows = base.chunks(spark, d, embedded=True)
     cells = vectors.cells_for(rows.where("embedding is not null").count())
     if not exists(spark, f"{folder}/vectors/_SUCCESS"):
@@ -182,6 +182,12 @@ def fuzzy_citation(spark, d):
     return indexing.fuzzy_lookup(base.chunks(spark, d), "151").select("chunk_id", "article")
 
 
+@query(SQL + """ SELECT qid, chunk_id, article FROM (SELECT item_id AS qid, (7 * item_id % 1000) || '5' AS spelt FROM benchmark) JOIN chunks ON levenshtein(article, spelt) <= 1""")
+def fuzzy_citation_batch(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat((7 * F.col("item_id") % 1000).cast("string"), F.lit("5")).alias("article"))
+    return trigrams.fuzzy_lookup_batch(base.chunks(spark, d), asked)
+
+
 _SINGLE = SQL.replace("SELECT item_id AS qid, text AS question FROM benchmark", f"SELECT 0 AS qid, '{QUESTION}' AS question")
 
 

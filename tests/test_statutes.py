@@ -255,3 +255,40 @@ def test_audit_tables_and_markers():
     for broken in ("<!-- METRICS:LAYER1:END --><!-- METRICS:LAYER1:START -->", "<!-- METRICS:LAYER1:START -->"):
         with pytest.raises(ValueError):
             render.splice(broken, "LAYER1", "b")
+
+
+def test_streams_over_one_table(spark, tmp_path):
+    from lexspark.streaming.incremental import incremental_load
+
+    source, path, encoder = str(tmp_path / "in"), str(tmp_path / "out"), loading.HashingEncoder(8)
+    run = lambda mark: incremental_load(spark, source, path, encoder, str(tmp_path / mark)).awaitTermination(120)
+    live = lambda: {(r.article, r.content) for r in spark.read.parquet(f"{path}/{loading.current_version(spark, path)}/chunks").collect()}
+    loading.load(spark, path, chunk_rows(spark, [("kp", "9", 0, "old")]), encoder, "v1")
+    chunk_rows(spark, [("kp", "1", 0, "a")]).write.json(source)
+    run("one")
+    assert live() == {("9", "old"), ("1", "a")} and len(loading.versions(spark, path)) == 2
+    chunk_rows(spark, []).write.mode("append").json(source)
+    run("one")
+    assert live() == {("9", "old"), ("1", "a")}
+    run("two")  # a new checkpoint takes all files again, on top of what there is
+    assert live() == {("9", "old"), ("1", "a")} and loading.versions(spark, path)[0] == "v1"
+    # A load that is stopped before its end leaves readers at the version before.
+    last = loading.current_version(spark, path)
+    with pytest.raises(ValueError):
+        loading.load(spark, path, chunk_rows(spark, [("kp", "1", 0, "word " * 600)]), encoder, "bad", last)
+    assert loading.current_version(spark, path) == last
+
+
+def test_broken_constraints_stop_a_load(spark, tmp_path):
+    path, encoder = str(tmp_path), loading.HashingEncoder(8)
+    loading.load(spark, path, chunk_rows(spark, [("kp", "1", 0, "a")]), encoder, "v1")
+    for rows, said in (
+        ([("kp", "1", 0, "b"), ("kp", "1", 0, "c")], "key of several rows: 1"),
+        ([("kp", "1", -1, "b")], "part_index below 0: 1"),
+    ):
+        with pytest.raises(validation.ValidationError, match=said):
+            loading.load(spark, path, chunk_rows(spark, rows), encoder, "v2", "v1")
+        assert loading.current_version(spark, path) == "v1"
+    assert validation.table_problems(spark.read.parquet(f"{path}/v1/chunks"), loading.KEY).count() == 0
+    broken = chunk_rows(spark, [("kp", None, 0, "b"), (None, "1", 0, None)])
+    assert {(r.problem, r.n) for r in validation.table_problems(broken, loading.KEY).collect()} == {("article is null", 1), ("act is null", 1), ("content is null", 1)}
