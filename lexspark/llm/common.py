@@ -183,6 +183,23 @@ def skew_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> D
     return here.union(many.join(hot, on, "left_anti").join(one, on, how).select(*here.columns))
 
 
+def salts_of(many: DataFrame, on: str) -> DataFrame | None:
+    """(on, salts), written: the hot values of `on` in `many` and into how many fair parts each goes, under
+    2 * HOT_SHARE parts in all; None if no value is hot. For joins in a loop, which count once."""
+    least = max(many.count() // HOT_SHARE, HOT_LEAST)
+    hot = many.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = written(hot.select(on, F.ceil(F.col("n") / least).cast("int").alias("salts")), "hot")
+    return hot if hot.limit(1).count() else None
+
+
+def side_join(many: DataFrame, one: DataFrame, on: str, row_bytes: int | Column) -> DataFrame:
+    """`many` left-joined with `one`, which has at most one row a value of `on`: by broadcast if the bytes of its
+    rows, summed, fit BROADCAST_BYTES, else by shuffle, apart from hot values (`skew_join`). `many` is
+    read several times then."""
+    side = small(one, row_bytes, BROADCAST_BYTES)
+    return many.join(side, on, "left") if side is not one else skew_join(many, one, on, "left")
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(k, low, id), written: of `keys` (id, k; ids are hashes) the ids of each key that several have, but for
     the least one, low.

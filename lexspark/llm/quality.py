@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import WORD, small, words, written
+from lexspark.llm.common import WORD, side_join, words, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -109,11 +109,16 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", max_rate: flo
     """`measures(df)` with kept: false if the document fails the base rules or its host fails.
 
     The measures are written once (no text in them); what is joined is one row a host, broadcast if
-    its counted size is small. Every row of `df` comes back, repeated ones too; an empty table gives
-    an empty one.
+    its counted size is small; beyond that hosts are shuffled, but for hot ones, which meet their
+    documents by broadcast. Every row of `df` comes back, repeated ones too; an empty table gives an
+    empty one.
     """
     checked = written(measures(df.drop("kept"), text), "measures")
     verdicts = written(host_verdicts(checked, host, max_rate=max_rate), "verdicts")
-    side = small(verdicts.select(F.col("host").alias("__host"), F.col("host_failed").alias("__failed")), 128)
-    both = checked.join(side, checked[host].eqNullSafe(F.col("__host")), "left")
+
+    def key(column: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")).alias("__host")
+
+    side = verdicts.select(key("host"), F.col("host_failed").alias("__failed"))
+    both = side_join(checked.select("*", key(host)), side, "__host", F.octet_length("__host") + 96)
     return both.select(*checked.columns, (~F.col("base_failed") & ~F.coalesce("__failed", F.lit(False))).alias("kept"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import drop, small, written
+from lexspark.llm.common import drop, salts_of, side_join, skew_join, written
 
 #: The rules of the query, as verdict and rule.
 RULES = (
@@ -24,8 +24,12 @@ RULES = (
 )
 HREF = r"""(?i)<a\s[^<>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING, TOLERANCE = 0.85, 1e-6
-#: Rounds after which values that still move are an error: links in a row, and some 85 more to settle.
-MOST_ROUNDS = 1000
+#: Rounds beyond one a host after which values that still move are an error. A host is reached within as
+#: many rounds as there are hosts; then what comes later shrinks by DAMPING a round, so that it is below
+#: TOLERANCE of the smallest double within some 4,450 more: no graph gets here.
+MOST_ROUNDS = 5000
+#: Rounds that are one job; their result is written.
+STEPS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,10 +75,11 @@ def propagate(
 ) -> DataFrame:
     """(host, trust, distrust) for all hosts of `seeds` (host, good, bad) and `edges` (src, dst, n).
 
-    Each round is a join of ranks and edges and a sum by host, of both vectors at once, written to the
-    shared folder; it ends when no value of any host moves by more than `tolerance` of itself, so
-    never while a host is newly reached, and whatever the other seeds are. Values that still move after
-    MOST_ROUNDS are an error; `rounds`, if given, ends it early instead.
+    Each round is a join of ranks and edges and a sum by host, of both vectors at once; STEPS of them
+    are one job, whose result is written to the shared folder. It ends when no value of any host moves by
+    more than `tolerance` of itself, so never while a host is newly reached, and whatever the other seeds
+    are, however many links stand in a row; `rounds`, if given, ends it early instead. Links of a host
+    that has many are spread over tasks, and its ranks are sent to each.
 
     Hosts that link to nobody pass nothing on. With `returned`, what they hold goes back to the seeds, by
     their shares: at the fixed point that is the same vector, scaled to the sum of its seeds.
@@ -90,33 +95,53 @@ def propagate(
 
 def _propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
     edges = written(edges, "edges")
-    out = edges.groupBy("src").agg(F.sum("n").alias("from_src"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("into_dst"))
-    edges = edges.join(out, "src").join(into, "dst")
-    moves = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("from_src")).alias("wt"), F.lit(0.0).alias("wd"))
-    back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("into_dst")).alias("wd"))
-    moves = written(moves.union(back), "moves")
-    none = F.lit(0.0)
-    every = seeds.select("host", "good", "bad").union(moves.select("host", none, none)).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    own = [((1 - damping) * F.col(seed)).alias(rank) for seed, rank in (("good", "trust"), ("bad", "distrust"))]
-    ranks = written(every.select("host", "good", "bad", *own), "ranks")
+    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
+    into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    none, weight = F.lit(0.0), F.col("n") / F.col("all")
+    along = skew_join(edges, out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), weight.alias("wt"), none.alias("wd"))
+    against = skew_join(edges, into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), none.alias("wt"), weight.alias("wd"))
+    moves = written(along.union(against), "moves")
+    every = seeds.select("host", "good", "bad").union(moves.select("host", none, none)).groupBy("host")
+    own = [((1 - damping) * F.sum(seed)).alias(rank) for seed, rank in (("good", "trust"), ("bad", "distrust"))]
+    own = written(every.agg(*own), "own")
     if not moves.limit(1).count():
-        return ranks.select("host", "trust", "distrust")
-    for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        flow = moves.join(ranks, "host").groupBy(F.col("to").alias("host"))
-        flow = flow.agg(F.sum(F.col("trust") * F.col("wt")).alias("t"), F.sum(F.col("distrust") * F.col("wd")).alias("d"))
-        trust = (1 - damping) * F.col("good") + damping * F.coalesce("t", none)
-        distrust = (1 - damping) * F.col("bad") + damping * F.coalesce("d", none)
-        moved = (F.abs(trust - F.col("trust")) > tolerance * trust) | (F.abs(distrust - F.col("distrust")) > tolerance * distrust)
-        new = ranks.join(flow, "host", "left")
-        new = written(new.select("host", "good", "bad", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")), "ranks")
-        drop(ranks)
-        ranks = new
+        return own
+    hot = salts_of(moves, "host")
+    if hot is not None:
+        part = F.pmod(F.xxhash64("to"), F.coalesce("salts", F.lit(1))).cast("int")
+        moves = written(moves.join(F.broadcast(hot), "host", "left").select("host", "to", "wt", "wd", part.alias("part")), "moves")
+
+    def step(ranks: DataFrame) -> DataFrame:
+        """One round: what comes over links and from the seeds, summed by host."""
+        on = ["host"]
+        if hot is not None:
+            on = ["host", "part"]
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("part")
+            ranks = ranks.join(F.broadcast(hot), "host", "left").select("host", "trust", "distrust", parts)
+        flow = moves.join(ranks, on).groupBy(F.col("to").alias("host"))
+        flow = flow.agg((damping * F.sum(F.col("trust") * F.col("wt"))).alias("trust"), (damping * F.sum(F.col("distrust") * F.col("wd"))).alias("distrust"))
+        return own.union(flow).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+
+    ranks, done, most = own, 0, rounds
+    if rounds is None:
+        most = own.count() + MOST_ROUNDS
+    while done < most:
+        steps = min(STEPS, most - done)
+        new = ranks
+        for _ in range(steps - 1):
+            new = step(new)
+        before = new.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        new = step(new).join(before, "host", "left")
+        moved = (F.abs(F.col("trust") - F.col("t")) > tolerance * F.col("trust")) | (F.abs(F.col("distrust") - F.col("d")) > tolerance * F.col("distrust"))
+        new = written(new.select("host", "trust", "distrust", moved.alias("moved")), "ranks")
+        if done:
+            drop(ranks)
+        ranks, done = new, done + steps
         if not new.where("moved").limit(1).count():
             break
     else:
         if rounds is None:
-            raise RuntimeError(f"trust and distrust did not settle within {MOST_ROUNDS} rounds")
+            raise RuntimeError(f"trust and distrust did not settle within {most} rounds")
     return ranks.select("host", "trust", "distrust")
 
 
@@ -133,7 +158,8 @@ def judge(
     verdict is the rule's; without a rule it is `block` if the host's distrust is more than
     `max_distrust` of its trust and distrust, else `allow`, also for pages without a host and for
     hosts that nothing is known of. Seeds are the numbers of a host's pages that rules allow or block.
-    Null urls and htmls, repeated pages and empty tables are fine.
+    Null urls and htmls, repeated pages and empty tables are fine. Beyond a broadcast's bytes pages meet
+    their hosts in a shuffle, but for hot hosts, so that no host crowds one task.
     """
     host, path = host_and_path(F.col(url))
     rest = pages.drop("host", "path", "rule", "verdict", "trust", "distrust")
@@ -144,10 +170,10 @@ def judge(
     )
     linked = host_edges(rest.select(host.alias("host"), F.col(html).alias("html")))
     ranks = written(propagate(seeds, linked, returned=True), "hosts")
-    ranks = small(ranks.select(F.col("host").alias("__host"), "trust", "distrust"), F.octet_length("__host") + 96)
+    ranks = ranks.select(F.col("host").alias("__host"), "trust", "distrust")
     bad = F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust"))
     by_rule = F.when(F.col("__rule.block"), "block").when(~F.col("__rule.block"), "allow")
-    both = light.join(ranks, light["host"] == F.col("__host"), "left").drop("__host")
+    both = side_join(light.withColumn("__host", F.col("host")), ranks, "__host", F.octet_length("__host") + 96).drop("__host")
     return both.withColumns(
         {
             "rule": F.col("__rule.rule"),

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexspark.llm import common as C
 from lexspark.llm import quality as Q
 
 
@@ -69,3 +70,13 @@ def test_a_column_of_a_verdicts_name_stays(spark, docs):
     df = docs([(1, "a b c"), (2, " ".join(f"w{i}" for i in range(20)))]).withColumn("host_failed", F.lit("mine")).withColumn("host", F.lit(1))
     got = {r.doc_id: (r.host_failed, r.host, r.base_failed) for r in Q.judge(df).collect()}
     assert got == {1: ("mine", 1, True), 2: ("mine", 1, False)}
+
+
+def test_hot_hosts_beyond_the_broadcast(spark, monkeypatch):
+    good, bad = "one two three four five six seven eight nine ten eleven", "short"
+    rows = [(i, [None, "bad", "a", "bad", "b", ""][i % 6], bad if i % 6 in (1, 3) or i % 11 == 0 else good) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(repr, Q.judge(df).collect()))
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(C, "HOT_LEAST", 20)
+    assert sorted(map(repr, Q.judge(df).collect())) == want and len(want) == 300

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.llm import common as C
 from lexspark.llm import urls as U
 
 CASES = [
@@ -99,3 +100,28 @@ def test_what_hosts_without_links_hold_goes_back_to_the_seeds(spark):
     seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in hosts], "host string, good double, bad double")
     got = {r.host: (r.trust, r.distrust) for r in U.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, n double"), tolerance=1e-12, returned=True).collect()}
     assert got == {h: (pytest.approx(want[0][h]), pytest.approx(want[1][h])) for h in hosts}
+
+
+def test_hubs_are_spread_and_chains_have_no_end(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_LEAST", 4)
+    monkeypatch.setattr(C, "HOT_SHARE", 20)
+    edges = [*(("hub", f"s{i}", 1.0 + i % 3) for i in range(40)), *((f"s{i}", "hub", 2.0) for i in range(40)), ("s1", "s2", 1.0), ("a", "hub", 1.0)]
+    good, bad = {"a": 5.0, "s3": 1.0}, {"s2": 2.0, "hub": 1.0}
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in set(good) | set(bad)], "host string, good double, bad double")
+    links = spark.createDataFrame(edges, "src string, dst string, n double")
+    found = {r.host: (r.trust, r.distrust) for r in U.propagate(seeds, links).collect()}
+    assert found == ranks(good, bad, edges, 200)
+    monkeypatch.setattr(U, "MOST_ROUNDS", 60)
+    names = [f"h{i}" for i in range(70)]  # a row of more links than the rounds beyond one a host
+    links = spark.createDataFrame(list(zip(names, names[1:], [1.0] * 69, strict=False)), "src string, dst string, n double")
+    got = {r.host: r.trust for r in U.propagate(spark.createDataFrame([("h0", 1.0, 0.0)], "host string, good double, bad double"), links).collect()}
+    assert got["h69"] == pytest.approx(0.15 * 0.85**69)
+
+
+def test_pages_of_a_hot_host_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3 if i % 2 else 0}.{'org' if i % 5 else 'com'}/{'de/' if i % 7 else ''}{i}", None) for i in range(120)] + [(500, None, None), (501, "no scheme", "")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    want = sorted(map(repr, U.judge(df).collect()))
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(C, "HOT_LEAST", 10)
+    assert sorted(map(repr, U.judge(df).collect())) == want
