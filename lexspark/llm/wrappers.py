@@ -49,9 +49,10 @@ TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg select title math object".split())
+_RAW = frozenset("script style noscript template textarea iframe svg select title".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var"
+    " math semantics annotation mrow mi mn mo mtext mspace ms mfrac msqrt mroot mstyle mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mtable mtr mtd".split()
 )
 _SPACE = frozenset("br wbr img hr".split())
 _CLOSES_P = frozenset(
@@ -67,6 +68,11 @@ _BOILER = re.compile(
     r"|notice|popup|modal|newsletter|subscribe|comments?|comment-list|disqus|replies|respond|share|sharing|social|related|promo|promotion|sponsored|sponsor"
     r"|pagination|pager|toolbar|widget|skip|login|signup|search|contentinfo|complementary|hidden)(?:[ _-]|$)"
 )
+#: Last words of a compound that say what kind of box it is, not what is in it: `share-buttons` are about sharing.
+_BOXES = frozenset(
+    "area articles bar block body box button buttons column container content entry feed footer form group header holder icons inner item items"
+    " label links list module panel posts region row section slot stories strip text thread title top unit wrap wrapper".split()
+)
 
 
 def tree(html: str | None) -> list:
@@ -254,11 +260,23 @@ def general(items: list) -> list:
 
 def is_boiler(label: str, in_main: bool, holds_main: bool = False) -> bool:
     """Whether an element is a menu, notice or the like, by its tag or the words of its class, id or role.
-    Words do not count against what holds the main element, such as a `page with-sidebar`."""
+    Words do not count against what holds the main element, such as a `page with-sidebar`. In a main element a
+    compound counts by what it names, so that `inline-ad` and `comment-list` go, and `related-work` and
+    `comment-policy` stay."""
     name, _, rest = label.partition(" ")
     if name in _BOILER_TAGS or name == "header" and not in_main:
         return True
-    return bool(rest and not holds_main and _BOILER.search(rest))
+    if not rest or holds_main or not _BOILER.search(rest):
+        return False
+    return not in_main or any(map(_names_boiler, rest.split()))
+
+
+def _names_boiler(word: str) -> bool:
+    """Whether the last part of a compound, but for numbers and boxes, is one of a menu's, notice's or the like."""
+    parts = re.split(r"[-_]+", word)
+    while len(parts) > 1 and (parts[-1] in _BOXES or not parts[-1].strip("0")):
+        parts.pop()
+    return bool(_BOILER.search(parts[-1]))
 
 
 def _holds_main(item: list, found: dict[int, bool]) -> bool:
@@ -330,7 +348,7 @@ def _walk(plan: list, node: list, found: list[tuple[str, bool]]) -> bool:
                     found.append((text, item is None or item[2]))
         elif item is not None:
             has_main |= _walk(item, child, found)
-        elif not is_boiler(label, False):
+        elif not is_boiler(label, plan[2]):
             has_main |= _walk([label, [], plan[2] or bool(_MAIN.search(label))], child, found)
     return has_main
 
@@ -423,7 +441,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", to: str = "t
     """`pages` without `html`, with the main text in column `to` (replaced if there).
 
     Blocks of main text, character references decoded, white space inside made one space, trimmed,
-    joined by one \\n; nothing else is dropped, however long. Null and empty pages give the empty text. The
+    joined by one \\n; nothing else is dropped, however long. Null and empty pages give the empty text, repeated
+    pages the same text each, an empty table an empty one; other columns pass, of whatever type. The
     host is that of the url; pages without one are a host of their own. Every row comes back.
 
     Wrappers meet pages in a broadcast where their summed bytes are within `broadcast_bytes`; else pages
@@ -440,7 +459,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", to: str = "t
         both = rows.withColumn("__wrapper", F.lit(None).cast("binary"))
     else:
         shared = None
-        salt = F.pmod(F.xxhash64("__html", *kept), F.lit(SALTS))
+        hashed = [c for c in kept if not re.search("map<|variant", rows.schema[c].dataType.simpleString())]
+        salt = F.pmod(F.xxhash64("__html", *hashed), F.lit(SALTS))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
         side = wrappers.select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in kept), F.lit(None).cast("string").alias("__html"), "host", "wrapper", every.alias("__salt"))
         both = rows.select("*", F.lit(None).cast("binary").alias("__wrapper"), salt.alias("__salt")).union(side)

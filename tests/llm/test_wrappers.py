@@ -167,3 +167,21 @@ def test_alignment_equals_all_choices():
         if all(x[0][0] != "(" and not x[2] for x in out):
             assert len(out) == len(a) + len(b) - best(a, b)
             assert sum(x[1] for x in out) == best(a, b)
+
+
+def test_class_words_are_no_proof_inside_the_article():
+    kept = (
+        '<section class="related-work"><p>earlier work</p></section><p class="search-results">what we found</p><p id="comment-policy">how we answer</p>'
+        "<p>since <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data='a.svg'><param name=q><p>a picture</p></object>"
+    )
+    gone = '<div class="inline-ad">buy</div><div class="share-buttons">tell</div><ul class="comment-list"><li>first</li></ul><div id="ads_2">now</div><div class="reader-comments">me</div>'
+    pages = [page(f"T{i}", [f"a {i}"], extra=kept + gone) for i in range(10)]
+    want = "a 3\nearlier work\nwhat we found\nhow we answer\nsince x=2 holds\na picture"
+    assert text(pages, pages[3]) == text([pages[3]], pages[3]) == "T3\n" + want
+    assert text([page("T", ["b"])], pages[3]) == "T3\n" + want  # what the wrapper has not seen
+
+
+def test_a_map_column_passes(spark):
+    df = spark.createDataFrame([(i, "http://a.b/c", page("T", [f"a {i}"]), {"k": i}) for i in range(4)], "page_id int, url string, html string, m map<string,int>")
+    for limit in (1 << 30, 0):
+        assert sorted((r.page_id, r.m["k"], r.text) for r in W.extract(df, broadcast_bytes=limit).collect()) == [(i, i, f"T\na {i}") for i in range(4)]
