@@ -439,6 +439,25 @@ def paragraph_split(spark, d):
     return rows.select("doc_id", "p.marker", F.col("pos").cast("long").alias("pos"), F.md5("p.text").alias("text_md5"))
 
 
+_FORM = """({0} % 12) || ['', 'a', 'ą'][{0} % 3 + 1] || CASE WHEN {0} % 2 = 1 THEN '^' || ({0} % 11) || ['', 'b'][{0} // 11 % 2 + 1] ELSE '' END"""
+_PARTS = """[{{'n': {0} % 12, 'l': ['', 'a', 'ą'][{0} % 3 + 1]}}] || CASE WHEN {0} % 2 = 1 THEN [{{'n': {0} % 11, 'l': ['', 'b'][{0} // 11 % 2 + 1]}}] ELSE [] END"""
+
+
+@query(f"""SELECT doc_id, canonical, a[1].n::INT AS number, a[1].l AS letters, a[2].n::INT AS raised, a < b AS before FROM (
+  SELECT doc_id, {_FORM.format("doc_id")} AS canonical, {_PARTS.format("doc_id")} AS a, {_PARTS.format("(doc_id // 7)")} AS b FROM documents)""")
+def statutory_order(spark, d):
+    def form(i):
+        letters = F.get(F.array(F.lit(""), F.lit("a"), F.lit("ą")), (i % 3).cast("int"))
+        raised = F.concat(F.lit("^"), (i % 11).cast("string"), F.when(F.floor(i / 11) % 2 == 1, "b").otherwise(""))
+        return F.concat((i % 12).cast("string"), letters, F.when(i % 2 == 1, raised).otherwise(""))
+
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", form(i).alias("canonical"), form(F.floor(i / 7)).alias("other"))
+    key, other = X.sort_key(F.col("canonical")), X.sort_key(F.col("other"))
+    first, second = key[0], F.get(key, 1)
+    return rows.select("doc_id", "canonical", first["number"].alias("number"), first["letters"].alias("letters"), second["number"].alias("raised"), (key < other).alias("before"))
+
+
 # Chunks
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from lexspark.operators.indexing import read_frequencies, read_index
 from lexspark.operators.models import Model
 from lexspark.operators.vectors import approximate_search, read_vectors
 from lexspark.sources import files
-from lexspark.sources.acquire import download
+from lexspark.sources.acquire import fetch
 
 LEAST_QUESTION, LONGEST_QUESTION = 3, 1000
 
@@ -117,12 +115,18 @@ def manifest_report(acts: DataFrame, folder: str, repin: bool = False) -> DataFr
     return files.verify_or_pin(acts, files.fetched(acts.sparkSession, folder), repin).select("slug", "eli", "variant", "status", "bytes", "sha256")
 
 
-def fetch_all(acts: DataFrame, folder: str, repin: bool = False, timeout: float = 60.0) -> DataFrame:
-    """Downloads the file of every act that `folder` lacks (or, to pin anew, of all), and the report of
-    `manifest_report`; a file that differs from its pin is an error. A manifest has a row for each act."""
-    for act in acts.select("url", "file_name").collect():
-        target = Path(folder) / act.file_name
-        if repin or not target.exists():
-            download(act.url, str(target), timeout)
-    checked = files.require_verified(files.verify_or_pin(acts, files.fetched(acts.sparkSession, folder), repin))
+def fetch_all(acts: DataFrame, folder: str, repin: bool = False, timeout: float = 60.0, tries: int = 3) -> DataFrame:
+    """Fetches the file of every act that the table in `folder` lacks (or, to pin anew, of all), and reports the
+    status of each; files that cannot be fetched, or differ from their pin, are an error. The executors fetch and
+    write the files (`files.read_kept` has them); `folder` is a path that they share."""
+    kept = files.read_kept(acts.sparkSession, folder).select("file_name", "bytes", "digest")
+    wanted = acts.select("file_name", "url").distinct()
+    if not repin:
+        wanted = wanted.join(kept, "file_name", "left_anti")
+    if wanted.limit(1).count():
+        failed = files.append_fetched(fetch(wanted, tries, timeout), folder).limit(10).collect()
+        if failed:
+            raise OSError(f"not fetched: {[(r.url, r.error) for r in failed]}")
+        kept = files.read_kept(acts.sparkSession, folder).select("file_name", "bytes", "digest")
+    checked = files.require_verified(files.verify_or_pin(acts, kept, repin))
     return checked.select("slug", "eli", "variant", "status", "bytes", "sha256")

@@ -58,6 +58,26 @@ def fetched(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return rows.select(name.alias("file_name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
+def read_kept(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, bytes, digest, content) of a table of fetched files: of each the one fetched last."""
+    if _missing(spark, path):
+        return spark.createDataFrame([], "file_name string, bytes long, digest string, content binary")
+    rows = spark.read.schema(schemas.FETCHED).parquet(path).where("error is null")
+    last = rows.groupBy("file_name").agg(F.max("turn").alias("turn"))
+    return rows.join(last, ["file_name", "turn"]).select("file_name", "bytes", "digest", "content")
+
+
+def append_fetched(rows: DataFrame, path: str) -> DataFrame:
+    """Appends `rows` (file_name, url, content, error) as the table's next turn; returns what failed in it. What
+    came is kept even if other files failed, so that the next fetch asks only for those."""
+    spark = rows.sparkSession
+    last = -1 if _missing(spark, path) else spark.read.schema(schemas.FETCHED).parquet(path).agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]
+    made = {"turn": F.lit(last + 1).cast("long"), "bytes": F.length("content").cast("long"), "digest": F.sha2("content", 256)}
+    rows.withColumns(made).select(schemas.struct(schemas.FETCHED).names).write.mode("append").parquet(path)
+    now = spark.read.schema(schemas.FETCHED).parquet(path).where(F.col("turn") == last + 1)
+    return now.where("error is not null").select("file_name", "url", "error")
+
+
 def verify_or_pin(acts: DataFrame, files: DataFrame, repin: bool = False) -> DataFrame:
     """Acts with their files: status matches, pinned (first fetch), repinned, mismatch or missing, and
     sha256 as it is to be kept. A mismatch keeps the old pin; `require_verified` makes it an error."""

@@ -3,6 +3,8 @@
 from pyspark.sql import types as T
 
 PAGE_TEXT = "act string, number int, text string"
+#: Fetched files: each turn adds rows, content is null where error is not.
+FETCHED = "turn long, file_name string, url string, bytes long, digest string, content binary, error string"
 GLYPH = "page int, line int, pos int, text string, size double, x0 double, x1 double, bottom double"
 CHUNK = (
     "act string, article string, article_display string, paragraph string, part_index int, title_path array<string>, "

@@ -5,6 +5,7 @@ import json
 import threading
 import urllib.error
 import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -160,6 +161,46 @@ def test_fetch_all_downloads_and_pins(spark, tmp_path):
     assert service.fetch_all(acts.withColumn("sha256", F.lit("00")), str(tmp_path / "here"), repin=True).first().status == "repinned"
 
 
+def test_fetch_asks_again_only_for_what_is_missing(spark, tmp_path):
+    asked = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            name = self.path[1:]
+            if name == "moved.pdf":
+                self.send_response(302)
+                self.send_header("Location", "/a.pdf")
+                self.end_headers()
+                return
+            fails = name == "gone.pdf" or name == "slow.pdf" and asked.count(self.path) < 3
+            self.send_response((404 if name == "gone.pdf" else 503) if fails else 200)
+            self.end_headers()
+            if not fails:
+                self.wfile.write(name.encode() * 3)
+
+        def log_message(self, *_):
+            pass
+
+    site = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    try:
+        empty = dict.fromkeys(schemas.struct(schemas.ACT).names)
+        root, folder = f"http://127.0.0.1:{site.server_port}", str(tmp_path / "fetched")
+        make = lambda *names: spark.createDataFrame([empty | {"slug": n, "file_name": n, "url": f"{root}/{n}"} for n in names], schemas.ACT)
+        with pytest.raises(OSError, match="HTTP 404"):
+            service.fetch_all(make("a.pdf", "slow.pdf", "moved.pdf", "gone.pdf"), folder)
+        assert sorted(asked) == ["/a.pdf", "/a.pdf", "/gone.pdf", "/moved.pdf", "/slow.pdf", "/slow.pdf", "/slow.pdf"]
+        got = {r.slug: (r.status, r.bytes) for r in service.fetch_all(make("a.pdf", "slow.pdf", "moved.pdf"), folder).collect()}
+        assert got == {"a.pdf": ("pinned", 15), "slow.pdf": ("pinned", 24), "moved.pdf": ("pinned", 15)} and len(asked) == 7
+        service.fetch_all(make("a.pdf"), folder, repin=True).collect()
+        assert len(asked) == 8
+        kept = files.read_kept(spark, folder)
+        assert sorted((r.file_name, bytes(r.content)) for r in kept.collect()) == [("a.pdf", b"a.pdf" * 3), ("moved.pdf", b"a.pdf" * 3), ("slow.pdf", b"slow.pdf" * 3)]
+    finally:
+        site.shutdown()
+
+
 def test_build_is_a_dry_run_unless_told_to_load(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setitem(validation.EXPECTED, "kp", (1, 5))
     spark.createDataFrame([("kp", 1, TEXT)], schemas.PAGE_TEXT).write.parquet(str(tmp_path / "pages"))
