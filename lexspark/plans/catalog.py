@@ -443,7 +443,7 @@ _FORM = """({0} % 12) || ['', 'a', 'ą'][{0} % 3 + 1] || CASE WHEN {0} % 2 = 1 T
 _PARTS = """[{{'n': {0} % 12, 'l': ['', 'a', 'ą'][{0} % 3 + 1]}}] || CASE WHEN {0} % 2 = 1 THEN [{{'n': {0} % 11, 'l': ['', 'b'][{0} // 11 % 2 + 1]}}] ELSE [] END"""
 
 
-@query(f"""SELECT doc_id, canonical, a[1].n::INT AS number, a[1].l AS letters, a[2].n::INT AS raised, a < b AS before FROM (
+@query(f"""SELECT doc_id, canonical, a[1].n::INT AS number, a[1].l AS letters, coalesce(a[2].n, 0)::INT AS raised, a < b AS before FROM (
   SELECT doc_id, {_FORM.format("doc_id")} AS canonical, {_PARTS.format("doc_id")} AS a, {_PARTS.format("(doc_id // 7)")} AS b FROM documents)""")
 def statutory_order(spark, d):
     def form(i):
@@ -455,7 +455,7 @@ def statutory_order(spark, d):
     rows = table(spark, d, "documents").select("doc_id", form(i).alias("canonical"), form(F.floor(i / 7)).alias("other"))
     key, other = X.sort_key(F.col("canonical")), X.sort_key(F.col("other"))
     first, second = key[0], F.get(key, 1)
-    return rows.select("doc_id", "canonical", first["number"].alias("number"), first["letters"].alias("letters"), second["number"].alias("raised"), (key < other).alias("before"))
+    return rows.select("doc_id", "canonical", first["number"].alias("number"), first["letters"].alias("letters"), F.coalesce(second["number"], F.lit(0)).alias("raised"), (key < other).alias("before"))
 
 
 # Chunks
