@@ -31,14 +31,16 @@ def without_margin(glyphs: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def marked(glyphs: DataFrame, body: DataFrame) -> DataFrame:
-    """Glyphs with baseline (median bottom of the line's inked ones), superscript, and piece: the text
-    with what goes before it, a space for a wide gap, ^ where a superscript run starts."""
+    """Glyphs with baseline (median bottom of the line's glyphs of the body's size, of its inked ones if none
+    is as large), superscript, and piece: the text with what goes before it, a space for a wide gap, ^ where a
+    superscript run starts. Small glyphs do not move the baseline, so they may be the most of a line."""
     line = Window.partitionBy("page", "line")
     order = line.orderBy("pos")
     ink = F.trim("text") != ""
     rows = glyphs.crossJoin(F.broadcast(body)).withColumn("ink", ink)
-    rows = rows.withColumn("baseline", F.percentile(F.when(F.col("ink"), F.col("bottom")), F.lit(0.5)).over(line))
     small = F.col("size") < F.col("body_size") - SIZE_MARGIN
+    median = [F.percentile(F.when(which, F.col("bottom")), F.lit(0.5)).over(line) for which in (~small, F.col("ink"))]
+    rows = rows.withColumn("baseline", F.coalesce(*median))
     rows = rows.withColumn("superscript", F.col("ink") & small & (F.col("baseline") - F.col("bottom") > RAISE_MIN))
     before = {c: F.lag(c).over(order) for c in ("ink", "x1", "size", "superscript")}
     gap = F.col("x0") - before["x1"] > SPACE_RATIO * F.greatest(F.col("size"), before["size"])
@@ -72,7 +74,7 @@ def whole_text(page_texts: DataFrame, by: str = "doc") -> DataFrame:
     return rows.select(by, F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
-def extract(glyphs: DataFrame, calibration_pages: int = 20) -> DataFrame:
+def extract(glyphs: DataFrame, calibration_pages: int | None = 20) -> DataFrame:
     """(number, text) of a document's glyphs (page, line, pos, text, size, x0, x1, bottom)."""
     body = body_size(glyphs, calibration_pages)
     return pages(lines(without_margin(glyphs, right_edge(glyphs, body)), body))

@@ -1,10 +1,12 @@
 """Glyphs, parsing, chunking, checks, loading, sources and answers on small documents."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import chunking, glyphs, loading, parsing, qa, validation
+from lexspark.plans import catalog
 from lexspark.sources import files, render, schemas
 
 PAGES = [
@@ -132,6 +134,23 @@ def test_glyphs_to_text(spark):
         glyphs.body_size(spark.createDataFrame([], schemas.GLYPH)).collect()
 
 
+def test_raised_digits_may_be_the_most_of_a_line(spark):
+    rows = glyph_rows("Art. 9 and so on") + glyph_rows("a ¹²¹²¹", 1)
+    out = glyphs.extract(spark.createDataFrame(rows, schemas.GLYPH)).first()
+    assert out.text == "Art. 9 and so on\na ^12121"
+
+
+def test_documents_of_many_digits_as_glyphs(spark, tmp_path):
+    text = "Sh. 4644348398010899\n123 456\n\nmuch the longest line of all of them, up to 77"
+    rows = [(5_000_000_000, text, "en", "a", len(text)), (2, "7", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("glyph_lines", "glyph_pages", "glyph_frames"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), duck.sql(catalog.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def chunk_rows(spark, rows):
     full = [(act, art, f"Art. {art}", "", part, ["p"], 1, False, "", content, 2) for act, art, part, content in rows]
     return spark.createDataFrame(full, schemas.CHUNK)
