@@ -11,7 +11,6 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +22,6 @@ START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _CLOSED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 #: Stands for a turn's text when its place in a span is looked for.
 PROBE = ""
-#: Conversations of at most so many turns have every prefix rendered from the start.
-PLAIN = 16
 
 
 def escape(text: str) -> str:
@@ -84,35 +81,9 @@ def _every_prefix(template: Callable[[Sequence[Turn]], str], turns: Sequence[Tur
 
 
 def render(template: Callable[[Sequence[Turn]], str], turns: Sequence[Turn]) -> Rendered:
-    """The output for all `turns` and the span of each.
-
-    Prefixes of a long conversation would cost the square of its length. It is cut into blocks of
-    about the square root of its turns: whole prefixes are rendered at the cuts, and within a block
-    prefixes that start one turn before it, whose differences must spell out, character by
-    character, what the whole prefixes gained. Where they do not, every prefix is rendered whole.
-    """
-    n = len(turns)
-    if n <= PLAIN:
-        return _every_prefix(template, turns)
-    step, spans, whole = isqrt(n), [], template([])
-    for cut in range(0, n, step):
-        end = min(cut + step, n)
-        grown = template(turns[:end])
-        at, since = len(whole), max(0, cut - 1)
-        before = template(turns[since:cut])
-        if not grown.startswith(whole):
-            return _every_prefix(template, turns)
-        for k in range(cut + 1, end + 1):
-            now = template(turns[since:k])
-            more = len(now) - len(before)
-            if not now.startswith(before) or grown[at : at + more] != now[len(before) :]:
-                return _every_prefix(template, turns)
-            spans.append((at, at + more))
-            at, before = at + more, now
-        if at != len(grown):
-            return _every_prefix(template, turns)
-        whole = grown
-    return Rendered(whole, spans, False)
+    """The output for all `turns` and the span of each, from all prefixes, whatever the length: a template may rewrite at
+    any one of them, and nothing else would show it. So a conversation costs the square of its turns."""
+    return _every_prefix(template, turns)
 
 
 def contents(

@@ -56,6 +56,16 @@ def test_rewriting_templates_are_detected(n):
         assert C.contents(template, str, turns, done) == [None] * n
 
 
+@pytest.mark.parametrize("n", [8, 20, 40])
+def test_a_template_that_rewrites_at_one_prefix_is_detected_at_any_length(n):
+    def at_six(turns):
+        return "".join(f"{r}:{t};" for r, t in turns) + ("*" if len(turns) == 6 else "")
+
+    turns = [("assistant", f"say {i}") for i in range(n)]
+    done = C.render(at_six, turns)
+    assert done.rewrites and done.text == at_six(turns) and len(done.spans) == n
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
