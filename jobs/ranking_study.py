@@ -70,7 +70,7 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, settings:
 
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("act"), F.col("doc_id").cast("string").alias("article"), F.col("text").alias("content"), F.lit(False).alias("repealed"))
     indexing.write_index(chunks.select("chunk_id", "content"), out, "index")
-    index, stats = indexing.read_index(spark, out, "index")
+    index, stats, known = indexing.read_postings(spark, out, "index"), indexing.read_index(spark, out, "index")[1], indexing.read_frequencies(spark, out, "index")
 
     found = containment.containing(docs.select("doc_id", "text"), asked, "doc_id", "item_id")
     truth = found.select(F.col("item").alias("qid"), F.col("doc").alias("doc_id")).join(docs.select("doc_id", "source"), "doc_id")
@@ -80,7 +80,7 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, settings:
     ask = asked.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     for setting in settings:
         options = {k: v for k, v in (DEFAULT | setting).items() if k != "name"}
-        ranked = search.lexical_search(chunks, index, stats, ask, depth, include_repealed=True, **options)
+        ranked = search.lexical_search(chunks, index, stats, ask, depth, include_repealed=True, frequencies=known, **options)
         scored = evaluation.per_question(told, search.collapse_to_articles(ranked, chunks), KS)
         _replace(scored.select("*", F.lit(setting["name"]).alias("setting")), f"{out}/questions", "setting")
 

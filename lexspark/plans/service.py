@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.functions.settings import Settings
 from lexspark.functions.shared import written
 from lexspark.operators import chunking, evaluation, indexing, loading, parsing, qa, search, validation
-from lexspark.operators.indexing import read_frequencies, read_index
+from lexspark.operators.indexing import read_frequencies, read_index, read_postings
 from lexspark.operators.models import Model
 from lexspark.operators.vectors import approximate_search, read_vectors
 from lexspark.sources import files
@@ -36,7 +36,7 @@ def build(pages: DataFrame, bands=validation.EXPECTED) -> tuple[DataFrame, DataF
 def _corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     version = loading.current_version(spark, path)
     chunks = spark.read.parquet(f"{path}/{version}/chunks").withColumnRenamed("id", "chunk_id")
-    return chunks, *read_index(spark, path, version)
+    return chunks, read_postings(spark, path, version), read_index(spark, path, version)[1]
 
 
 def find(spark: SparkSession, path: str, questions: DataFrame, encoder: loading.Encoder, settings: Settings = Settings(), leg: str = "hybrid", k: int | None = None, analyser: indexing.Analyser = indexing.POLISH, include_repealed: bool = False) -> DataFrame:  # noqa: B008

@@ -186,3 +186,24 @@ def test_stored_frequencies_give_the_same_scores(spark, corpus, tmp_path):
     asked = spark.createDataFrame([(1, "common rare"), (2, "words nowhere")], "qid int, question string")
     plain = search.lexical_search(chunks, terms, stats, asked)
     assert sorted(map(tuple, search.lexical_search(chunks, terms, stats, asked, frequencies=held).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_postings_by_chunk_rank_like_rows_and_shuffle_none(spark, corpus, tmp_path):
+    rows = [*corpus, (12, "a", "12", "common rare", True), (13, "a", "13", "rare again", False), (14, "a", "14", None, False)]
+    chunks, terms, stats = index(spark, rows)
+    indexing.write_index(chunks, str(tmp_path), "v1")
+    held = indexing.read_postings(spark, str(tmp_path), "v1")
+    asked = spark.createDataFrame([(1, "common rare"), (2, "words nowhere"), (3, "rare")], "qid int, question string")
+    for options in ({}, {"ranking": "tf"}, {"include_repealed": True}, {"limit": 2}):
+        got, want = (search.lexical_search(chunks, i, stats, asked, **options) for i in (held, terms))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    scored = search._scored(held, asked.select("qid", F.explode(F.split("question", " ")).alias("lexeme"), F.lit(1.0).alias("weight")), 2, lambda tf, _: tf)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.groupBy("qid").count().agg(F.max("count")).first()[0] <= 2 * scored.rdd.getNumPartitions()
+
+
+def test_rows_of_one_chunk_are_counted_together(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "chunk_id int, content string")
+    indexing.write_index(chunks, str(tmp_path), "v1")
+    back = indexing.read_index(spark, str(tmp_path), "v1")[0]
+    assert sorted(map(str, back.collect())) == sorted(map(str, indexing.chunk_terms(chunks).collect()))
