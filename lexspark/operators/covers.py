@@ -21,13 +21,19 @@ from lexspark.operators.indexing import MAX_TF, Analyser
 WEIGHT = 0.1
 
 
-def positions(chunks: DataFrame, text: str = "content", analyser: Analyser = Analyser()) -> DataFrame:  # noqa: B008
+def positions(chunks: DataFrame, text: str = "content", analyser: Analyser = Analyser(), asked: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """(chunk_id, lexeme, positions): where each lexeme stands in its chunk, from 1, the first MAX_TF places. Stop
-    words have their places but no rows; several lemmas of a token share its place."""
-    tokens = chunks.select("chunk_id", terms(F.col(text)).alias("t")).repartition("chunk_id")
+    words have their places but no rows; several lemmas of a token share its place. With `asked` (qid, lexeme) only
+    lexemes of these questions have rows, and nothing else is shuffled."""
+    tokens = chunks.select("chunk_id", terms(F.col(text)).alias("t"))
+    tokens = tokens if asked is not None else tokens.repartition("chunk_id")
     tokens = tokens.select("chunk_id", F.posexplode("t").alias("at", "lexeme"))
     kept = tokens.where(~F.col("lexeme").isin(*analyser.stop)) if analyser.stop else tokens
-    of = analyser.lexemes(kept).select("chunk_id", "lexeme", (F.col("at") + 1).alias("at")).distinct()
+    of = analyser.lexemes(kept).select("chunk_id", "lexeme", (F.col("at") + 1).alias("at"))
+    if asked is not None:
+        wanted = bounded(asked.select("lexeme").distinct(), text_bytes("lexeme"))
+        of = of.join(wanted, "lexeme", "left_semi").select("chunk_id", "lexeme", "at").repartition("chunk_id")
+    of = of.distinct()
     return of.groupBy("chunk_id", "lexeme").agg(F.slice(F.sort_array(F.collect_list("at")), 1, MAX_TF).alias("positions"))
 
 

@@ -67,3 +67,10 @@ def test_search_and_unknown_need(spark):
     assert covers.cover_search(chunks, index, asked, include_repealed=True).count() == 3
     with pytest.raises(ValueError):
         covers.cover_search(chunks, index, asked, need="some")
+
+
+def test_positions_of_asked_terms_only(spark):
+    chunks = spark.createDataFrame([(1, "a b c a"), (2, "c d")], "chunk_id int, content string")
+    asked = spark.createDataFrame([(1, "a"), (1, "d")], "qid int, lexeme string")
+    found = covers.positions(chunks, asked=asked)
+    assert sorted((r.chunk_id, r.lexeme, r.positions) for r in found.collect()) == [(1, "a", [1, 4]), (2, "d", [2])]
