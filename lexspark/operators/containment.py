@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.shared import written
 from lexspark.functions.sizes import bounded, text_bytes
 from lexspark.functions.text import let
 
@@ -37,6 +38,7 @@ def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
 
     every = rows.select("doc", F.explode(let(F.transform("dw", lambda w: F.xxhash64(w)), hashes)).alias("anchor"))
     met = every.join(bounded(asked.select("item", "anchor"), 64), "anchor").select("doc", "item")
-    both = met.join(rows, "doc").join(bounded(asked.select("item", "iw", F.array_join("iw", " ").alias("it")), text_bytes("it")), "item")
+    met = bounded(written(met.distinct(), "met"))  # mostly little; then the documents are not shuffled
+    both = rows.join(met, "doc").join(bounded(asked.select("item", "iw", F.array_join("iw", " ").alias("it")), text_bytes("it")), "item")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     return both.where(F.contains(spaced(F.col("dw")), F.concat(F.lit(" "), F.col("it"), F.lit(" ")))).select("doc", "item").distinct()
