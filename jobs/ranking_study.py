@@ -5,8 +5,9 @@
 A question is a text that documents hold word for word; these documents are what a search for it should find. Each setting of
 the config ranks the same index. Below `out`:
 
-- `index`: the inverted index and its statistics, written once a run and read by every setting.
+- `index`: the inverted index and its statistics, written once a run and read once for all settings.
 - `truth` (qid, source, doc_id), by source.
+- `ranked` (setting, qid, act, article, rank), by setting.
 - `questions` (setting, qid, n_truth, first, pool, recall_k, hit_k), by setting.
 - `summary` (setting, metric, value, previous, delta, passed), by setting: means over questions, compared with the first setting.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +80,14 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, settings:
     told = truth.select("qid", F.col("source").alias("act"), F.col("doc_id").cast("string").alias("article"))
 
     ask = asked.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    for setting in settings:
-        options = {k: v for k, v in (DEFAULT | setting).items() if k != "name"}
-        ranked = search.lexical_search(chunks, index, stats, ask, depth, include_repealed=True, frequencies=known, **options)
-        scored = evaluation.per_question(told, search.collapse_to_articles(ranked, chunks), KS)
-        _replace(scored.select("*", F.lit(setting["name"]).alias("setting")), f"{out}/questions", "setting")
+    how = [{k: v for k, v in (DEFAULT | setting).items() if k != "name"} for setting in settings]
+    ranked = search.lexical_rankings(chunks, index, stats, ask, how, depth, include_repealed=True, frequencies=known)
+    called = F.element_at(F.array(*map(F.lit, names)), F.col("ranking") + 1)
+    ranked = ranked.withColumn("qid", F.struct(called.alias("setting"), "qid"))  # a question of each setting is one of its own
+    articles = search.collapse_to_articles(ranked, chunks).select("qid.qid", "act", "article", "rank", "qid.setting")
+    articles = _replace(articles, f"{out}/ranked", "setting")
+    each = [evaluation.per_question(told, articles.where(F.col("setting") == name), KS).select("*", F.lit(name).alias("setting")) for name in names]
+    _replace(reduce(DataFrame.unionByName, each), f"{out}/questions", "setting")
 
     per = spark.read.parquet(f"{out}/questions").where(F.col("setting").isin(names))
     summary = _replace(_summary(per, names[0]).select("metric", "value", "previous", "delta", "passed", "setting"), f"{out}/summary", "setting")

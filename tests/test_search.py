@@ -207,3 +207,15 @@ def test_rows_of_one_chunk_are_counted_together(spark, tmp_path):
     indexing.write_index(chunks, str(tmp_path), "v1")
     back = indexing.read_index(spark, str(tmp_path), "v1")[0]
     assert sorted(map(str, back.collect())) == sorted(map(str, indexing.chunk_terms(chunks).collect()))
+
+
+def test_several_rankings_read_the_index_once(spark, corpus, tmp_path):
+    chunks, _, stats = index(spark, corpus)
+    indexing.write_index(chunks.select("chunk_id", "content"), str(tmp_path), "v1")
+    held = indexing.read_postings(spark, str(tmp_path), "v1")
+    asked = spark.createDataFrame([(0, "common rare"), (1, "filler4 words"), (2, "nothing")], "qid int, question string")
+    how = [{}, {"b": 0.0}, {"ranking": "tf"}, {"k1": 0.4}]
+    got = search.lexical_rankings(chunks, held, stats, asked, how, 3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [(i, *r) for i, options in enumerate(how) for r in search.lexical_search(chunks, held, stats, asked, 3, **options).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
