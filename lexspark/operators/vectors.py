@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspark.functions.shared import written
 from lexspark.functions.sizes import LIMIT_BYTES
 from lexspark.operators.search import CANDIDATES, _nearest, _top
 
 #: Vectors that a cell's mean is fitted on, on average.
 SAMPLE_A_CELL = 256
+#: Most cells: k-means sends the distances between all means to the driver in each round, the square of the cells.
+MOST_CELLS = 120
 #: The cell of vectors that have no direction (a norm of 0) or another width: every search looks at it.
 NOWHERE = -1
 
@@ -47,18 +50,19 @@ def fit(chunks: DataFrame, cells: int, seed: int = 1, rounds: int = 10) -> KMean
 
 
 def cells_for(n: int) -> int:
-    """How many cells suit `n` vectors: twice the root, so that ranking the means costs no more than a few cells."""
-    return max(1, 2 * math.isqrt(n))
+    """How many cells suit `n` vectors: twice the root, so that ranking the means costs no more than a few cells, but no more
+    than MOST_CELLS; beyond these, cells grow with the vectors."""
+    return max(1, min(MOST_CELLS, 2 * math.isqrt(n)))
 
 
 def write_vectors(chunks: DataFrame, path: str, cells: int, seed: int = 1) -> None:
     """Writes every embedded row of `chunks` (chunk_id, embedding, repealed) in its cell below `path`/vectors, and the means
     below `path`/means. A cell with very many rows becomes several files of even size."""
-    spark, model = chunks.sparkSession, fit(chunks, cells, seed)
+    rows = written(chunks.where("embedding is not null").select("chunk_id", "embedding", "repealed"), "embedded")  # fitting reads them several times
+    spark, model = chunks.sparkSession, fit(rows, cells, seed)
     means = [(i, [float(x) for x in m]) for i, m in enumerate(model.clusterCenters())]
     spark.createDataFrame(means, "cell int, mean array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/means")
     width = len(means[0][1])
-    rows = chunks.where("embedding is not null").select("chunk_id", "embedding", "repealed")
     rows = rows.withColumn("__here", _placeable(width))
     other = F.array_repeat(F.lit(1.0), width)  # k-means takes no vector without a direction; where that is put is not used
     features = array_to_vector(F.when(F.col("__here"), F.col("embedding").cast("array<double>")).otherwise(other))

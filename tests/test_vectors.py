@@ -100,3 +100,8 @@ def test_the_dense_leg_puts_out_no_more_than_its_cut(spark, monkeypatch):
     got = search.dense_search(alike, asked, 25)
     assert ranked(got) == [(q, i, 0.707107 if q == 1 else 1.0, i + 1) for q in range(3) for i in range(25)]
     assert most[0] <= 3 * 25 * 3  # questions, cut, batches
+
+
+def test_what_fitting_sends_to_the_driver_stays_bounded():
+    assert [vectors.cells_for(n) for n in (0, 1, 500, 2000)] == [1, 2, 44, 88]
+    assert {vectors.cells_for(n) for n in (10_000, 480_000, 1 << 40)} == {vectors.MOST_CELLS}
