@@ -172,3 +172,40 @@ def test_signatures_of_near_lines_are_near():
         b = changed(rng, a)
         apart = int(L.np.bitwise_count(L.signature(a) ^ L.signature(b)).sum()) if a and b else 0
         assert apart <= 4 * edits(a, b)
+
+
+def test_lines_far_apart_in_place_or_length_do_not_meet():
+    rng = random.Random(8)
+    key = L.np.array([rng.randint(1, 40) for _ in range(600)])
+    line = L.np.array([rng.randint(0, 1 << 32) for _ in range(600)])
+    size, place = (L.np.array([rng.randint(60, 400) for _ in range(600)]) for _ in "ab")
+    place[::9] = L.ANY
+    pairs, hot, _ = L.met_pairs(key, line, size << 16 | place, 2, 20)
+    want = set()
+    for i in range(600):
+        for j in range(i):
+            most = L.allowed(int(min(size[i], size[j])), 2, 20)
+            near = abs(int(place[i] - place[j])) <= most or L.ANY in (place[i], place[j])
+            if key[i] == key[j] and abs(int(size[i] - size[j])) <= most and near and line[i] != line[j]:
+                want.add((min(int(line[i]), int(line[j])), max(int(line[i]), int(line[j]))))
+    assert len(hot) == 0 and {(p >> 32 & L.IDS, p & L.IDS) for p in pairs.tolist()} == want
+    assert len(want) < 0.1 * sum(n * (n - 1) // 2 for n in L.np.bincount(key).tolist())
+
+
+def test_a_crowd_of_near_copies(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(170))
+    lines = []
+    for _ in range(240):
+        line = base
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(0, len(line))
+            line = line[:at] + rng.choice(["", "x", "é"]) + line[at + rng.randint(0, 1) :]
+        lines.append(line)
+    n = len(lines)
+    pairs, hot, held = L.met_pairs(L.np.full(n, 7), L.np.arange(n), L.np.full(n, 170 << 16 | 5), 2, 20)
+    assert len(pairs) == 0 and len(set(hot.tolist())) == 1 and sorted(held.tolist()) == list(range(n))
+    got = {r.doc for r in L.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), per=20).collect()}
+    near = lambda a, b: a == b or L.within(a, b, L.allowed(min(len(a), len(b)), 2, 20))
+    want = {i for i in range(n) if any(near(lines[j], lines[i]) for j in range(i))}
+    assert got == want and 0 < len(want) < n - 1
