@@ -209,3 +209,10 @@ def test_a_crowd_of_near_copies(spark):
     near = lambda a, b: a == b or L.within(a, b, L.allowed(min(len(a), len(b)), 2, 20))
     want = {i for i in range(n) if any(near(lines[j], lines[i]) for j in range(i))}
     assert got == want and 0 < len(want) < n - 1
+
+
+def test_signatures_of_many_lines():
+    rng = random.Random(15)
+    lines = ["x", "ab", "é😀 q", *("".join(rng.choice("abc é😀") for _ in range(rng.randint(1, 90))) for _ in range(5000))]
+    assert (L.signatures(lines).view("uint64") == L.np.stack([L.signature(x) for x in lines])).all()
+    assert L.signatures([]).shape == (0, 4)
