@@ -216,3 +216,18 @@ def test_signatures_of_many_lines():
     lines = ["x", "ab", "é😀 q", *("".join(rng.choice("abc é😀") for _ in range(rng.randint(1, 90))) for _ in range(5000))]
     assert (L.signatures(lines).view("uint64") == L.np.stack([L.signature(x) for x in lines])).all()
     assert L.signatures([]).shape == (0, 4)
+
+
+def test_counts_of_near_lines_are_near():
+    rng = random.Random(16)
+    told = 0
+    for _ in range(600):
+        a = "".join(rng.choice("abc é😀") for _ in range(rng.randint(100, 300)))
+        b = "".join(rng.choice("abc é😀") for _ in range(200)) if rng.random() < 0.3 else a
+        for _ in range(rng.randint(0, 18)):
+            at = rng.randint(0, len(b))
+            b = b[:at] + rng.choice(["", "q", "a"]) + b[at + rng.randint(0, 1) :]
+        most = L.allowed(min(len(a), len(b)), 2, 20)
+        assert L.near_lines(a, b, most) == L.within(a, b, most)
+        told += L.np.abs(L.bigram_counts(a) - L.bigram_counts(b)).sum() > 4 * most
+    assert told > 100
