@@ -231,3 +231,58 @@ def test_counts_of_near_lines_are_near():
         assert L.near_lines(a, b, most) == L.within(a, b, most)
         told += L.np.abs(L.bigram_counts(a) - L.bigram_counts(b)).sum() > 4 * most
     assert told > 100
+
+
+def test_many_pairs_at_once_and_pairs_that_meet_once():
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdé", "ab😀c"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) if rng.random() < 0.2 else changed(rng, changed(rng, changed(rng, a)))
+        pairs.append((a, b, rng.choice([0, 1, 2, 3, 5, 8, 21, 63, 64])))
+    a, b, most = zip(*pairs, strict=True)
+    assert L.near_many(list(a), list(b), L.np.array(most)).tolist() == [edits(x, y) <= m for x, y, m in pairs]
+    often, told = L.np.zeros(L.BUCKETS, "uint8"), 0
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for i in range(300):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(60, 300)))
+        b = a
+        for _ in range(rng.randint(0, len(a) // 20)):
+            at = rng.randint(0, len(b))
+            b = b[:at] + rng.choice(["", "b", "c"]) + b[at + rng.randint(0, 1) :]
+        if i % 2:  # these share one stretch only
+            b = "".join(rng.choice(letters) for _ in range(50)) + a[50:62] + "".join(rng.choice(letters) for _ in range(len(a) - 62))
+        if min(len(a), len(b)) < 60:
+            continue
+        line, key, place = L._long_keys([a, b], often, 2, 20)
+        key = L.np.unique(key, return_inverse=True)[1]
+        size = L.np.array([len(a), len(b)])[line]
+        again = lambda v: L.np.concatenate([v, v])  # noqa: E731  (each line's keys given by two tasks)
+        pairs, n, need, _, _ = L.met_often(again(key), again(line), again(size << 16 | place), 2, 20)
+        if L.within(a, b, L.allowed(min(len(a), len(b)), 2, 20)):
+            assert len(pairs) == 1 and n[0] >= need[0] == 2
+        told += bool(len(pairs)) and n[0] < need[0]
+    assert told > 5
+
+
+def test_a_crowd_at_many_keys_is_compared_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "_near_in_blocks", lambda members, texts, tau, per: seen.append(members.groupBy("k").count().count()) or found(members, texts, tau, per))
+    found = IN_BLOCKS
+    rng = random.Random(18)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    lines = []
+    for _ in range(120):
+        line = base
+        for _ in range(rng.randint(6, 14)):
+            at = rng.randint(0, len(line))
+            line = line[:at] + rng.choice(["", "x", "é"]) + line[at + rng.randint(0, 1) :]
+        lines.append(line)
+    got = {r.doc for r in L.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), per=20).collect()}
+    near = lambda a, b: L.within(a, b, L.allowed(min(len(a), len(b)), 2, 20))
+    assert got == {i for i in range(120) if any(near(lines[j], lines[i]) for j in range(i))}
+    assert all(n <= 12 for n in seen)
+
+
+IN_BLOCKS = L._near_in_blocks
