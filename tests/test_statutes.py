@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import chunking, glyphs, loading, parsing, qa, validation
-from lexspark.plans import catalog
+from lexspark.plans import base, catalog
 from lexspark.sources import files, render, schemas
 
 PAGES = [
@@ -151,6 +151,37 @@ def test_documents_of_many_digits_as_glyphs(spark, tmp_path):
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_glyphs_in_order_are_not_shuffled(spark, tmp_path, monkeypatch):
+    texts = ["Art. 9 and 12\n\n7", "", "one line of some length 5 and more, 66", "x\ty \u00a0 z\n1 2 3"]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(9, None, "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(glyphs, "GLYPHS", 7)  # lines go on in later batches
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for make in (base.glyphs,):
+            given = make(spark, str(tmp_path))
+            body = glyphs.body_size(given)
+            kept = glyphs.without_margin(given, glyphs.right_edge(given, body))
+            mixed = kept.repartition(5, "pos").orderBy(F.desc("x0"))
+            got = [sorted(map(tuple, glyphs.lines(*x).collect())) for x in ((kept, body, True), (mixed, body))]
+            assert got[0] == got[1] and got[0][0] == (0, 0, "Art. ^9 and ^12") and (3, 0, "x y z") in got[0] and len(got[0]) == 5
+            plan = glyphs.lines(kept, body, True)._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(page" not in plan and "Window" not in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_baselines_are_medians(spark):
+    bottoms = [100.0, 101.0, 97.0, 104.0]
+    rows = [(1, 0, i, c, 12.0, i * 6.0, i * 6.0 + 6, b) for i, (c, b) in enumerate(zip("abcd", bottoms, strict=True))]
+    rows += [(1, 0, 4 + i, c, 8.0, 24.0 + i * 6, 30.0 + i * 6, 98.4 + i / 5) for i, c in enumerate("12")]  # 2.1 and 1.9 over 100.5
+    rows += [(1, 1, i, c, 8.0, i * 6.0, i * 6.0 + 6, 90.0 + i * 3) for i, c in enumerate("xyz")]  # all small: of those with ink
+    rows += [(2, 0, 0, None, 12.0, 0.0, 6.0, 100.0), (2, 0, 1, "k", 12.0, 30.0, 36.0, None)]
+    out = glyphs.extract(spark.createDataFrame(rows[::-1], schemas.GLYPH)).collect()
+    assert sorted((r.number, r.text) for r in out) == [(1, "abcd^12\n^xyz"), (2, "k")]
+
+
 def chunk_rows(spark, rows):
     full = [(act, art, f"Art. {art}", "", part, ["p"], 1, False, "", content, 2) for act, art, part, content in rows]
     return spark.createDataFrame(full, schemas.CHUNK)
